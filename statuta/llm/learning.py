@@ -33,8 +33,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 class WordTable(dict):
     """Word -> row of a feature matrix. New words get their features together; a full table starts anew."""
 
-    def __init__(self, features: Callable[[list[str]], np.ndarray], limit: int = 150_000):
-        self.features, self.limit, self.pending = features, limit, []
+    def __init__(self, features: Callable[[list[str]], np.ndarray], dtype=np.float32, limit: int = 250_000):
+        self.features, self.dtype, self.limit, self.pending = features, dtype, limit, []
         self.matrix: np.ndarray | None = None
 
     def __missing__(self, word: str) -> int:
@@ -52,7 +52,7 @@ class WordTable(dict):
         if self.pending:
             new = self.features(self.pending)
             if self.matrix is None or len(self) > len(self.matrix):
-                grown = np.zeros((max(1024, 2 * len(self)), new.shape[1]), np.float32)
+                grown = np.zeros((max(1024, len(self) * 3 // 2), new.shape[1]), self.dtype)
                 if self.matrix is not None:
                     grown[:at] = self.matrix[:at]
                 self.matrix = grown

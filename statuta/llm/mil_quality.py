@@ -33,27 +33,45 @@ CHUNK = 512
 _WORD_FEATURES = 10
 
 
-def word_features(words: list[str]) -> np.ndarray:
-    """Of single words: length, symbols, digits, capitals, punctuation at the end, ... and a one-hot hashed shape."""
-    out = np.zeros((len(words), _WORD_FEATURES + SHAPES), np.float32)
-    for i, w in enumerate(words):
-        n = len(w)
-        alpha, digits = sum(map(str.isalpha, w)), sum(map(str.isdigit, w))
-        first, last = w[0], w[-1]
-        bare = w.rstrip(".,;:!?")
-        out[i, :_WORD_FEATURES] = (min(n, 40) / 10, n > 15, (n - alpha - digits) / n, digits / n, first.isupper(), last in ".!?", last in ",;:", alpha == 0, w.isupper(), len(bare) < n)
-        shape = ("A" if first.isupper() else "a" if first.isalpha() else "0" if first.isdigit() else first) + ("a" if alpha == n else "x") + ("a" if last.isalpha() else "0" if last.isdigit() else last) + str(min(n // 3, 4))
-        out[i, _WORD_FEATURES + crc(shape) % SHAPES] = 1
+def word_features(w: str) -> np.ndarray:
+    """Of a word: length, symbols, digits, capitals, punctuation at the end, ... and a one-hot hashed shape."""
+    out = np.zeros(_WORD_FEATURES + SHAPES, np.float32)
+    n, alpha, digits, first, last = len(w), sum(map(str.isalpha, w)), sum(map(str.isdigit, w)), w[0], w[-1]
+    out[:_WORD_FEATURES] = (min(n, 40) / 10, n > 15, (n - alpha - digits) / n, digits / n, first.isupper(), last in ".!?", last in ",;:", alpha == 0, w.isupper(), last in ".,;:!?")
+    shape = ("A" if first.isupper() else "a" if first.isalpha() else "0" if first.isdigit() else first) + ("a" if alpha == n else "x") + ("a" if last.isalpha() else "0" if last.isdigit() else last) + str(min(n // 3, 4))
+    out[_WORD_FEATURES + crc(shape) % SHAPES] = 1
     return out
 
 
+class Kinds:
+    """Words of one kind (length, capitals, last sign) have the same features; kinds are few and described once."""
+
+    def __init__(self):
+        self.kinds: dict[tuple, int] = {}
+        self.rows: list[np.ndarray] = []
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        out = []
+        for w in words:
+            n, last = len(w), w[-1]
+            head = w if last.isalpha() else w[:-1]
+            kind = (n, last.isalpha() or last, w[0].isupper(), w.isupper()) if head.isalpha() else w
+            if (k := self.kinds.get(kind)) is None:
+                k = self.kinds[kind] = len(self.rows)
+                self.rows.append(word_features(w))
+            out.append(k)
+        return np.array(out, np.int32)[:, None]
+
+
 class Describer:
     """Passages of a text as rows of numbers."""
 
     width = _WORD_FEATURES + SHAPES + 5
 
     def __init__(self):
-        self.table = WordTable(word_features, 100_000)
+        self.kinds = Kinds()
+        self.table = WordTable(self.kinds, np.int32, 300_000)
+        self.matrix = np.zeros((0, _WORD_FEATURES + SHAPES), np.float32)
 
     def passages(self, text: str | None) -> np.ndarray:
         words = (text or "").split()
@@ -62,10 +80,14 @@ class Describer:
         return np.concatenate([self._some(words[at : at + PASSAGE * CHUNK]) for at in range(0, len(words), PASSAGE * CHUNK)])
 
     def _some(self, words: list[str]) -> np.ndarray:
+        if len(self.kinds.rows) > 100_000:  # odd words, each a kind of its own
+            self.__init__()
         ids = self.table.rows(words)
         starts = np.arange(0, len(ids), PASSAGE)
         sizes = np.diff(np.append(starts, len(ids))).astype(np.float32)[:, None]
-        means = np.add.reduceat(self.table.matrix[ids], starts, axis=0) / sizes
+        if len(self.kinds.rows) > len(self.matrix):
+            self.matrix = np.concatenate((self.matrix, np.array(self.kinds.rows[len(self.matrix) :])))
+        means = np.add.reduceat(self.matrix[self.table.matrix[ids, 0]], starts, axis=0) / sizes
         bag = np.full(len(starts) * PASSAGE, -1, np.int32)
         bag[: len(ids)] = ids
         bag = bag.reshape(-1, PASSAGE)

@@ -42,7 +42,21 @@ def words_of(text: str | None) -> list[str]:
 def word_ids(word: str) -> list[int]:
     """Embedding rows of a word: 0 stands for none."""
     bare = word.strip(_EDGES) or word
-    return [1 + crc(bare) % (BUCKETS - 1)] + [1 + crc(f"{k}{bare[:k]}") % (BUCKETS - 1) if len(bare) >= k else 0 for k in PREFIXES]
+    n = len(bare)
+    return [1 + crc(bare) % (BUCKETS - 1)] + [_prefixes[bare[:k]] if n >= k else 0 for k in PREFIXES]
+
+
+class _Prefixes(dict):
+    """Embedding row of each prefix met; far fewer than words."""
+
+    def __missing__(self, prefix: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        found = self[prefix] = 1 + crc(f"{len(prefix)}{prefix}") % (BUCKETS - 1)
+        return found
+
+
+_prefixes = _Prefixes()
 
 
 class ConvNet:
