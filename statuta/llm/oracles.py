@@ -40,11 +40,13 @@ SELECT doc_id, size, source_size, target,
 FROM q
 """
 
+_AHEAD = ", ".join(f"lead(word, {k}) OVER (PARTITION BY r ORDER BY i)" for k in range(1, 8))
 QUALITY_RULES = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
                   regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-w AS (SELECT r, unnest(range(1, len(words) - 6)) AS i, words FROM d WHERE len(words) >= 8),
-g AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(words[i:i + 7], ' ')) AS n FROM w),
+w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+e AS (SELECT r, i, concat_ws(' ', word, {_AHEAD}) AS eight, lead(i, 7) OVER (PARTITION BY r ORDER BY i) AS last FROM w),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, eight) AS n FROM e WHERE last IS NOT NULL),
 c AS (SELECT r, least(8, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 8)) AS covered FROM g WHERE n > 1),
 m AS (SELECT r, sum(covered) AS n_repeat_words FROM c GROUP BY r),
 l AS (SELECT r, doc_id, source, unnest(lines) AS line FROM d),

@@ -195,22 +195,23 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
 def _scored(docs: DataFrame, net: ConvNet) -> DataFrame:
     """`docs` with score and flagged; its first columns are passed through."""
     model = docs.sparkSession.sparkContext.broadcast(net)
-    text, lang = docs.columns.index("text"), docs.columns.index("lang")
-    rest = [i for i in range(len(docs.columns)) if i != text]
+    names = docs.columns
+    text, lang = names.index("text"), names.index("lang")
+    rest = [i for i in range(len(names)) if i != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for b in batches:
             scores = [scorer.score(t.as_py()) for t in b.column(text)]
             flagged = [s >= model.value.thresholds.get(x, THRESHOLD) for s, x in zip(scores, b.column(lang).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), pa.array(scores, pa.float64()), pa.array(flagged, pa.bool_())], names=[*(docs.columns[i] for i in rest), "score", "flagged"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), pa.array(scores, pa.float64()), pa.array(flagged, pa.bool_())], names=[*(names[i] for i in rest), "score", "flagged"])
 
     fields = ", ".join(f"`{docs.columns[i]}` {docs.schema[i].dataType.simpleString()}" for i in rest)
     return docs.mapInArrow(run, f"{fields}, score double, flagged boolean")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """The documents, all columns, that neither THRESHOLD nor their language's threshold rejects; no shuffle."""
+    """The documents, all columns (`text` and `lang` among them), that neither THRESHOLD nor their language's threshold rejects; no shuffle."""
     net = fit(training_sample(docs, labels, "toxic", per_class))
     model = docs.sparkSession.sparkContext.broadcast(net)
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
