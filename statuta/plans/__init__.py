@@ -1 +1,3 @@
+"""The registered queries, by area."""
 
+from . import serving  # noqa: F401
