@@ -31,6 +31,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> Column:
+    """A document's columns in one, `doc`, so that none clashes with columns that an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
 def bounded_broadcast(df: DataFrame) -> DataFrame:
     """Marks a table whose row count is fixed by parameters (shards, cells, languages), never by the data."""
     return F.broadcast(df)

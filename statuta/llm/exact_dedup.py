@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACE, text_or_empty
+from .common import SPACE, packed, text_or_empty
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,7 +32,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; of rows repeated in full, one."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5"))
-    keyed = docs.withColumn("__hash", F.md5(F.regexp_replace(text_or_empty(text_col), SPACE, " ")))
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__md5"))
-    return keyed.join(kept, on, "left_semi").dropDuplicates([id_col, "__hash"]).drop("__hash")
+    key = lambda i, md5: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("")), md5)
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select(key(F.col("doc_id"), F.col("text_md5")).alias("key"))
+    keyed = docs.select(packed(docs), key(F.col(id_col), F.md5(F.regexp_replace(text_or_empty(text_col), SPACE, " "))).alias("key"))
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD
+from .common import WORD, packed
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -77,10 +77,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     range-sorted over the cluster by virtual finish time. Documents without words are taken once."""
     queue = fair_queue(docs, id_col, text_col, source_col, weights, share, repeats, seed)
     turns = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    plan = queue.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), turns.alias("__turns"), "virtual_finish", "source_size", "target").dropDuplicates(["__id", "__size"])
-    keyed = docs.withColumn("__words", size_of(text_col))
-    chosen = keyed.join(plan, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size"))).filter("__turns > 0")
-    turn = F.explode(F.sequence(F.lit(0), F.col("__turns") - 1)).alias("__turn")
-    out = chosen.select(*[chosen[c] for c in docs.columns], "virtual_finish", "source_size", "target", turn)
-    finish = F.col("virtual_finish") + F.when(F.col("target") > 0, F.col("__turn") * F.col("source_size") / F.col("target")).otherwise(F.lit(0.0))
-    return out.withColumn("__finish", finish).orderBy("__finish", id_col).select(*docs.columns)
+    plan = queue.select("doc_id", "size", turns.alias("turns"), "virtual_finish", "source_size", "target").filter("turns > 0").dropDuplicates(["doc_id", "size"])
+    keyed = docs.select(packed(docs), F.col(id_col).alias("id"), size_of(text_col).alias("words"))
+    turn = F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn")
+    out = keyed.join(plan, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("words") == F.col("size"))).select("doc", "id", "virtual_finish", "source_size", "target", turn)
+    finish = F.col("virtual_finish") + F.when(F.col("target") > 0, F.col("turn") * F.col("source_size") / F.col("target")).otherwise(F.lit(0.0))
+    return out.withColumn("finish", finish).orderBy("finish", "id").select("doc.*")

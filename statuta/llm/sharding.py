@@ -1,11 +1,11 @@
 """Sharding by balanced label propagation.
 
 Documents of equal text are linked. Linked documents start in shards dealt out by rank and then move, round by round,
-to the shard with room that holds most of their neighbours, as long as that shard's quota allows. Documents without
-links have no edges to cut, so they fill up what the linked ones leave. The law is `rows`: shards' counts differ by one
-at most, exactly.
+to the shard that holds most of their neighbours, as far as quotas allow: two shards may always exchange members, and a
+shard with room takes in more. Documents without links have no edges to cut, so they fill up what the linked ones leave.
+The law is `rows`: shards' counts differ by one at most, exactly.
 
-A group larger than a shard's quota is cut, as it must be; it fills shards one after the other.
+A group larger than a shard's quota is cut, as it must be; what does not fit stays where it is.
 
 Defined results: a null text counts as empty; rows repeated in full are documents of their own, linked by their text;
 an empty table gives no rows; other columns are ignored.
@@ -13,15 +13,18 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_broadcast, numbered, text_or_empty, written
+from .common import numbered, text_or_empty, written
 
 SHARDS = 24
 ROUNDS = 4
-#: Rows of a shard are numbered, and moves are accepted, by so many cells of equal hash ranges.
+#: Rows of a shard are numbered by so many cells of equal hash ranges.
 CELLS = 256
-GROUP_CELLS = 64
+#: Moves are ranked by cells too, of the group's and of the member's hash, so that a huge group is not ranked in one task.
+GROUP_CELLS, MEMBER_CELLS = 16, 64
 
 
 def _bucket(n: int, *cols: Column) -> Column:
@@ -32,52 +35,57 @@ def balanced_label_propagation(docs: DataFrame, id_col: str, link: Column, weigh
     """id, weight, link and `shard` for every row of `docs`; rows with equal `link` are neighbours.
 
     State is one narrow row per linked document. A round counts neighbours by (link, shard), which folds a group of
-    any size before the shuffle, picks for each group the shard with room that holds most of it, and lets its other
-    members ask for that shard. Requests are accepted by cells of (group hash, document hash), as far as the cells
-    before them leave room in the quota, so quotas hold after every round without ranking a shard in one task.
+    any size before the shuffle, picks for each group the shard that holds most of it, and lets its other members ask
+    for that shard. As many of them move as `_allowed` says; which ones is settled by ranks, exactly, so quotas
+    hold after every round.
     """
     rows = written(docs.select(F.col(id_col).alias("id"), weight.alias("weight"), link.alias("link")))
     groups = written(rows.groupBy("link").agg(F.count(F.lit(1)).alias("members")))
     rows = written(rows.join(groups, "link").withColumn("at", _bucket(1 << 30, F.col("id"), F.col("weight"), F.lit(7))))
     n, n_linked = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("members") > 1, 1))).first()
-    quota = F.lit(n // n_shards) + (F.col("shard") < n % n_shards).cast("int")
+    quotas = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
 
     # Dealt by rank, so no shard starts above its quota, even if all documents are linked.
     linked = numbered(rows.filter("members > 1").withColumn("cell", _bucket(CELLS * n_shards, F.col("at"))), [], "cell", [F.col("at"), F.col("id")], CELLS * n_shards, "rank")
     state = written(linked.select("id", "weight", "link", "at", F.pmod("rank", F.lit(n_shards)).cast("int").alias("shard")))
-    shards = rows.sparkSession.range(n_shards).select(F.col("id").cast("int").alias("shard"))
     for _ in range(rounds if n_linked else 0):
         held = state.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("held"))
-        load = state.groupBy("shard").agg(F.count(F.lit(1)).alias("load"))
-        room = shards.join(bounded_broadcast(load), "shard", "left").select("shard", (quota - F.coalesce("load", F.lit(0))).alias("room"))
-        best = held.join(bounded_broadcast(room.filter("room > 0")), "shard").groupBy("link").agg(F.max(F.struct("held", "shard")).alias("best"))
-        best = written(best.select("link", F.col("best.shard").alias("target"), F.col("best.held").alias("target_held")))
-        here = written(held.select(F.col("link").alias("l"), F.col("shard").alias("s"), "held"))
-        asked = state.join(best, "link", "left").join(here, (F.col("link") == F.col("l")) & (F.col("shard") == F.col("s")))
-        more = (F.col("target_held") > F.col("held")) | ((F.col("target_held") == F.col("held")) & (F.col("target") > F.col("shard")))
-        asked = written(asked.select("id", "weight", "link", "at", "shard", F.when(more, F.col("target")).alias("target"), (_bucket(GROUP_CELLS, F.col("link")) * CELLS + _bucket(CELLS, F.col("at"))).alias("cell")))
-        accepted = _accepted(asked, room)
-        state = written(asked.join(bounded_broadcast(accepted), ["target", "cell"], "left").select("id", "weight", "link", "at", F.when(F.col("accepted"), F.col("target")).otherwise(F.col("shard")).alias("shard")))
+        best = held.groupBy("link").agg(F.max(F.struct("held", F.xxhash64("link", "shard"), "shard"))["shard"].alias("target"), F.count(F.lit(1)).alias("spread"))
+        best = written(best.filter("spread > 1").select("link", "target"))
+        cell = _bucket(GROUP_CELLS, F.col("link")) * MEMBER_CELLS + _bucket(MEMBER_CELLS, F.col("at"))
+        asked = written(state.join(best, "link", "left").select("id", "weight", "link", "at", "shard", F.coalesce("target", "shard").alias("target"), cell.alias("cell")))
+        flows = {(r.shard, r.target): r.n for r in asked.groupBy("shard", "target").agg(F.count(F.lit(1)).alias("n")).collect()}  # n_shards squared rows at most
+        allowed = _allowed(flows, quotas)
+        if not any(allowed):
+            break
+        moving = numbered(asked.filter("shard <> target"), ["shard", "target"], "cell", [F.col("link"), F.col("at"), F.col("id")], GROUP_CELLS * MEMBER_CELLS, "rank")
+        goes = F.col("rank") < F.element_at(F.array(*map(F.lit, allowed)), F.col("shard") * n_shards + F.col("target") + 1)
+        moved = moving.select("id", "weight", "link", "at", F.when(goes, F.col("target")).otherwise(F.col("shard")).alias("shard"))
+        state = written(asked.filter("shard = target").select("id", "weight", "link", "at", "shard").unionByName(moved))
 
     # The rest, by rank, into what is left of the quotas.
-    load = state.groupBy("shard").agg(F.count(F.lit(1)).alias("load"))
-    gaps = shards.join(bounded_broadcast(load), "shard", "left").select("shard", (quota - F.coalesce("load", F.lit(0))).alias("gap")).orderBy("shard").collect()  # n_shards rows
-    ends, total = [], 0
-    for r in gaps:
-        ends.append(total := total + r["gap"])
+    load = {r.shard: r.n for r in state.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # n_shards rows
+    ends = list(accumulate(quota - load.get(s, 0) for s, quota in enumerate(quotas)))
     loose = numbered(rows.filter("members = 1").withColumn("cell", _bucket(CELLS * n_shards, F.col("at"))), [], "cell", [F.col("at"), F.col("id")], CELLS * n_shards, "rank")
     shard = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("rank")))
     return state.select("id", "weight", "link", "at", "shard").unionByName(loose.select("id", "weight", "link", "at", shard.alias("shard")))
 
 
-def _accepted(asked: DataFrame, room: DataFrame) -> DataFrame:
-    """(target, cell) that fit into the target's room, in order of cells; at most shards x cells rows."""
-    from pyspark.sql import Window
-
-    cells = asked.filter("target IS NOT NULL").groupBy("target", "cell").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("target").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fits = cells.withColumn("upto", F.sum("n").over(upto)).join(bounded_broadcast(room.withColumnRenamed("shard", "target")), "target")
-    return fits.filter("upto <= room").select("target", "cell", F.lit(True).alias("accepted"))
+def _allowed(flows: dict[tuple[int, int], int], quotas: list[int]) -> list[int]:
+    """How many may move from each shard to each other one, at shard * n_shards + target. `flows` counts who asks for
+    what, those who stay included. Two shards exchange what both ask for, which leaves their sizes as they are; beyond
+    that a shard takes in what it has room for."""
+    shards = range(len(quotas))
+    room = [q - sum(flows.get((s, t), 0) for t in shards) for s, q in zip(shards, quotas)]
+    out = []
+    for s in shards:
+        for t in shards:
+            asked = flows.get((s, t), 0) if s != t else 0
+            swapped = min(asked, flows.get((t, s), 0))
+            extra = min(asked - swapped, room[t])
+            room[t] -= extra
+            out.append(swapped + extra)
+    return out
 
 
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from .common import written
+from .common import packed, written
 
 SHINGLE = 4
 SEED = 42
@@ -57,13 +57,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), b.column(2)], names=["doc_id", "fp", "text_key"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, fp (the fingerprint as a signed long) and text_key (a hash of the text, which tells rows of one id apart)."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key"))
+    return own.mapInArrow(_fingerprints, "doc_id long, fp long, text_key long")
+
+
+def _text_key(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS, seed: int = 11) -> list[int]:
@@ -171,17 +175,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id for every row."""
-    marked = written(fingerprints(docs, id_col, text_col))
-    return components_of(marked, radius)
+    """doc_id, fp, text_key, component_id for every row."""
+    return components_of(written(fingerprints(docs, id_col, text_col)), radius)
 
 
 def components_of(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """marked: doc_id, fp, written. A node is the smallest doc_id of a fingerprint."""
+    """component_id added to `marked`: doc_id, fp and more, written. A node is the smallest doc_id of a fingerprint."""
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
     found = connected_components(links(nodes.filter("node IS NOT NULL"), radius))
     label = written(nodes.join(found, "node", "left").select(F.col("fp").alias("f"), F.coalesce("component", "node").alias("component_id")))
-    return marked.join(label, F.col("fp") == F.col("f"), "left").select("doc_id", "fp", "component_id")
+    return marked.join(label, F.col("fp") == F.col("f"), "left").select(*marked.columns, "component_id")
 
 
 def hex_of(fp: Column) -> Column:
@@ -190,5 +193,9 @@ def hex_of(fp: Column) -> Column:
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The document with the smallest id of each component, with all its columns; of rows repeated in full, one."""
-    kept = near_components(docs, id_col, text_col, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])
+    key = lambda i, text_key: F.concat_ws(":", F.coalesce(i.cast("long").cast("string"), F.lit("")), text_key)
+    heads = near_components(docs, id_col, text_col, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    group = F.coalesce("component_id", "fp").alias("group")
+    kept = heads.groupBy("doc_id", group).agg(F.min("text_key").alias("text_key")).select(key(F.col("doc_id"), F.col("text_key")).alias("key"))
+    keyed = docs.select(packed(docs), key(F.col(id_col), _text_key(text_col)).alias("key"))
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
