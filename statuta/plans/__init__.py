@@ -1,3 +1,3 @@
 """The registered queries, by area."""
 
-from . import serving  # noqa: F401
+from . import passages, rollups, serving, streams  # noqa: F401
