@@ -1,9 +1,12 @@
 """Text, date and score functions on small rows whose results were worked out by hand."""
 
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
-from statuta.functions import scores, text as T
+from statuta.functions import rules, scores, text as T
 
 
 def one(spark, *columns):
@@ -58,3 +61,43 @@ def test_section_specificity(spark, ref, expected):
 @pytest.mark.parametrize("text, expected", [("", 0.0), (None, 0.0), ("plain words", 0.6), ("The section shall apply.", 1.0), ("��", 0.0)])
 def test_parse_quality(spark, text, expected):
     assert one(spark, T.parse_quality(F.lit(text).cast("string"), T.any_word(T.LEGAL_MARKERS)))[0] == expected
+
+
+def plain_damage(text):
+    """The rule as a loop over characters."""
+    if not (text or "").strip():
+        return 0.0, "empty_passage"
+    n, lost, flags = len(text), 0.0, []
+    broken, garbled = text.count("�"), sum(c in rules.GARBLED for c in text)
+    control = sum(c < " " and c not in "\t\n\r" or "\x7f" <= c <= "\x9f" for c in text)
+    runs = len(re.findall(r"(.)\1{5,}", text))
+    letters = sum(map(len, re.findall("[a-zA-Z]{2,}", text)))
+    odd = sum(ord(c) > 127 and not unicodedata.category(c).startswith("L") for c in text)
+    for name, hit, cost in (
+        ("encoding_errors", broken > 0, min(broken / n * 10, 0.5)), ("garbled_chars", garbled > 2, min(garbled / n * 8, 0.4)), ("control_chars", control > 0, min(control / n * 10, 0.3)),
+        ("repeated_junk", runs > 2, 0.2), ("low_word_density", letters / n < 0.4, 0.3), ("high_non_ascii", odd / n > 0.1, min(odd / n * 3, 0.3)),
+    ):
+        if hit:
+            lost += cost
+            flags.append(name)
+    return max(0.0, 1 - lost), ",".join(flags)
+
+
+def test_text_damage_agrees_with_a_loop(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    made = ["", " \n", "a b c d e f", "�" * 3 + "word word", "■□■ squares", "\x00\x01 control", "aaaaaaa bbbbbbb ccccccc", "— – … “odd”", "ééé ñ"]
+    texts |= {-1 - i: t for i, t in enumerate(made)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").select("doc_id", rules.text_damage(F.col("text")).alias("t"))
+    for row in df.collect():
+        score, flags = plain_damage(texts[row.doc_id])
+        assert row.t.score == pytest.approx(score, abs=6e-4) and ",".join(row.t.flags) == flags, texts[row.doc_id][:80]
+
+
+@pytest.mark.parametrize("said, day", [("2026-01-02", "2026-01-02"), ("2026-01", "2026-01-01"), ("2026", "2026-01-01"), ("1999", None), ("7/17/34", "2034-07-17"), ("1/1/2026", "2026-01-01"), ("January 1, 2026", "2026-01-01"), ("Jan. 1 2026", "2026-01-01"), ("in September 2027", "2027-09-01"), ("pending", None), ("", None), (None, None)])
+def test_normal_date(spark, said, day):
+    assert one(spark, rules.normal_date(F.lit(said).cast("string")))[0] == day
+
+
+@pytest.mark.parametrize("note, band", [("$1,000", "under_10k"), ("$1 million", "over_1m"), ("$500k", "100k_to_1m"), ("up to $10,000", "10k_to_100k"), ("felony", "criminal"), ("penalty TBD", "unspecified"), ("no civil penalty", "none"), ("Attorney General", "unspecified"), ("", None), (None, None)])
+def test_penalty_severity(spark, note, band):
+    assert one(spark, rules.penalty_severity(F.lit(note).cast("string")))[0] == band
