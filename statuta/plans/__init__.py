@@ -1,3 +1,3 @@
 """The registered queries, by area."""
 
-from . import passages, rollups, rules, serving, streams  # noqa: F401
+from . import lifecycle, pages, passages, rollups, rules, serving, streams  # noqa: F401
