@@ -8,6 +8,7 @@ from pyspark.sql import Window, functions as F
 from ..operators.packing import passages
 from ..registry import query
 from ..sources.tables import facts, table, versions, with_domain
+from ..streaming.breaker import CALLS_LEAST, IN_A_ROW, RATE_MOST
 
 
 @query(with_domain("""SELECT version_id, line, part_id, agent_id, concat_ws(',', CASE WHEN model <> 'm1' THEN 'model' END, CASE WHEN model = 'm1' AND prompt <> 'p' || agent_id % 4 THEN 'prompt' END) AS why
@@ -158,10 +159,6 @@ def request_rates(spark, d, seconds: int = 60):
     return own.groupBy("event_type").agg(F.sum("k").alias("total"), F.max("rpm").alias("peak"), F.count_if(F.col("rpm") >= 2).alias("busy_seconds"))
 
 
-# Failures in a row, and the share of failures after so many calls, that open the breaker.
-IN_A_ROW, RATE_MOST, CALLS_LEAST = 3, 0.8, 10
-
-
 @query("""WITH o AS (SELECT user_id % 500 AS loop, event_id, ts, event_type IN ('view', 'error') AS failed, row_number() OVER w AS n, count(*) FILTER (WHERE event_type NOT IN ('view', 'error')) OVER w AS island FROM events WINDOW w AS (PARTITION BY user_id % 500 ORDER BY ts, event_id)),
 f AS (SELECT *, count(*) FILTER (WHERE failed) OVER (PARTITION BY loop ORDER BY ts, event_id) AS failures, count(*) FILTER (WHERE failed) OVER (PARTITION BY loop, island ORDER BY ts, event_id) AS in_a_row FROM o),
 t AS (SELECT *, CASE WHEN in_a_row >= 3 THEN 'consecutive' WHEN n >= 10 AND failures / n > 0.8::DOUBLE THEN 'rate' END AS reason FROM f WHERE failed)
