@@ -20,7 +20,12 @@ PAGE_CHROME = (
     "sign in", "sign up", "register now", "subscribe", "newsletter", "follow us", "share this", "print this page", "back to top",
     "copyright ©", "all rights reserved",
 )
-STOP_WORDS = ("and", "any", "for", "not", "shall", "that", "the", "with")
+# Words of three letters or more that say nothing about likeness.
+STOP_WORDS = (
+    "the", "and", "for", "that", "this", "with", "shall", "must", "may", "not", "any", "all", "such", "from", "under", "upon", "into",
+    "each", "but", "are", "has", "have", "been", "will", "who", "which", "than", "its", "also", "other", "more", "when", "where", "does",
+    "can", "would", "should", "could", "about", "their", "them", "they", "what", "section", "subsection", "paragraph", "provision",
+)
 
 
 def fold(c: Column) -> Column:
@@ -46,15 +51,25 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+# A word parted at the end of a line, numbers in the margin, and a glyph that was read as a letter.
+HYPHEN_BREAK, MARGIN_NUMBER, SECTION_GLYPH = r"([\p{L}\p{N}_])-\s*\n\s*([\p{L}\p{N}_])", r"(^|\n)[ \t]*[0-9]{1,4}(?:\.[0-9]{1,3})?[ \t]+", r"(?i)\b(SECTION)[A-Z]([0-9])"
+
+
+def unprinted(c: Column) -> Column:
+    """Without the traces of a printed page. Lines must still be there, so this goes before `collapse`."""
+    whole = F.regexp_replace(F.regexp_replace(c, HYPHEN_BREAK, "$1$2"), MARGIN_NUMBER, "$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(whole, SECTION_GLYPH, "$1 $2"), "[ \t]{2,}", " "))
+
+
 def span_tier(passage: Column, span: Column) -> Column:
-    """1 exact, 2 but for case, 3 loosely (15 characters or more), 4 without spaces (25 or more), null: not found."""
+    """1 exact, 2 but for case, 3 loosely (15 characters or more), 4 loosely without traces of print (25 or more), null: not found."""
     text, quote = collapse(fold(passage)), collapse(fold(span))
-    bare = lambda c: F.replace(loose(c), F.lit(" "), F.lit(""))
+    bare = lambda c: loose(unprinted(fold(c)))
     return (
         F.when(F.length(quote) == 0, F.lit(None).cast("int"))
         .when(F.contains(text, quote), 1)
         .when(F.contains(F.lower(text), F.lower(quote)), 2)
-        .when((F.length(loose(span)) >= LOOSE_LEAST) & F.contains(loose(passage), loose(span)), 3)
+        .when((F.length(loose(quote)) >= LOOSE_LEAST) & F.contains(loose(text), loose(quote)), 3)
         .when((F.length(bare(span)) >= STRIPPED_LEAST) & F.contains(bare(passage), bare(span)), 4)
     )
 

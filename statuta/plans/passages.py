@@ -38,14 +38,22 @@ def passage_triage(spark, d):
     return found.select("doc_id", "quality", "t.decision", "t.confidence", F.expr("CAST(length(text) DIV 4 AS BIGINT)").alias("n_tokens"), T.content_key(F.col("text")).alias("key"))
 
 
-_SPAN = f"CASE doc_id % 4 WHEN 0 THEN substr(text, 20, 60) WHEN 1 THEN translate(substr(text, 20, 60), '{_UP}', '{_LOW}') WHEN 2 THEN replace(substr(text, 20, 60), ' ', ' ; ') ELSE replace(substr(text, 20, 60), ' ', '') END"
+# a quote as it is, in capitals, with other signs, with parted words, and with numbered lines
+_SPAN = f"CASE doc_id % 5 WHEN 0 THEN substr(text, 20, 60) WHEN 1 THEN translate(substr(text, 20, 60), '{_UP}', '{_LOW}') WHEN 2 THEN replace(substr(text, 20, 60), ' ', ' ; ') WHEN 3 THEN replace(substr(text, 20, 60), 'en', concat('e-', chr(10), ' n')) ELSE replace(substr(text, 20, 60), ' ', concat(chr(10), ' 12 ')) END"
+
+
+def _unprinted(c: str) -> str:
+    text = f"translate({c}, '‘’“”–— ­', '''''\"\"-- ')"
+    for pattern, kept in ((T.HYPHEN_BREAK, r"\1\2"), (T.MARGIN_NUMBER, r"\1"), (T.SECTION_GLYPH, r"\1 \2"), ("[ \\t]{2,}", " ")):
+        text = f"regexp_replace({text}, '{pattern}', '{kept}', 'g')"
+    return text
 
 
 @query(f"""SELECT doc_id, CASE WHEN length(q) = 0 THEN NULL WHEN contains(t, q) THEN 1 WHEN contains(lower(t), lower(q)) THEN 2 WHEN length(lq) >= 15 AND contains(lt, lq) THEN 3
-WHEN length(replace(lq, ' ', '')) >= 25 AND contains(replace(lt, ' ', ''), replace(lq, ' ', '')) THEN 4 END AS tier
-FROM (SELECT doc_id, {_FOLDED.format('text')} AS t, {_FOLDED.format('span')} AS q, {_LOOSE.format('text')} AS lt, {_LOOSE.format('span')} AS lq FROM (SELECT doc_id, text, {_SPAN} AS span FROM documents))""")
+WHEN length(bq) >= 25 AND contains(bt, bq) THEN 4 END AS tier FROM (SELECT *, {_LOOSE.format('t')} AS lt, {_LOOSE.format('q')} AS lq, {_LOOSE.format('ut')} AS bt, {_LOOSE.format('uq')} AS bq
+FROM (SELECT doc_id, {_FOLDED.format('text')} AS t, {_FOLDED.format('span')} AS q, {_unprinted('text')} AS ut, {_unprinted('span')} AS uq FROM (SELECT doc_id, text, {_SPAN} AS span FROM documents)))""")
 def span_verification(spark, d):
-    """2.9.1-2.9.3, 2.9.5, 2.9.7: a quoted span against its passage, in four tiers; spans are altered quotes."""
+    """2.9.1-2.9.3, 2.9.5-2.9.7: a quoted span against its passage, in four tiers; spans are altered quotes."""
     docs = table(spark, d, "documents").withColumn("span", F.expr(_SPAN))
     return docs.select("doc_id", T.span_tier(F.col("text"), F.col("span")).alias("tier"))
 

@@ -101,3 +101,21 @@ def test_normal_date(spark, said, day):
 @pytest.mark.parametrize("note, band", [("$1,000", "under_10k"), ("$1 million", "over_1m"), ("$500k", "100k_to_1m"), ("up to $10,000", "10k_to_100k"), ("felony", "criminal"), ("penalty TBD", "unspecified"), ("no civil penalty", "none"), ("Attorney General", "unspecified"), ("", None), (None, None)])
 def test_penalty_severity(spark, note, band):
     assert one(spark, rules.penalty_severity(F.lit(note).cast("string")))[0] == band
+
+
+@pytest.mark.parametrize(
+    "passage, span, tier",
+    [
+        ("A “deployer”  shall notify.", 'a "deployer" shall', 2),
+        ("A “deployer”  shall notify.", 'A "deployer" shall', 1),
+        ("the developer, and the deployer", "developer and the deployer", 3),
+        ("the developer, and x", "developer and", None),
+        ("12 the developer shall com-\n  ply with this section of law", "developer shall comply with this section", 4),
+        ("the developer shall\n14 comply with this chapter", "developer shall comply with this chapter", 4),
+        ("see SECTIONA1 of the act of the state", "see section 1 of the act of the state", 4),
+        ("text", "", None),
+        ("", "text", None),
+    ],
+)
+def test_span_tier(spark, passage, span, tier):
+    assert one(spark, T.span_tier(F.lit(passage), F.lit(span)))[0] == tier
