@@ -223,3 +223,53 @@ def text_damage(c: Column) -> Column:
     empty = F.coalesce(collapse(c), F.lit("")) == ""
     score = F.floor(F.greatest(F.lit(0.0), 1 - lost) * 1000 + 0.5) / 1000
     return F.struct(F.when(empty, 0.0).otherwise(score).alias("score"), F.when(empty, F.array(F.lit("empty_passage"))).otherwise(flags).alias("flags"))
+
+
+# Long forms of bill numbers, the first that fits; words of a summary with their category, in order of precedence.
+BILL_FORMS = {
+    "senate bill": "sb", "house bill": "hb", "assembly bill": "ab", "senate joint resolution": "sjr", "house joint resolution": "hjr",
+    "assembly joint resolution": "ajr", "senate concurrent resolution": "scr", "house concurrent resolution": "hcr", "senate resolution": "sr",
+    "house resolution": "hr", "assembly resolution": "ar", "house file": "hf", "senate file": "sf", "legislative bill": "lb", "general assembly": "ga",
+}
+CATEGORIES = {
+    "synthetic_content": ("intimate image", "csam", "deepfake", "synthetic content", "likeness", "pornograph", "nonconsensual"),
+    "political_advertising": ("political", "election", "campaign", "ballot"),
+    "automated_decision": ("automated decision", "algorithmic", "automated-decision", "automated making", "admt"),
+    "data_privacy": ("consumer privacy", "data privacy", "personal data", "ccpa", "gdpr"),
+    "government_ai": ("government", "public sector", "state agency", "law enforcement"),
+    "employment": ("employment", "workplace", "worker", "hiring", "employer"),
+    "healthcare": ("healthcare", "health care", "medical", "clinical", "patient"),
+    "education": ("education", "student", "school", "academic"),
+    "frontier_models": ("frontier", "foundation model", "general purpose", "large language"),
+    "social_media": ("social media", "social network", "platform"),
+    "insurance": ("insurance",),
+    "comprehensive_ai": ("comprehensive", "all ai", "general ai"),
+    "transparency": ("transparency", "disclosure", "notice"),
+}
+NO_CATEGORY = "general_ai"
+
+
+def plain_name(c: Column) -> Column:
+    """Lower-case letters, digits and single spaces; other signs go without leaving a space."""
+    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(c)), r"[^a-z0-9\x20\x09-\x0D]", ""), r"[\x20\x09-\x0D]+", " ")
+
+
+def bill_id(c: Column) -> Column:
+    """A bill's number with the short form of its kind."""
+    n = plain_name(c)
+    return _first([(F.startswith(n, F.lit(f"{long} ")), F.concat(F.lit(f"{short} "), F.substring(n, len(long) + 2, 1 << 30))) for long, short in BILL_FORMS.items()], n)
+
+
+def bill_id_sql(c: str) -> str:
+    n = rf"regexp_replace(regexp_replace(trim(lower({c})), '[^a-z0-9\x20\x09-\x0D]', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')"
+    return f"CASE {' '.join(f'''WHEN starts_with({n}, '{long} ') THEN '{short} ' || substr({n}, {len(long) + 2})''' for long, short in BILL_FORMS.items())} ELSE {n} END"
+
+
+def category(c: Column) -> Column:
+    low = F.lower(c)
+    return _first([(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]), F.lit(name)) for name, words in CATEGORIES.items()], F.lit(NO_CATEGORY))
+
+
+def category_sql(c: str) -> str:
+    hit = lambda words: " OR ".join(f"contains(lower({c}), '{w}')" for w in words)
+    return f"CASE {' '.join(f'''WHEN {hit(w)} THEN '{k}' ''' for k, w in CATEGORIES.items())} ELSE '{NO_CATEGORY}' END"

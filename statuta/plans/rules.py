@@ -95,3 +95,14 @@ def defined_terms(spark, d):
     bare = F.regexp_replace(F.regexp_replace(answer, r"(?s)<think>.*?</think>", ""), r"```(?:json)?\s*", "")
     terms = F.regexp_extract_all(F.expr(_DEFINED.replace('\\"', '"')), F.lit(_TERM), F.lit(1))
     return docs.select("doc_id", F.array_join(terms, "|").alias("terms"), bare.alias("answer"), (F.length(F.regexp_replace(text, r"\[[^\]]*\]", "")) < F.length(text)).alias("bracketed"))
+
+
+_BILL_SAID = "CASE p_partkey % 6 WHEN 0 THEN 'Senate  Bill ' || p_size WHEN 1 THEN ' H.B. ' || p_size WHEN 2 THEN 'House Joint Resolution No. ' || p_size WHEN 3 THEN 'senate bill' WHEN 4 THEN 'SB-' || p_size ELSE p_name END"
+_SUMMARY = "CASE p_partkey % 7 WHEN 0 THEN 'Deepfake notices in an ELECTION' WHEN 1 THEN 'Hiring by algorithmic means' WHEN 2 THEN 'Insurance disclosure' WHEN 3 THEN 'notice to a patient' WHEN 4 THEN 'School platform' WHEN 5 THEN '' ELSE p_type END"
+
+
+@query(f"SELECT p_partkey, {R.bill_id_sql('bill')} AS bill, {R.category_sql('summary')} AS category FROM (SELECT p_partkey, {_BILL_SAID} AS bill, {_SUMMARY} AS summary FROM part)")
+def bill_ids(spark, d):
+    """2.9.44, 2.9.45, 2.9.58: bill numbers in one form, and categories by ordered words."""
+    p = table(spark, d, "part").select("p_partkey", F.expr(_BILL_SAID).alias("bill"), F.expr(_SUMMARY).alias("summary"))
+    return p.select("p_partkey", R.bill_id(F.col("bill")).alias("bill"), R.category(F.col("summary")).alias("category"))
