@@ -211,7 +211,7 @@ def _scored(docs: DataFrame, net: ConvNet) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """The documents, all columns (`text` and `lang` among them), that neither THRESHOLD nor their language's threshold rejects; no shuffle."""
+    """The documents, all columns (`text` and `lang` among them), that score below their language's threshold, THRESHOLD where none was fitted; no shuffle."""
     net = fit(training_sample(docs, labels, "toxic", per_class))
     model = docs.sparkSession.sparkContext.broadcast(net)
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
@@ -219,7 +219,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for b in batches:
-            keep = [scorer.score(t.as_py()) < min(THRESHOLD, scorer.net.thresholds.get(x, THRESHOLD)) for t, x in zip(b.column(text), b.column(lang).to_pylist())]
+            keep = [scorer.score(t.as_py()) < scorer.net.thresholds.get(x, THRESHOLD) for t, x in zip(b.column(text), b.column(lang).to_pylist())]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
