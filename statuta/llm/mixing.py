@@ -1,24 +1,29 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source is a queue of its documents in a shuffled but fixed order, served twice at most. A document's virtual
-finish time is the source's words served up to its end, divided by the source's target. Targets add up to the budget,
-so the budget runs out at virtual time 1: what has been served by then is the mix.
-
-Defined results: a null text has no words and is taken with none; a null source is a source of its own, last in
-order; repeated rows are documents of their own; an empty table gives no rows; other columns are ignored, or carried
-along by `mixed_documents`.
+Every source is a queue of its documents in a shuffled but fixed order, served `repeats` times at most. A document's
+turn has a virtual finish time: the source's words served up to its end, divided by the source's target. All turns of all
+sources are sorted by finish time over ranges of the cluster and served whole until the total budget is spent; what has
+been served by then is the mix. A source therefore ends within one document of its target, and the little that its last
+document leaves goes to the others in proportion.
+
+Defined results: a null text has no words; a document without words has one turn; a null source is a source of its own,
+last in order; repeated rows are documents of their own, one after the other in their queue; ties in finish time go by
+shuffled order; texts of any length are only counted and are served whole or not at all; an empty table gives no rows;
+other columns are ignored, or carried along by `mixed_documents`.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, packed
+from .common import WORD, packed, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEATS = 2
 SEED = "mix-1"
+#: Ranges of finish time, at least; the one in which the budget runs out is summed up row by row.
+RANGES = 64
 
 
 def size_of(text: str = "text") -> Column:
@@ -48,38 +53,65 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repe
     return per.select("source", "source_size", target.alias("target"))
 
 
-def fair_queue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, start (words of its source ahead of it in a
-    round), virtual_finish of its first turn, taken.
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, *carried: Column) -> DataFrame:
+    """row, doc_id, source, size, shuffle and `carried`, written: words are counted once, and a row keeps its number."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(text_col, F.lit(""))))
+    shuffle = F.md5(F.concat_ws(":", F.lit(seed), name)).alias("shuffle")
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"), shuffle, *carried))
+
+
+def finish_times(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
+    """One row for each turn of each document: row, doc_id, source, size, shuffle, source_size, target, turn, finish.
 
     Running totals go by (source, cell) and then over the cells of a source, so that no source, however large, is
-    summed up in one task. A document at the end of its source's share is taken in part, to the word.
-    """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))).alias("shuffle"))
-    base = base.withColumn("cell", F.substring("shuffle", 1, 3))
+    summed up in one task."""
+    base = sized.select("row", "doc_id", "source", "size", "shuffle", F.substring("shuffle", 1, 3).alias("cell"))
     targets = source_targets(base, weights, share, repeats)
     cells = base.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     ahead = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("cell_start", F.coalesce(F.sum("cell_size").over(ahead), F.lit(0)))
     same_source = lambda a, b: a["source"].eqNullSafe(b["source"])
     cells = cells.join(targets, same_source(cells, targets)).select(cells["source"].alias("s"), F.col("cell").alias("c"), "cell_start", "source_size", "target")
-    within = Window.partitionBy("source", "cell").orderBy("shuffle", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "cell").orderBy("shuffle", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     queue = base.withColumn("upto", F.sum("size").over(within))
-    queue = queue.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).withColumn("start", F.col("cell_start") + F.col("upto") - F.col("size"))
-    served = lambda turn: F.least(F.greatest(F.floor(F.col("target")) - F.col("start") - F.lit(turn) * F.col("source_size"), F.lit(0)), F.col("size"))
-    taken = sum((served(k) for k in range(1, repeats)), served(0))
-    finish = F.when(F.col("target") > 0, (F.col("start") + F.col("size")) / F.col("target")).otherwise(F.lit(0.0))
-    return queue.select("doc_id", "source", "size", "source_size", "target", "start", finish.alias("virtual_finish"), taken.cast("long").alias("taken"))
+    queue = queue.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).withColumn("end", F.col("cell_start") + F.col("upto"))
+    last = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.lit(repeats - 1))
+    each = queue.select("row", "doc_id", "source", "size", "shuffle", "source_size", "target", "end", F.explode(F.sequence(F.lit(0), last)).alias("turn"))
+    served = (F.col("turn") * F.col("source_size") + F.col("end")).cast("double")
+    return each.withColumn("finish", F.when(F.col("target") > 0, served / F.col("target")).otherwise(F.lit(0.0))).drop("end")
+
+
+def served_turns(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
+    """`finish_times`, range-sorted, with `served`: whether the budget lasts to the end of the turn. Written.
+
+    Ranges of finish time are summed up, which tells those before the end of the budget from those behind it; only the
+    range in which it runs out is summed up turn by turn."""
+    order = ["finish", "shuffle", "doc_id", "size", "row", "turn"]
+    ranges = max(RANGES, int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    turns = written(finish_times(sized, weights, share, repeats).repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
+    totals = turns.groupBy("range").agg(F.sum("size").alias("range_size"))
+    behind = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("before", F.coalesce(F.sum("range_size").over(behind), F.lit(0)))
+    budget = sized.agg((F.lit(share) * F.coalesce(F.sum("size"), F.lit(0))).alias("budget"))
+    # one row for each range, and one row
+    turns = turns.join(F.broadcast(totals), "range").crossJoin(F.broadcast(budget))
+    crossed = (F.col("before") <= F.col("budget")) & (F.col("before") + F.col("range_size") > F.col("budget"))
+    upto = F.sum("size").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    edge = turns.filter(crossed).withColumn("served", F.col("before") + upto <= F.col("budget"))
+    rest = turns.filter(~crossed).withColumn("served", F.col("before") + F.col("range_size") <= F.col("budget"))
+    return written(rest.unionByName(edge).drop("range", "range_size", "before", "budget"))
+
+
+def fair_queue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, virtual_finish of its first turn, turns served, taken (their words)."""
+    turns = served_turns(_sized(docs, id_col, text_col, source_col, seed), weights, share, repeats)
+    served = F.count(F.when(F.col("served"), 1))
+    found = turns.groupBy("row", "doc_id", "source", "size", "source_size", "target").agg(F.min("finish").alias("virtual_finish"), served.alias("turns"))
+    return found.select("doc_id", "source", "size", "source_size", "target", "virtual_finish", "turns", (F.col("turns") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
-    """The mix itself: whole documents, repeated as often as they are taken (a part of half or more counts as one),
-    range-sorted over the cluster by virtual finish time. Documents without words are taken once."""
-    queue = fair_queue(docs, id_col, text_col, source_col, weights, share, repeats, seed)
-    turns = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    plan = queue.select("doc_id", "size", turns.alias("turns"), "virtual_finish", "source_size", "target").filter("turns > 0").dropDuplicates(["doc_id", "size"])
-    keyed = docs.select(packed(docs), F.col(id_col).alias("id"), size_of(text_col).alias("words"))
-    turn = F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn")
-    out = keyed.join(plan, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("words") == F.col("size"))).select("doc", "id", "virtual_finish", "source_size", "target", turn)
-    finish = F.col("virtual_finish") + F.when(F.col("target") > 0, F.col("turn") * F.col("source_size") / F.col("target")).otherwise(F.lit(0.0))
-    return out.withColumn("finish", finish).orderBy("finish", "id").select("doc.*")
+    """The mix itself: the documents once for each turn served, range-sorted over the cluster by finish time."""
+    sized = _sized(docs, id_col, text_col, source_col, seed, packed(docs))
+    turns = served_turns(sized.drop("doc"), weights, share, repeats).filter("served").select("row", "finish", "shuffle", "turn")
+    return sized.select("row", "doc").join(turns, "row").orderBy("finish", "shuffle", "row", "turn").select("doc.*")
