@@ -8,12 +8,15 @@ Candidate search loses no pair: every bit position gets a random vector of RADIU
 of RADIUS positions cannot span the whole space, so some v is orthogonal to all of them, and its mask leaves out every
 position in which two fingerprints within the radius differ: they agree on the masked bits and meet in that table.
 
-Equal fingerprints are folded into one node first. A table's bucket is compared in blocks of bounded size, and only
-the edges of a spanning forest leave a block.
-
-Defined results: a null or empty text has fingerprint zero, linked like any other; a short text is one shingle;
-repeated rows share a component; a null doc_id counts as larger than any; an empty table gives no rows; other columns
-are ignored by `near_components` and carried along by `drop_near_copies`.
+Equal fingerprints are folded into one node first. A bucket of up to `BLOCK` fingerprints is compared in one go as it
+streams by, and only the edges of a spanning forest leave it. A larger one is split by a second family of masks, whose
+guarantee holds within it as well: its members agree on half of the bits already, so these buckets are smaller by far.
+What is still too large after that is compared block by block, all pairs of blocks.
+
+Defined results: a null or empty text has fingerprint zero, linked like any other; a short text is one shingle, a long
+one is counted in chunks; a bit set in exactly half of the hashes is 0; repeated rows share a component; ids may be of
+any type that has an order; a null doc_id counts as larger than any; an empty table gives no rows; other columns are
+ignored by `near_components` and carried along by `drop_near_copies`.
 """
 
 from __future__ import annotations
@@ -62,8 +65,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and text_key (a hash of the text, which tells rows of one id apart)."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key"))
-    return own.mapInArrow(_fingerprints, "doc_id long, fp long, text_key long")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key"))
+    return own.mapInArrow(_fingerprints, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long, text_key long")
 
 
 def _text_key(text_col: str) -> Column:
@@ -96,56 +99,91 @@ def _forest(fps: np.ndarray, ids: np.ndarray, radius: int) -> list[tuple[int, in
     return edges
 
 
-def _block_edges(radius: int):
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Arrays of (key, fp) rows, sorted by key, none of which ends within a key's rows unless it holds over BLOCK of them."""
+    waiting = np.empty((0, 2), np.int64)
+    for b in batches:
+        rows = np.concatenate((waiting, np.stack([c.to_numpy() for c in b.columns], axis=1)))
+        last = np.searchsorted(rows[:, 0], rows[-1, 0]) if len(rows) else 0
+        whole = len(rows) if len(rows) - last > BLOCK else last
+        done, waiting = rows[:whole], rows[whole:]
+        if len(done):
+            yield done
+    if len(waiting):
+        yield waiting
+
+
+def _edges_by_bucket(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by block; a block that a batch cuts waits for the rest."""
-        waiting: list[np.ndarray] = []
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        """Edges (a, b) of each bucket; the members of one above BLOCK as (key, fp), `big`."""
+        carried = None  # key of a bucket whose first part was too large already
+        for rows in _runs(batches):
+            bounds = np.concatenate(([0], np.flatnonzero(np.diff(rows[:, 0])) + 1, [len(rows)]))
+            sizes, fps = np.diff(bounds), rows[:, 1]
+            one = bounds[:-1][sizes == 2]
+            near = np.bitwise_count((fps[one] ^ fps[one + 1]).view(np.uint64)) <= radius
+            edges, big = [np.stack([fps[one[near]], fps[one[near] + 1]], axis=1)], []
+            for k in np.flatnonzero((sizes > 2) | (bounds[:-1] == 0)).tolist():
+                part = rows[bounds[k] : bounds[k + 1]]
+                if len(part) > BLOCK or part[0, 0] == carried:
+                    big.append(part)
+                    carried = part[0, 0]
+                elif sizes[k] > 2:
+                    edges.append(np.array(_forest(part[:, 1].view(np.uint64), part[:, 1], radius), np.int64).reshape(-1, 2))
+            both = np.concatenate(edges)
+            found = np.concatenate([np.stack([both.min(axis=1), both.max(axis=1)], axis=1), *big]) if len(both) or big else both
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(np.arange(len(found)) >= len(both))], names=["a", "b", "big"])
 
-        def edges_of(rows: np.ndarray) -> list[tuple[int, int]]:
-            return _forest(rows[:, 4].view(np.uint64), rows[:, 5], radius)
+    return run
 
-        def out(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-            both = np.array(edges, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], schema=schema)
+
+def _block_edges(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, lo, hi, fp) come sorted by block, each of which is held whole."""
+        now, held = None, []
+
+        def out() -> pa.RecordBatch:
+            fps = np.array(held, np.int64)
+            both = np.array(_forest(fps.view(np.uint64), fps, radius), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], names=["a", "b"])
 
         for b in batches:
-            rows = np.ascontiguousarray(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1))
-            if not len(rows):
-                continue
-            cuts = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
-            parts = np.split(rows, cuts)
-            edges = []
-            for i, part in enumerate(parts):
-                if i or (waiting and (waiting[-1][-1, :4] != part[0, :4]).any()):
-                    if waiting:
-                        edges += edges_of(np.concatenate(waiting))
-                    waiting = []
-                waiting.append(part)
-            if edges:
-                yield out(edges)
-        if waiting and (edges := edges_of(np.concatenate(waiting))):
-            yield out(edges)
+            for *block, fp in zip(*(c.to_pylist() for c in b.columns)):
+                if block != now:
+                    if len(held) > 1:
+                        yield out()
+                    now, held = block, []
+                held.append(fp)
+        if len(held) > 1:
+            yield out()
 
     return run
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges a < b that connect the same nodes as all links do. nodes: fp, node (distinct, written)."""
-    masks = covering_masks(radius)
-    tables = F.array(*[F.struct(F.lit(k).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
-    keyed = nodes.select("fp", "node", F.explode(tables).alias("x")).select(F.col("x.t").alias("t"), F.col("x.key").alias("key"), "fp", "node")
-    buckets = written(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp")).alias("first"), F.max(F.struct("node", "fp")).alias("last")).filter("n > 1"))
-    near = F.bit_count(F.col("first.fp").bitwiseXOR(F.col("last.fp"))) <= radius
-    pairs = buckets.filter((F.col("n") == 2) & near).select(F.col("first.node").alias("a"), F.col("last.node").alias("b"))
-    large = buckets.filter("n > 2").select("t", "key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-    # A bucket of several blocks is compared block by block: a member goes to every pair of blocks that holds its own.
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    placed = keyed.join(large, ["t", "key"]).select("t", "key", "fp", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "node")
+    """Edges a < b between fingerprints that connect the same nodes as all links do. nodes: fp (distinct, written)."""
     parts = max(8, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blocks = placed.repartition(parts, "t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi")
-    return pairs.unionByName(blocks.mapInArrow(_block_edges(radius), "a long, b long")).distinct()
+
+    def bucketed(rows: DataFrame, seed: int, *within: str) -> DataFrame:
+        # A bucket is known by a hash of table and masked bits: buckets that share one are compared together, no more.
+        keys = F.array(*[F.xxhash64(*within, F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(covering_masks(radius, seed=seed))])
+        keyed = rows.repartition(parts).select(F.explode(keys).alias("key"), "fp")
+        return written(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_edges_by_bucket(radius), "a long, b long, big boolean"))
+
+    first = bucketed(nodes.select("fp"), 11)
+    found, large = first.filter("NOT big"), first.filter("big").select(F.col("a").alias("bucket"), F.col("b").alias("fp"))
+    if not large.isEmpty():
+        second = bucketed(large, 12, "bucket")
+        found, large = found.unionByName(second.filter("NOT big")), second.filter("big").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+        # A bucket of several blocks is compared block by block: a member goes to every pair of blocks that holds its own.
+        sizes = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+        placed = large.join(sizes, "key").select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        placed = placed.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
+        blocks = placed.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        found = found.select("a", "b").unionByName(blocks.mapInArrow(_block_edges(radius), "a long, b long"))
+    return found.select("a", "b").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -175,16 +213,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, text_key, component_id for every row."""
+    """doc_id, fp, text_key, component_id and group (the component's smallest fingerprint) for every row."""
     return components_of(written(fingerprints(docs, id_col, text_col)), radius)
 
 
 def components_of(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """component_id added to `marked`: doc_id, fp and more, written. A node is the smallest doc_id of a fingerprint."""
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = connected_components(links(nodes.filter("node IS NOT NULL"), radius))
-    label = written(nodes.join(found, "node", "left").select(F.col("fp").alias("f"), F.coalesce("component", "node").alias("component_id")))
-    return marked.join(label, F.col("fp") == F.col("f"), "left").select(*marked.columns, "component_id")
+    """component_id added to `marked`: doc_id, fp and more, written. Fingerprints are the nodes; a component is then named
+    by its smallest doc_id."""
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = nodes.join(connected_components(links(nodes, radius)), F.col("fp") == F.col("node"), "left").select("fp", "least", "component")
+    names = found.filter("component IS NOT NULL").groupBy(F.col("component").alias("c")).agg(F.min("least").alias("name"))
+    named = found.join(names, F.col("component") == F.col("c"), "left")
+    label = written(named.select(F.col("fp").alias("f"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("name")).alias("component_id"), F.coalesce("component", "fp").alias("group")))
+    return marked.join(label, F.col("fp") == F.col("f"), "left").select(*marked.columns, "component_id", "group")
 
 
 def hex_of(fp: Column) -> Column:
@@ -193,9 +234,9 @@ def hex_of(fp: Column) -> Column:
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The document with the smallest id of each component, with all its columns; of rows repeated in full, one."""
-    key = lambda i, text_key: F.concat_ws(":", F.coalesce(i.cast("long").cast("string"), F.lit("")), text_key)
-    heads = near_components(docs, id_col, text_col, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    group = F.coalesce("component_id", "fp").alias("group")
-    kept = heads.groupBy("doc_id", group).agg(F.min("text_key").alias("text_key")).select(key(F.col("doc_id"), F.col("text_key")).alias("key"))
+    key = lambda i, text_key: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("")), text_key)
+    found = near_components(docs, id_col, text_col, radius)
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first"))
+    kept = first.select(key(F.col("first.doc_id"), F.col("first.text_key")).alias("key"))
     keyed = docs.select(packed(docs), key(F.col(id_col), _text_key(text_col)).alias("key"))
     return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
