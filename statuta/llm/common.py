@@ -16,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder for intermediate tables; a local one only where none is set, as in tests."""
+    """The cluster's folder for intermediate tables. Where none is set, a local folder serves a local master, as in
+    tests; on a cluster that would be one machine's disk, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="statuta-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -2,11 +2,12 @@
 
 A line is normalised (ASCII white space stripped at both ends, A-Z lower-cased) and hashed to 64 bits. For every host
 (`source`) the distinct documents that hold it are counted; a line above the limit is taken out of all of them, and a
-document of which too little is left is rejected.
+document of which too little is left is rejected. The limit follows the host: more than `MIN_DOCS` documents, and more
+than `MAX_PERCENT_OF_HOST` percent of the host's rows.
 
-Defined results: a null or empty text has no words, fails the base rules and is not kept; a null host is a host of
-its own; rows repeated in full count as one document and share one verdict; an empty table gives no rows; other columns
-are ignored.
+Defined results: a null or empty text has no words, fails the base rules and is not kept; a text of any length is counted
+whole, within its row; a null host is a host of its own; a line at the limit exactly stays; rows repeated in full count as
+one document that holds a line, and share one verdict; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from .common import WORD, text_or_empty, words_of
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A line is taken out if more documents than this hold it within one host.
-MAX_DOCS_PER_HOST = 1000
+#: A line is taken out if more documents than this, and more than this share of the host's rows, hold it.
+MIN_DOCS = 5
+MAX_PERCENT_OF_HOST = 2
 #: A document is depleted if fewer words, or a smaller share of its words, are left.
 MIN_WORDS_LEFT = 10
 MIN_PERCENT_LEFT = 20
@@ -80,12 +82,17 @@ def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return each.select("host", "line", "doc_id", "text_key", (times * one).alias("words"))
 
 
-def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS_PER_HOST) -> DataFrame:
-    """base_counts plus n_common_words (words of lines above the limit), depleted and kept."""
+def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_percent: float = MAX_PERCENT_OF_HOST) -> DataFrame:
+    """base_counts plus n_common_words (words of lines above the limit), depleted and kept.
+
+    Lines above the floor, at most one in `min_docs` of all, meet the sizes of their hosts; the join by host has one row
+    a host on its other side, so a hot host's lines can be split."""
     base = base_counts(docs, id_col, text_col, host_col)
     lines = document_lines(docs, id_col, text_col, host_col)
+    hosts = docs.groupBy(F.col(host_col).alias("of")).agg(F.count(F.lit(1)).alias("host_rows"))
     once = lines.groupBy("host", "line", "doc_id", "text_key").agg(F.max("words").alias("words"))
-    common = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_docs)
+    common = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs)
+    common = common.join(hosts, F.col("host").eqNullSafe(F.col("of"))).filter(100 * F.col("n") > max_percent * F.col("host_rows"))
     common = common.select(F.col("host").alias("h"), F.col("line").alias("l"))
     removed = once.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).groupBy("doc_id", "text_key", "host").agg(F.sum("words").alias("n_common_words"))
     removed = removed.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("host").alias("h"), "n_common_words")

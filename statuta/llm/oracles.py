@@ -23,8 +23,8 @@ FROM k LEFT JOIN f ON k.key = f.key GROUP BY r, doc_id
 """
 
 MIXING = f"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size,
-                  md5('mix-1:' || doc_id) AS shuffle FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size,
+                  md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS shuffle FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
              2 * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM s),
@@ -32,12 +32,14 @@ o AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, source
              / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 p AS (SELECT arg_min(level, cap / weight) FILTER (WHERE level * weight < cap) AS final FROM o),
 t AS (SELECT source, source_size, CASE WHEN final IS NULL OR final * weight >= cap THEN CAST(cap AS DOUBLE) ELSE final * weight END AS target FROM o, p),
-q AS (SELECT doc_id, size, source_size, target,
-             CAST(sum(size) OVER (PARTITION BY d.source ORDER BY shuffle, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(least(greatest(floor(target) - start, 0), size) + least(greatest(floor(target) - start - source_size, 0), size) AS BIGINT) AS taken
-FROM q
+q AS (SELECT r, doc_id, size, shuffle, source_size, target,
+             CAST(sum(size) OVER (PARTITION BY d.source ORDER BY shuffle, doc_id, size, r ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CASE WHEN target > 0 THEN CAST(turn * source_size + upto AS DOUBLE) / target ELSE 0 END AS finish
+      FROM (SELECT *, unnest(CASE WHEN size = 0 THEN [0] ELSE [0, 1] END) AS turn FROM q)),
+c AS (SELECT *, sum(size) OVER (ORDER BY finish, shuffle, doc_id, size, r, turn ROWS UNBOUNDED PRECEDING) <= 1.5::DOUBLE * (SELECT sum(size) FROM d) AS served FROM e)
+SELECT doc_id, size, source_size, target, count(*) FILTER (WHERE served) AS turns, CAST(size * count(*) FILTER (WHERE served) AS BIGINT) AS taken
+FROM c GROUP BY r, doc_id, size, source_size, target
 """
 
 _AHEAD = ", ".join(f"lead(word, {k}) OVER (PARTITION BY r ORDER BY i)" for k in range(1, 8))
@@ -53,7 +55,9 @@ l AS (SELECT r, doc_id, source, unnest(lines) AS line FROM d),
 x AS (SELECT r, doc_id, source, line, {_LOWER.format(_ENDS.format('line'))} AS key, len(regexp_extract_all(line, '{_WORD}')) AS n FROM l
       WHERE regexp_matches(line, '{_WORD}')),
 u AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM x GROUP BY r),
-f AS (SELECT source, key FROM x GROUP BY source, key HAVING count(DISTINCT doc_id) > 1000),
+o AS (SELECT source, count(*) AS host_rows FROM documents GROUP BY source),
+f AS (SELECT source, key FROM (SELECT source, key, count(DISTINCT doc_id) AS n FROM x GROUP BY source, key) c
+      WHERE n > 5 AND 100 * n > 2 * (SELECT host_rows FROM o WHERE o.source IS NOT DISTINCT FROM c.source)),
 z AS (SELECT r, sum(n) AS n_common_words FROM x JOIN f ON x.key = f.key AND x.source IS NOT DISTINCT FROM f.source GROUP BY r),
 b AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
              CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
