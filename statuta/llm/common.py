@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -54,18 +54,17 @@ def words_of(c: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE, -1))
 
 
-def numbered(df: DataFrame, within: list[str], cell: str, order: list[Column], cells: int, name: str) -> DataFrame:
-    """Adds `name`: 0, 1, 2, ... within each value of `within`, by `cell` (0 to cells-1) and then `order`.
+def numbered(df: DataFrame, within: list[str], cell: str, order: list[Column], cells: int, name: str, size: str | None = None) -> DataFrame:
+    """Adds `name`: 0, 1, 2, ... within each value of `within`, by `cell` (0 to cells-1) and then `order`; or, with
+    `size`, the sum of the sizes ahead.
 
     A window over `within` alone would put a whole group into one task. Here each (within, cell) is numbered by
     itself and moved up by the rows of the cells before it. `within` must take a fixed number of values; the table of
     offsets has at most that number times `cells` rows.
     """
-    from pyspark.sql import Window
-
-    keys = [*within, cell]
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    keys, value = [*within, cell], F.col(size) if size else F.lit(1).cast("long")
+    counts = df.groupBy(*keys).agg(F.sum(value).alias("__n"))
     before = Window.partitionBy(*(within or [F.lit(0)])).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inner = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__inner", inner).join(bounded_broadcast(offsets), keys).withColumn(name, F.col("__before") + F.col("__inner") - 1).drop("__before", "__inner")
+    upto = F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumn("__upto", upto).join(bounded_broadcast(offsets), keys).withColumn(name, F.col("__before") + F.col("__upto") - value).drop("__before", "__upto")

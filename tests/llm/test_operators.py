@@ -74,12 +74,39 @@ def test_sharding_law(docs, rows, shards):
     assert {(r.law, r.grown_shard) for r in out} == {("rows", None)}
 
 
-def test_sharding_keeps_copies_together(spark):
-    copies = [(k, f"group {k // 5}", "en", "s") for k in range(400)]
-    out = sharding.shard_documents(docs_of(spark, copies), n_shards=8).collect()
-    cut = sum(len({r.shard for r in out if r.doc_id // 5 == g}) - 1 for g in range(80))
-    apart = sharding.shard_documents(docs_of(spark, copies), n_shards=8, rounds=0).collect()
-    assert cut < 0.35 * sum(len({r.shard for r in apart if r.doc_id // 5 == g}) - 1 for g in range(80))
+def cut_groups(out, group):
+    shards = defaultdict(set)
+    for r in out:
+        shards[group(r.doc_id)].add(r.shard)
+    sizes = Counter(r.shard for r in out)
+    assert max(sizes.values()) - min(sizes[s] for s in range(24)) <= 1
+    return Counter(len(x) for x in shards.values()), shards
+
+
+def test_sharding_cuts_no_more_than_it_must(spark):
+    """2000 groups of five, all linked: 24 shards of 416 or 417 rows hold 83 whole groups each, so 8 must be cut."""
+    out = sharding.shard_documents(docs_of(spark, [(k, f"group {k // 5}", "en", "s") for k in range(10_000)])).collect()
+    spread, _ = cut_groups(out, lambda i: i // 5)
+    assert sum(spread.values()) - spread[1] <= 8 * 1.1
+
+
+@pytest.mark.parametrize("kind", ["mixed", "hot", "large"])
+def test_sharding_under_skew(spark, kind):
+    """Groups that fit stay whole but for one a shard, and a group above a quota lies in as few shards as it can."""
+    rng, groups = random.Random(4), []
+    if kind == "mixed":
+        groups = [rng.randrange(2, 21) for _ in range(900)]
+    elif kind == "hot":  # a third of all rows in one group
+        groups = [3500] + [rng.randrange(2, 11) for _ in range(1150)]
+    else:
+        groups = [300] * 30 + [rng.randrange(1, 4) for _ in range(1000)]
+    of = [g for g, n in enumerate(groups) for _ in range(n)]
+    out = sharding.shard_documents(docs_of(spark, [(k, f"group {g}", "en", "s") for k, g in enumerate(of)])).collect()
+    spread, shards = cut_groups(out, of.__getitem__)
+    quota = len(of) // 24
+    cut = [g for g, n in enumerate(groups) if len(shards[g]) > 1 and n <= quota]
+    assert len(cut) <= 24 and len(out) == len(of)
+    assert all(len(shards[g]) <= -(-n // quota) + 1 for g, n in enumerate(groups) if n > quota)
 
 
 # 2 quotation linking
