@@ -76,19 +76,32 @@ WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, * FROM conversations),
 l AS (SELECT r, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 m AS (SELECT *, length(regexp_replace(regexp_extract(line, '{_MARKS}'), '[^>]', '', 'g')) AS level,
              {_LOWER.format("trim(regexp_replace(regexp_replace(line, '" + _MARKS + "', ''), '" + _SPACE + "', ' ', 'g'))")} AS normal FROM l),
-k AS (SELECT DISTINCT conv_id, turn, level, normal FROM m WHERE normal <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
-s AS (SELECT q.conv_id, q.turn, q.level, q.normal, max(o.turn) AS source
-      FROM k q JOIN k o ON o.conv_id = q.conv_id AND o.normal = q.normal AND o.level = 0 AND o.turn < q.turn WHERE q.level > 0 GROUP BY ALL),
-v AS (SELECT conv_id, turn, source, sum(CASE WHEN level = 1 THEN length(normal) ELSE 0 END) AS chars, count(*) AS n FROM s GROUP BY ALL),
+a AS (SELECT *, normal = '' OR lag(normal, 1, '') OVER o = '' OR lag(level) OVER o <> level AS opens
+      FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL WINDOW o AS (PARTITION BY r ORDER BY i)),
+b AS (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS passage FROM a),
+w AS (SELECT r, conv_id, turn, level, passage, string_agg(normal, ' ' ORDER BY i) AS normal, count(*) AS n FROM b WHERE normal <> '' GROUP BY ALL),
+k AS (SELECT r, conv_id, turn, level, passage, TRUE AS whole, normal FROM w
+      UNION ALL SELECT r, conv_id, turn, level, passage, FALSE, b.normal FROM b JOIN w USING (r, conv_id, turn, level, passage)
+      WHERE w.n > 1 AND b.normal <> '' AND len(string_split(b.normal, ' ')) >= 3),
+q AS (SELECT row_number() OVER () AS id, * FROM k WHERE level > 0),
+s AS (SELECT q.id, max(o.turn) AS source FROM q JOIN k o ON o.conv_id = q.conv_id AND o.normal = q.normal AND o.level = 0 AND o.turn < q.turn GROUP BY q.id),
+f AS (SELECT *, bool_or(whole) OVER (PARTITION BY r, passage) AS has_whole FROM q JOIN s USING (id)),
+g AS (SELECT conv_id, turn, level, source, length(normal) AS size FROM f WHERE whole OR NOT has_whole),
+v AS (SELECT conv_id, turn, source, sum(CASE WHEN level = 1 THEN size ELSE 0 END) AS chars, count(*) AS n FROM g GROUP BY ALL),
+x AS (SELECT conv_id, turn, string_agg(level || ':' || source, ',' ORDER BY level, source) AS origins FROM (SELECT DISTINCT conv_id, turn, level, source FROM g) GROUP BY ALL),
 p AS (SELECT conv_id, turn, sum(n) AS n_linked, (max(struct_pack(chars := chars, source := source)) FILTER (WHERE chars > 0)).source AS parent_turn FROM v GROUP BY ALL),
 e AS (SELECT * FROM p WHERE parent_turn IS NOT NULL),
 t AS (SELECT conv_id, turn, parent_turn AS up, 1 AS depth FROM e
       UNION ALL SELECT t.conv_id, t.turn, e.parent_turn, t.depth + 1 FROM t JOIN e ON e.conv_id = t.conv_id AND e.turn = t.up),
+z AS (SELECT DISTINCT conv_id, turn, [turn] AS path FROM d ANTI JOIN e USING (conv_id, turn) WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+      UNION ALL SELECT e.conv_id, e.turn, list_append(z.path, e.turn) FROM z JOIN e ON e.conv_id = z.conv_id AND e.parent_turn = z.turn),
+y AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS position FROM z),
 h AS (SELECT conv_id, turn, min(up) AS thread_root, max(depth) AS depth FROM t GROUP BY ALL),
 c AS (SELECT r, count(*) FILTER (WHERE level > 0) AS n_quoted, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0), '') AS clean_text FROM m GROUP BY r)
-SELECT d.conv_id, d.turn, d.role, e.parent_turn, coalesce(h.thread_root, d.turn) AS thread_root, CAST(coalesce(h.depth, 0) AS BIGINT) AS depth,
-       CAST(coalesce(c.n_quoted, 0) AS BIGINT) AS n_quoted, CAST(coalesce(e.n_linked, 0) AS BIGINT) AS n_linked, c.clean_text
-FROM d LEFT JOIN c USING (r) LEFT JOIN e ON e.conv_id = d.conv_id AND e.turn = d.turn LEFT JOIN h ON h.conv_id = d.conv_id AND h.turn = d.turn
+SELECT d.conv_id, d.turn, d.role, p.parent_turn, y.position, coalesce(x.origins, '') AS origins, coalesce(h.thread_root, d.turn) AS thread_root, CAST(coalesce(h.depth, 0) AS BIGINT) AS depth,
+       CAST(coalesce(c.n_quoted, 0) AS BIGINT) AS n_quoted, CAST(coalesce(p.n_linked, 0) AS BIGINT) AS n_linked, c.clean_text
+FROM d LEFT JOIN c USING (r) LEFT JOIN p ON p.conv_id = d.conv_id AND p.turn = d.turn LEFT JOIN x ON x.conv_id = d.conv_id AND x.turn = d.turn
+LEFT JOIN y ON y.conv_id = d.conv_id AND y.turn = d.turn LEFT JOIN h ON h.conv_id = d.conv_id AND h.turn = d.turn
 """
 
 ORACLES = {

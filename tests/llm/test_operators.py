@@ -112,28 +112,152 @@ def test_sharding_under_skew(spark, kind):
 # 2 quotation linking
 
 
+MESSAGES = "conv_id long, turn long, role string, text string, level int, key string"
+
+
+def brute_conversations(said):
+    """Loops over messages: (conv, turn) -> parent, root, depth, position, linked pieces, origins."""
+    def parse(text):
+        out, last = [], None
+        for line in (text or "").split("\n"):
+            bare, level = line, 0
+            while bare.lstrip(" \t").startswith(">"):
+                bare, level = bare.lstrip(" \t")[1:], level + 1
+            normal = b" ".join(bare.encode().lower().split()).decode()
+            if not normal:
+                last = None
+            elif level == last:
+                out[-1][1].append(normal)
+            else:
+                out.append((level, [normal]))
+                last = level
+        return out
+
+    convs, out = defaultdict(lambda: defaultdict(list)), {}
+    for c, t, _, text in said:
+        if c is not None and t is not None:
+            convs[c][t].append(parse(text))
+    for c, turns in convs.items():
+        says, parent = defaultdict(list), {}
+        for t in sorted(turns):
+            votes, origins, n = Counter(), set(), 0
+            latest = lambda x: max(says[x], default=None)
+            for parsed in turns[t]:
+                for level, lines in parsed:
+                    if level:
+                        pieces = [" ".join(lines)]
+                        if latest(pieces[0]) is None and len(lines) > 1:
+                            pieces = [x for x in lines if len(x.split(" ")) >= 3]
+                        for x in pieces:
+                            if (source := latest(x)) is not None:
+                                n += 1
+                                origins.add((level, source))
+                                votes[source] += len(x) if level == 1 else 0
+            best = max(((chars, s) for s, chars in votes.items() if chars), default=(0, None))[1]
+            parent[t] = best
+            out[c, t] = [best, n, ",".join(f"{a}:{b}" for a, b in sorted(origins))]
+            for parsed in turns[t]:
+                for level, lines in parsed:
+                    if not level:
+                        for x in {" ".join(lines), *(x for x in lines if len(x.split(" ")) >= 3)}:
+                            says[x].append(t)
+        path = {}
+        for t in sorted(turns):
+            path[t] = (path[parent[t]] if parent[t] is not None else ()) + (t,)
+        for k, t in enumerate(sorted(turns, key=path.__getitem__)):
+            out[c, t] += [path[t][0], len(path[t]) - 1, k]
+    return out
+
+
+def generated_conversations(seed=12):
+    """Thousands of messages that quote earlier ones: whole, in part, nested, edited, rewrapped, ambiguous, or by one word."""
+    rng, said = random.Random(seed), []
+    word = lambda: rng.choice("law term notice party clause date rule fee act form".split()) + str(rng.randrange(40))
+    for c in range(60):
+        texts = []
+        for t in range(rng.choice([1, 20, 60, 90])):
+            lines = [" ".join(word() for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 5))]
+            lines.insert(rng.randrange(len(lines) + 1), rng.choice(["", "yes", "Thank you very much", "I agree"]))
+            quoted = []
+            if texts and rng.random() < 0.7:
+                for source in rng.sample(texts, min(len(texts), rng.choice([1, 1, 2]))):
+                    part = source.split("\n")
+                    kind = rng.randrange(6)
+                    if kind == 0:
+                        part = part[rng.randrange(len(part)) :]
+                    elif kind == 1:
+                        part[rng.randrange(len(part))] += " edited"
+                    elif kind == 2 and all(x and not x.startswith(">") for x in part):
+                        part = [" ".join(part)]
+                    elif kind == 3:
+                        part = ["Yes"]
+                    quoted += [rng.choice(["> ", ">", " >\t"]) + rng.choice([x, x.upper()]) for x in part] + [""]
+            texts.append("\n".join(quoted + lines))
+            said.append((c, t * 700, rng.choice(["user", "assistant"]), texts[-1]))
+    return said
+
+
+def test_quotes_against_a_loop(spark):
+    said = generated_conversations()
+    said += [(7, 700, "user", "> I agree\nA second text of this turn"), (8, None, "user", "> I agree"), (None, 3, "user", "> I agree"), (9, 1_000_000, "user", None)]
+    said.append((9, 1_000_001, "user", "long " * 50_000 + "\n" + "\n".join(f"> Thank you very much\n>> line {k}" for k in range(3000))))
+    want = brute_conversations(said)
+    out = quotes.linked_conversations(spark.createDataFrame([(*r, 9, "x") for r in said], MESSAGES).repartition(7))
+    rows = out.collect()
+    found = {(r.conv_id, r.turn): [r.parent_turn, r.n_linked, r.origins, r.thread_root, r.depth, r.position] for r in rows}
+    assert len(rows) == len(said) > 2000
+    assert {k: v for k, v in found.items() if None not in k} == want
+    assert sum(v[1] for v in want.values()) > 1000 and max(v[4] for v in want.values()) > 5 and any("2:" in v[2] for v in want.values())
+    assert found[8, None] == [None, 0, "", None, 0, None] and found[None, 3][0] is None
+    read = [(r.conv_id, r.position) for r in rows if r.position is not None]
+    assert read == sorted(read)  # the table reads as conversations
+    text = {(c, t): x for c, t, _, x in said}
+    for r in rows:
+        if r.conv_id is not None and r.turn is not None and (r.conv_id, r.turn) != (7, 700):
+            lines = text[r.conv_id, r.turn]
+            assert r.clean_text == (None if lines is None else "\n".join(x for x in lines.split("\n") if not x.strip(" \t").startswith(">")))
+
+
 def test_quotes(spark):
     said = [
-        (1, 0, "user", "Hello World\nsecond point"),
-        (1, 1, "assistant", "> hello   world\nAnswer one"),
-        (1, 2, "user", "> second point\nelsewhere"),
-        (1, 3, "assistant", "> Answer one\n>> Hello world\nreply"),
+        (1, 0, "user", "Hello World\nsecond point made here"),
+        (1, 1, "assistant", "> hello   world\n> second point\n> made here\nAnswer one"),
+        (1, 2, "user", "> second point made here\nelsewhere"),
+        (1, 3, "assistant", "> Answer one\n>> Hello world second point made here\nreply"),
         (1, 4, "user", None),
         (1, 5, "user", "> never said\nend"),
+        (1, 6, "user", "> world\nend"),
+        (1, 7, "user", ">> elsewhere\nonly a deeper quote"),
         (None, 0, "user", "> Hello World"),
         (2, None, "user", ""),
         (2, 1, "user", "> Hello World"),
     ]
-    out = quotes.linked_conversations(spark.createDataFrame([(*r, 9, "x") for r in said], "conv_id long, turn long, role string, text string, level int, key string"))
+    out = quotes.linked_conversations(spark.createDataFrame([(*r, 9, "x") for r in said], MESSAGES))
     found = {(r.conv_id, r.turn): r for r in out.collect()}
     assert len(found) == len(said)
-    assert [found[1, k].parent_turn for k in range(6)] == [None, 0, 0, 1, None, None]
-    assert [found[1, k].thread_root for k in range(6)] == [0, 0, 0, 0, 4, 5]
-    assert (found[1, 3].depth, found[1, 3].n_quoted, found[1, 3].n_linked, found[1, 3].clean_text) == (2, 2, 2, "reply")
+    assert [found[1, k].parent_turn for k in range(8)] == [None, 0, 0, 1, None, None, None, None]
+    assert [found[1, k].thread_root for k in range(8)] == [0, 0, 0, 0, 4, 5, 6, 7]
+    assert [found[1, k].position for k in range(8)] == [0, 1, 3, 2, 4, 5, 6, 7]
+    assert (found[1, 3].depth, found[1, 3].n_quoted, found[1, 3].n_linked, found[1, 3].origins, found[1, 3].clean_text) == (2, 2, 2, "1:1,2:0", "reply")
+    assert (found[1, 7].n_linked, found[1, 7].origins) == (1, "2:2")
     assert found[1, 4].clean_text is None and found[2, 1].parent_turn is None and found[None, 0].parent_turn is None
     assert quotes.linked_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_quotes_twin_on_generated_messages(spark, tmp_path):
+    """The SQL twin where quotes abound, which the tables' conversations do not hold."""
+    from compare import spark_rows, sql_rows
+
+    import duckdb
+
+    from statuta.llm.oracles import CHAT
+
+    spark.createDataFrame([(*r, 9, "x") for r in generated_conversations(13)], MESSAGES).select("conv_id", "turn", "role", "text").write.parquet(f"{tmp_path}/conversations")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations/*.parquet')")
+    assert spark_rows(quotes.linked_conversations(spark.read.parquet(f"{tmp_path}/conversations"))) == sql_rows(con, CHAT)
+
+
 # 3 mixing
 
 
