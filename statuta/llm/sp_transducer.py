@@ -1,24 +1,28 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The machine is a composition of three transducers, compiled from a model file:
+Three transducers are compiled from a model, as tables of arcs (state, label, next state, output, weight):
 
-- the normaliser: a dummy space ahead (one state), spaces to the piece alphabet's space mark;
-- the lexicon: from a state for each last piece, an arc for every piece, weighted by the tropical semiring;
-- byte fallback: a character outside the piece alphabet becomes the pieces of its UTF-8 bytes.
+- the normaliser: a dummy space ahead (from its first state to its second), spaces to the piece alphabet's space mark,
+  every other character to itself;
+- the lexicon: a tree of states over characters, whose last state of each piece writes it and returns to the root;
+- byte fallback: an acceptor of UTF-8 that writes a piece for every byte, for characters that are no piece themselves.
 
-The model is a merge (BPE) model. Its ranks say which of two merges comes first; they are no costs that add up, so a
-plain sum of scores along a path gives other pieces. The lexicon's weights therefore depend on the last piece: an arc
-from piece `a` to piece `b` weighs 0 if the merges leave `a b` as these two pieces, and infinity else. A sequence is what
-the merges make of a string exactly if all its neighbours are stable in this sense (the first merge to cross a border
-would do so in the two neighbours alone), so the only path of finite weight, the shortest one, is the encoding.
+The tables are made once, on the driver, and sent along. They are composed with a text's chain of characters as far as its
+positions are reached, and the shortest path in the tropical semiring (weights add up along a path, the least sum wins)
+is relaxed from position to position. A path's state at a position is its last piece; weights are of two kinds:
 
-Composition is done on the fly: the shortest path is searched depth first, and as a prefix has one finite path at most,
-each position is met once. Stable pairs and encoded units are remembered; a unit is a run of space marks with
-the characters up to the next run, cut also wherever two neighbouring characters occur together in no piece. No piece
-crosses a unit's border, so units are encoded one by one.
+- `unigram`: a piece weighs its negative score, whatever came before; a character in bytes weighs more than any piece;
+- `merge` (BPE): ranks say which of two merges comes first and are no costs that add up. The arc from piece `a` to piece
+  `b` weighs 0 if the merges leave `a b` as these two pieces, and infinity else. A sequence is what the merges make of a
+  string exactly if all its neighbours are stable in this sense (the first merge to cross a border would do so in the two
+  neighbours alone), so a prefix has one path of finite weight and the shortest path is the encoding.
 
-Defined results: a null or empty text has no ids and decodes to an empty text; texts of any length are encoded unit by
-unit; repeated rows are encoded alike; an empty table gives no rows; other columns are ignored.
+In both a position keeps one path, the best. Stable pairs and encoded units are remembered; a unit is a run of space
+marks with the characters up to the next run, cut also wherever two neighbouring characters occur together in no piece. No
+piece crosses a unit's border, so units are encoded one by one and texts of any length take no more memory than their ids.
+
+Defined results: a null or empty text has no ids and decodes to an empty text; of equal weights the path whose last piece
+begins first wins; repeated rows are encoded alike; null ids are kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from __future__ import annotations
 import gc
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 from pathlib import Path
 
@@ -38,31 +43,75 @@ MARK = "▁"
 MEMORY = 300_000
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 INF = float("inf")
-
-
-class Vocabulary:
-    """Pieces, ranks and byte pieces of a model file, and what follows from them."""
-
-    def __init__(self, model: bytes):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        size = sp.get_piece_size()
-        special = {i for i in range(size) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)}
-        self.pieces = [sp.id_to_piece(i) for i in range(size)]
-        self.score = {self.pieces[i]: sp.get_score(i) for i in range(size) if i not in special}
-        self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special}
-        self.byte_ids = [self.pieces.index(f"<0x{b:02X}>") for b in range(256)]
-        self.special = special
-        self.letters = {c for p in self.ids for c in p}
-        self.together = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        #: The longest piece that begins with two given characters.
-        self.reach: dict[str, int] = {}
-        for p in self.ids:
-            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
-        #: What each id decodes to; byte pieces are put together apart.
-        self.text = ["" if i in special else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
-        self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
+#: Labels and outputs besides code points and ids: nothing read, any character not named, the character itself.
+NOTHING, ANY, SAME = -1, -2, -3
+#: What a character in bytes weighs beyond the dearest piece.
+FALLBACK = 10.0
+_SHIFT = 21  # a code point has fewer bits
+
+
+@dataclass
+class Arcs:
+    """Arc k leads from state source[k] to target[k], reads label[k], writes out[k] and weighs weight[k]."""
+
+    source: np.ndarray
+    label: np.ndarray
+    target: np.ndarray
+    out: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, int, int, int, float]]) -> Arcs:
+        columns = list(zip(*rows)) or [()] * 5
+        return cls(*(np.array(c, np.int32) for c in columns[:4]), np.array(columns[4], np.float64))
+
+
+@dataclass
+class Tables:
+    """A compiled model: the three transducers, and of the lexicon the piece and weight of each state that ends one."""
+
+    kind: str
+    pieces: list[str]
+    special: frozenset[int]
+    byte_ids: list[int]
+    normaliser: Arcs
+    lexicon: Arcs
+    fallback: Arcs
+    ends: np.ndarray
+    end_weights: np.ndarray
+    scores: np.ndarray
+
+
+def compiled(pieces: list[str], scores: list[float], special: set[int], kind: str = "merge") -> Tables:
+    """`special` ids (controls, bytes and the like) are no part of the lexicon. Byte pieces are named <0x00> to <0xFF>."""
+    normaliser = Arcs.of([(0, NOTHING, 1, ord(MARK), 0.0), (1, ord(" "), 1, ord(MARK), 0.0), (1, ANY, 1, SAME, 0.0)])
+    states, arcs, ends = {"": 0}, [], {}
+    for i, p in enumerate(pieces):
+        if i not in special:
+            for k in range(1, len(p) + 1):
+                if p[:k] not in states:
+                    states[p[:k]] = len(states)
+                    arcs.append((states[p[: k - 1]], ord(p[k - 1]), states[p[:k]], NOTHING, 0.0))
+            ends[states[p]] = i
+    ids, weights = np.full(len(states), NOTHING, np.int32), np.zeros(len(states))
+    for state, i in ends.items():
+        ids[state], weights[state] = i, -scores[i] if kind == "unigram" else 0.0
+    byte_ids = [pieces.index(f"<0x{b:02X}>") for b in range(256)]
+    dear = max((-scores[i] for i in ends.values()), default=0.0) + FALLBACK if kind == "unigram" else 0.0
+    # State k of the fallback waits for k more bytes of a character; the first byte carries its weight.
+    first = [(0, b, 0 if b < 0xC0 else 1 if b < 0xE0 else 2 if b < 0xF0 else 3, byte_ids[b], dear) for b in range(256) if not 0x80 <= b < 0xC0]
+    follow = [(k, b, k - 1, byte_ids[b], 0.0) for k in (1, 2, 3) for b in range(0x80, 0xC0)]
+    return Tables(kind, list(pieces), frozenset(special), byte_ids, normaliser, Arcs.of(arcs), Arcs.of(first + follow), ids, weights, np.array(scores, np.float64))
+
+
+def load(model_path: str = DEFAULT_MODEL, kind: str = "merge") -> Tables:
+    """A model file's tables; the file, under 1 MB, is read on the driver."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=Path(model_path).read_bytes())
+    size = sp.get_piece_size()
+    special = {i for i in range(size) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)}
+    return compiled([sp.id_to_piece(i) for i in range(size)], [sp.get_score(i) for i in range(size)], special, kind)
 
 
 class _Words(dict):
@@ -77,15 +126,33 @@ class _Words(dict):
 
 
 class Transducer:
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self.stable_pairs: dict[tuple[str, str], bool] = {}
-        self.parts: dict[str, list[int]] = {}
+    """The composed machine of one Python process."""
+
+    def __init__(self, tables: Tables):
+        self.t = t = tables
+        both = lambda a: (a.source.astype(np.int64) << _SHIFT | a.label).tolist()
+        self.step = dict(zip(both(t.lexicon), t.lexicon.target.tolist()))
+        self.bytes = dict(zip(both(t.fallback), zip(t.fallback.target.tolist(), t.fallback.out.tolist(), t.fallback.weight.tolist())))
+        self.ends, self.end_weights = t.ends.tolist(), t.end_weights.tolist()
+        # The normaliser has one path through any text: what it writes at the start, and what for each character it names.
+        n = t.normaliser
+        rows = list(zip(n.source.tolist(), n.label.tolist(), n.target.tolist(), n.out.tolist()))
+        self.prefix, start = next(((chr(out), to) for at, label, to, out in rows if at == 0 and label == NOTHING), ("", 0))
+        self.spelling = {label: chr(out) for at, label, _, out in rows if at == start and label >= 0}
+        words = [p for i, p in enumerate(t.pieces) if i not in t.special]
+        self.score = {p: t.scores[i] for i, p in enumerate(t.pieces) if i not in t.special}
+        self.letters = {c for p in words for c in p}
+        self.together = {p[i : i + 2] for p in words for i in range(len(p) - 1)}
+        #: What each id decodes to; byte pieces are put together apart.
+        self.text = ["" if i in t.special else p.replace(MARK, " ") for i, p in enumerate(t.pieces)]
+        self.byte_of = {i: b for b, i in enumerate(t.byte_ids)}
+        self.stable_pairs: dict[tuple[int, int], bool] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.words = _Words(self)
 
     def merged(self, text: str) -> list[str]:
         """What the merges make of a short string: the best-ranked neighbours first, the leftmost of equals."""
-        parts, score = list(text), self.v.score
+        parts, score = list(text), self.score
         while len(parts) > 1:
             best, at = -INF, -1
             for i in range(len(parts) - 1):
@@ -97,63 +164,80 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def weight(self, last: str, piece: str) -> float:
-        """Of the lexicon's arc from the state of `last` (empty: the start)."""
+    def stable(self, last: int, piece: int) -> bool:
+        """Whether the merges leave these two pieces as they are (`last` NOTHING: the piece alone). Bytes never merge."""
         known = self.stable_pairs.get((last, piece))
         if known is None:
             if len(self.stable_pairs) > MEMORY:
                 self.stable_pairs.clear()
-            known = self.stable_pairs[last, piece] = self.merged(last + piece) == ([last, piece] if last else [piece])
-        return 0.0 if known else INF
-
-    def shortest_path(self, part: str) -> list[str]:
-        """Pieces on the path of finite weight through `part`, all of whose characters are pieces.
-
-        A prefix has one such path at most, so a position without a way on is dead for good: a depth-first search that
-        tries long pieces first meets each position once."""
-        ids, reach, known, n = self.v.ids, self.v.reach, self.stable_pairs, len(part)
-        path, at, dead, most = [], 0, set(), n
-        while at < n:
-            last = path[-1] if path else ""
-            for size in range(min(most, n - at, reach.get(part[at : at + 2], 1)), 0, -1):
-                piece = part[at : at + size]
-                if piece in ids and at + size not in dead:
-                    stable = known.get((last, piece))
-                    if stable if stable is not None else self.weight(last, piece) == 0.0:
-                        path.append(piece)
-                        at, most = at + size, n
-                        break
-            else:
-                dead.add(at)
-                most = len(path[-1]) - 1
-                at -= len(path.pop())
-        return path
-
-    def part_ids(self, part: str) -> list[int]:
-        v = self.v
-        if part not in v.letters and len(part) == 1:
-            return [v.byte_ids[b] for b in part.encode("utf-8", "surrogatepass")]
+            pieces = self.t.pieces
+            two = [pieces[i] for i in (last, piece) if i != NOTHING and i not in self.byte_of]
+            known = self.stable_pairs[last, piece] = piece in self.byte_of or self.merged("".join(two)) == two
+        return known
+
+    def arcs(self, part: str, at: int):
+        """(end, output ids, weight) of the composed machine's arcs out of position `at`: the pieces that begin there, or
+        the bytes of a character that is none."""
+        state, step, ends, single = 0, self.step, self.ends, False
+        for k in range(at, len(part)):
+            state = step.get(state << _SHIFT | ord(part[k]))
+            if state is None:
+                break
+            if ends[state] != NOTHING:
+                single |= k == at
+                yield k + 1, (ends[state],), self.end_weights[state]
+        if not single:
+            state, out, weight = 0, [], 0.0
+            for b in part[at].encode("utf-8", "surrogatepass"):
+                state, piece, w = self.bytes[state << _SHIFT | b]
+                out.append(piece)
+                weight += w
+            yield at + 1, tuple(out), weight
+
+    def shortest_path(self, part: str) -> tuple[int, ...]:
+        """Output of the least path through `part`, relaxed position by position."""
+        n, merge, known = len(part), self.t.kind == "merge", self.stable_pairs
+        cost, came, wrote = [INF] * (n + 1), [0] * (n + 1), [(NOTHING,)] * (n + 1)
+        cost[0] = 0.0
+        for at in range(n):
+            if cost[at] == INF:
+                continue
+            here, last = cost[at], wrote[at][-1]
+            for end, out, weight in self.arcs(part, at):
+                if here + weight < cost[end]:
+                    if merge:
+                        fits = known.get((last, out[0]))
+                        if not (fits if fits is not None else self.stable(last, out[0])):
+                            continue
+                    cost[end], came[end], wrote[end] = here + weight, at, out
+        path, at = [], n
+        while at:
+            path.append(wrote[at])
+            at = came[at]
+        return tuple(chain.from_iterable(reversed(path)))
+
+    def part_ids(self, part: str) -> tuple[int, ...]:
         found = self.parts.get(part)
         if found is None:
             if len(self.parts) >= MEMORY:
                 self.parts.clear()
-            found = self.parts[part] = [v.ids[p] for p in self.shortest_path(part)]
+            found = self.parts[part] = self.shortest_path(part)
         return found
 
     def unit_ids(self, unit: str) -> tuple[int, ...]:
-        """Of a unit with any characters: cut where no piece can cross, bytes for what is no piece."""
-        together, out, at = self.v.together, [], 0
+        """Of a unit with any characters, cut where no piece can cross."""
+        together, out, at = self.together, (), 0
         for i in range(1, len(unit)):
             if unit[i - 1 : i + 1] not in together:
                 out += self.part_ids(unit[at:i])
                 at = i
-        return tuple(out + self.part_ids(unit[at:]))
+        return out + self.part_ids(unit[at:])
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        if MARK in text or "  " in text or "\n" in self.v.letters:
-            units = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", MARK + text.replace(" ", MARK))
+        if MARK in text or "  " in text or "\n" in self.letters:
+            units = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", self.prefix + text.translate(self.spelling))
             return np.fromiter(chain.from_iterable(map(self.unit_ids, units)), np.int32)
         if len(self.words) > MEMORY:
             self.words.clear()
@@ -164,41 +248,40 @@ class Transducer:
 
     def decode(self, ids) -> str:
         """Pieces put together, runs of byte pieces as UTF-8, without the dummy space ahead."""
-        v, out, run = self.v, [], bytearray()
+        out, run = [], bytearray()
         ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
-        if v.byte_of.keys().isdisjoint(ids):
-            return "".join(map(v.text.__getitem__, ids))[1:]
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join(map(self.text.__getitem__, ids))[1:]
         for i in ids:
-            if (b := v.byte_of.get(i)) is not None:
+            if (b := self.byte_of.get(i)) is not None:
                 run.append(b)
             else:
                 if run:
                     out.append(run.decode("utf-8", "replace"))
                     run = bytearray()
-                out.append(v.text[i])
+                out.append(self.text[i])
         out.append(run.decode("utf-8", "replace"))
         return "".join(out)[1:]
 
 
-_machines: dict[int, Transducer] = {}
+_machines: dict[str, Transducer] = {}
 
 
-def machine(model: bytes) -> Transducer:
-    """The compiled machine of this Python process; its memory serves all tasks that the process runs."""
+def machine(name: str, tables: Tables) -> Transducer:
+    """The composed machine of this Python process; its memory serves all tasks that the process runs."""
     gc.disable()  # no cycles are made here, and passes over all remembered words would cost a third of the time
-    key = hash(model)
-    if key not in _machines:
+    if name not in _machines:
         _machines.clear()
-        _machines[key] = Transducer(Vocabulary(model))
-    return _machines[key]
+        _machines[name] = Transducer(tables)
+    return _machines[name]
 
 
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = DEFAULT_MODEL) -> DataFrame:
-    """doc_id, ids, n_tokens, decoded for every document. The model file (under 1 MB) is read on the driver and sent along."""
-    model = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = DEFAULT_MODEL, kind: str = "merge") -> DataFrame:
+    """doc_id, ids, n_tokens, decoded for every document. The compiled tables (a few MB, whatever the data) are broadcast."""
+    tables, name = docs.sparkSession.sparkContext.broadcast(load(model_path, kind)), f"{kind}:{model_path}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = machine(model.value)
+        m = machine(name, tables.value)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)

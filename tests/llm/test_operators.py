@@ -451,6 +451,57 @@ def test_sentencepiece_agrees_with_the_library(spark, sf, docs):
         assert r.n_tokens == len(r.ids) and r.decoded == (r.text or "").replace("▁", " ")
 
 
+def invented_model(kind):
+    pieces = ["<unk>"] + [f"<0x{b:02X}>" for b in range(256)] + ["▁", "a", "b", "c", "ab", "bc", "▁a", "abc", "ca", "▁ab", "cab", "é"]
+    scores = [0.0] * 257 + [-3.0, -2.5, -2.75, -3.25, -4.0, -4.5, -3.75, -5.5, -5.0, -4.25, -6.5, -3.5]
+    return sp_transducer.compiled(pieces, scores, set(range(257)), kind), dict(zip(pieces[257:], scores[257:]))
+
+
+def test_unigram_paths_are_the_shortest():
+    """The same machine with additive weights, against all ways to cut a text."""
+    tables, score = invented_model("unigram")
+    m, rng = sp_transducer.Transducer(tables), random.Random(6)
+    fallback = max(-x for x in score.values()) + sp_transducer.FALLBACK
+
+    def ways(text):
+        if not text:
+            yield 0.0, ()
+        for k in range(1, len(text) + 1):
+            if text[:k] in score:
+                yield from ((w - score[text[:k]], (tables.pieces.index(text[:k]), *ids)) for w, ids in ways(text[k:]))
+        if text and text[0] not in score:
+            yield from ((w + fallback, (*(tables.byte_ids[b] for b in text[0].encode()), *ids)) for w, ids in ways(text[1:]))
+
+    for _ in range(300):
+        text = "".join(rng.choice("aaabbcc é日") for _ in range(rng.randrange(1, 10)))
+        found, every = tuple(m.encode(text).tolist()), list(ways("▁" + text.replace(" ", "▁")))
+        least = min(w for w, _ in every)
+        assert any(ids == found and w == pytest.approx(least) for w, ids in every), text
+        assert m.decode(found) == text
+
+
+def test_merge_paths_are_what_the_merges_make():
+    tables, score = invented_model("merge")
+    m, rng = sp_transducer.Transducer(tables), random.Random(7)
+    for _ in range(300):
+        text = "".join(rng.choice("aaabbcc é日") for _ in range(rng.randrange(1, 12)))
+        parts = list("▁" + text.replace(" ", "▁"))
+        while pairs := [(-score[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in score]:
+            k = min(pairs)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        want = [i for p in parts for i in ([tables.pieces.index(p)] if p in score else [tables.byte_ids[b] for b in p.encode()])]
+        assert m.encode(text).tolist() == want and m.decode(want) == text
+
+
+def test_arc_tables():
+    """States of the fallback count the bytes that are missing; the normaliser has one arc for every character."""
+    tables, _ = invented_model("merge")
+    f, n = tables.fallback, tables.normaliser
+    assert len(f.label) == 128 + 64 + 3 * 64 and set(f.target.tolist()) == {0, 1, 2, 3}
+    assert sorted(zip(n.source.tolist(), n.label.tolist())) == [(0, sp_transducer.NOTHING), (1, sp_transducer.ANY), (1, ord(" "))]
+    assert (tables.ends != sp_transducer.NOTHING).sum() == 12
+
+
 # 7 exact dedup
 
 
