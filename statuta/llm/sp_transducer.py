@@ -9,7 +9,7 @@ Three transducers are compiled from a model, as tables of arcs (state, label, ne
 
 The tables are made once, on the driver, and sent along. They are composed with a text's chain of characters as far as its
 positions are reached, and the shortest path in the tropical semiring (weights add up along a path, the least sum wins)
-is relaxed from position to position. A path's state at a position is its last piece; weights are of two kinds:
+is found by relaxing positions in the order of their weight. A path's state at a position is its last piece; weights are of two kinds:
 
 - `unigram`: a piece weighs its negative score, whatever came before; a character in bytes weighs more than any piece;
 - `merge` (BPE): ranks say which of two merges comes first and are no costs that add up. The arc from piece `a` to piece
@@ -21,8 +21,8 @@ In both a position keeps one path, the best. Stable pairs and encoded units are
 marks with the characters up to the next run, cut also wherever two neighbouring characters occur together in no piece. No
 piece crosses a unit's border, so units are encoded one by one and texts of any length take no more memory than their ids.
 
-Defined results: a null or empty text has no ids and decodes to an empty text; of equal weights the path whose last piece
-begins first wins; repeated rows are encoded alike; null ids are kept; an empty table gives no rows; other columns are ignored.
+Defined results: a null or empty text has no ids and decodes to an empty text; of equal weights the path found first wins, always
+the same one; repeated rows are encoded alike; null ids are kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ import gc
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 from itertools import chain
 from pathlib import Path
 
@@ -131,9 +132,11 @@ class Transducer:
     def __init__(self, tables: Tables):
         self.t = t = tables
         both = lambda a: (a.source.astype(np.int64) << _SHIFT | a.label).tolist()
-        self.step = dict(zip(both(t.lexicon), t.lexicon.target.tolist()))
+        # The lexicon's states are kept shifted, ready to take in the next character, each with the piece that it ends.
+        target = t.lexicon.target
+        self.step = dict(zip(both(t.lexicon), zip((target.astype(np.int64) << _SHIFT).tolist(), t.ends[target].tolist())))
         self.bytes = dict(zip(both(t.fallback), zip(t.fallback.target.tolist(), t.fallback.out.tolist(), t.fallback.weight.tolist())))
-        self.ends, self.end_weights = t.ends.tolist(), t.end_weights.tolist()
+        self.end_weights = dict(zip(t.ends.tolist(), t.end_weights.tolist()))
         # The normaliser has one path through any text: what it writes at the start, and what for each character it names.
         n = t.normaliser
         rows = list(zip(n.source.tolist(), n.label.tolist(), n.target.tolist(), n.out.tolist()))
@@ -175,44 +178,53 @@ class Transducer:
             known = self.stable_pairs[last, piece] = piece in self.byte_of or self.merged("".join(two)) == two
         return known
 
-    def arcs(self, part: str, at: int):
-        """(end, output ids, weight) of the composed machine's arcs out of position `at`: the pieces that begin there, or
-        the bytes of a character that is none."""
-        state, step, ends, single = 0, self.step, self.ends, False
-        for k in range(at, len(part)):
-            state = step.get(state << _SHIFT | ord(part[k]))
-            if state is None:
-                break
-            if ends[state] != NOTHING:
-                single |= k == at
-                yield k + 1, (ends[state],), self.end_weights[state]
-        if not single:
-            state, out, weight = 0, [], 0.0
-            for b in part[at].encode("utf-8", "surrogatepass"):
-                state, piece, w = self.bytes[state << _SHIFT | b]
-                out.append(piece)
-                weight += w
-            yield at + 1, tuple(out), weight
+    def in_bytes(self, char: str) -> tuple[tuple[int, ...], float]:
+        """Output and weight of the fallback's path through a character's bytes."""
+        state, out, weight = 0, [], 0.0
+        for b in char.encode("utf-8", "surrogatepass"):
+            state, piece, w = self.bytes[state << _SHIFT | b]
+            out.append(piece)
+            weight += w
+        return tuple(out), weight
 
     def shortest_path(self, part: str) -> tuple[int, ...]:
-        """Output of the least path through `part`, relaxed position by position."""
+        """Output of the least path through `part`: positions are taken in the order of their weight, the furthest of equals
+        first, and relax what lies ahead of them. Arcs out of a position are the pieces that begin there, found by walking
+        the lexicon's states, or the bytes of a character that is none."""
         n, merge, known = len(part), self.t.kind == "merge", self.stable_pairs
-        cost, came, wrote = [INF] * (n + 1), [0] * (n + 1), [(NOTHING,)] * (n + 1)
-        cost[0] = 0.0
-        for at in range(n):
-            if cost[at] == INF:
+        step, weights, codes = self.step.get, self.end_weights, list(map(ord, part))
+        cost, came, wrote = [INF] * (n + 1), [0] * (n + 1), [NOTHING] * (n + 1)
+        cost[0], spelled, heap = 0.0, {}, [(0.0, 0)]
+        while True:
+            here, at = heappop(heap)
+            if at == -n:
+                break
+            at = -at
+            if here > cost[at]:
                 continue
-            here, last = cost[at], wrote[at][-1]
-            for end, out, weight in self.arcs(part, at):
-                if here + weight < cost[end]:
-                    if merge:
-                        fits = known.get((last, out[0]))
-                        if not (fits if fits is not None else self.stable(last, out[0])):
-                            continue
-                    cost[end], came[end], wrote[end] = here + weight, at, out
+            last, state, single = wrote[at], 0, False
+            for k in range(at, n):
+                arc = step(state | codes[k])
+                if arc is None:
+                    break
+                state, piece = arc
+                if piece != NOTHING:
+                    single |= k == at
+                    if (w := here + weights[piece]) < cost[k + 1]:
+                        if merge:
+                            fits = known.get((last, piece))
+                            if not (fits if fits is not None else self.stable(last, piece)):
+                                continue
+                        cost[k + 1], came[k + 1], wrote[k + 1] = w, at, piece
+                        heappush(heap, (w, -k - 1))
+            if not single:
+                out, weight = self.in_bytes(part[at])
+                if here + weight < cost[at + 1]:
+                    cost[at + 1], came[at + 1], wrote[at + 1], spelled[at + 1] = here + weight, at, out[-1], out
+                    heappush(heap, (here + weight, -at - 1))
         path, at = [], n
         while at:
-            path.append(wrote[at])
+            path.append(spelled[at] if at in spelled and wrote[at] == spelled[at][-1] else (wrote[at],))
             at = came[at]
         return tuple(chain.from_iterable(reversed(path)))
 
