@@ -14,7 +14,7 @@ from .text import collapse
 MONTHS = r"(?i)\b(january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec)\.?\s+"
 DAY_AND_YEAR, YEAR_ONLY = MONTHS + r"([0-9]{1,2}),?\s+(20[0-9]{2})\b", MONTHS + r"(20[0-9]{2})\b"
 SLASHED, ANY_YEAR = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}|[0-9]{2})$", r"\b(20[0-9]{2})\b"
-MONTH_ORDER = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTH_NUMBER = {"jan": "01", "feb": "02", "mar": "03", "apr": "04", "may": "05", "jun": "06", "jul": "07", "aug": "08", "sep": "09", "oct": "10", "nov": "11", "dec": "12"}
 
 
 def normal_date(c: Column) -> Column:
@@ -22,7 +22,8 @@ def normal_date(c: Column) -> Column:
     t = F.trim(c)
     part = lambda pattern, k: F.regexp_extract(t, pattern, k)
     two = lambda x: F.lpad(x, 2, "0")
-    month = lambda pattern: two((F.floor((F.instr(F.lit(MONTH_ORDER), F.substring(F.lower(part(pattern, 1)), 1, 3)) - 1) / 3) + 1).cast("string"))
+    numbers = F.create_map(*[F.lit(x) for pair in MONTH_NUMBER.items() for x in pair])
+    month = lambda pattern: numbers[F.substring(F.lower(part(pattern, 1)), 1, 3)]
     slashed_year = F.when(F.length(part(SLASHED, 3)) == 2, F.concat(F.lit("20"), part(SLASHED, 3))).otherwise(part(SLASHED, 3))
     return (
         F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), t)
@@ -37,7 +38,7 @@ def normal_date(c: Column) -> Column:
 def normal_date_sql(t: str) -> str:
     part = lambda pattern, k: f"regexp_extract({t}, '{pattern}', {k})"
     two = lambda x: f"lpad({x}, 2, '0')"
-    month = lambda p: two(f"CAST((instr('{MONTH_ORDER}', lower({part(p, 1)})[1:3]) - 1) // 3 + 1 AS VARCHAR)")
+    month = lambda p: f"CASE lower({part(p, 1)})[1:3] {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in MONTH_NUMBER.items())} END"
     year = f"CASE WHEN length({part(SLASHED, 3)}) = 2 THEN '20' || {part(SLASHED, 3)} ELSE {part(SLASHED, 3)} END"
     return f"""CASE WHEN regexp_matches({t}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN {t} WHEN regexp_matches({t}, '^[0-9]{{4}}-[0-9]{{2}}$') THEN {t} || '-01'
 WHEN regexp_matches({t}, '{SLASHED}') THEN concat_ws('-', {year}, {two(part(SLASHED, 1))}, {two(part(SLASHED, 2))}) WHEN regexp_matches({t}, '{DAY_AND_YEAR}') THEN concat_ws('-', {part(DAY_AND_YEAR, 3)}, {month(DAY_AND_YEAR)}, {two(part(DAY_AND_YEAR, 2))})
@@ -163,13 +164,14 @@ STRUCTURE = r"(?i)^(table\s+of\s+contents|chapter\s+[0-9]+|part\s+[0-9]+\s*[-—
 ENACTING = r"(?i)^(be\s+it\s+enacted|the\s+people\s+of\s+the\s+state\s+of|this\s+act\s+(shall\s+be\s+known\s+as|may\s+be\s+cited\s+as)|approved\s+(by\s+the\s+governor|on)|signed\s+(by\s+the\s+governor|into\s+law)|effective\s+immediately)\b"
 DEFINITIONS_HEAD = r"(?i)^(definitions|as\s+used\s+in\s+this\s+(act|section|chapter|article|part))\s*[:.]?$"
 ENACTING_BELOW = 300
+#: By name, as a route lists them in this order. Texts are in lower case.
 SIGNALS = {
-    "compliance_mechanism": r"\b(enforc\w*|penalt\w*|fine[sd]?|violations?|compliance|audits?|inspections?|reporting|register|certif\w*|oversight|attorney general|commission|agency)\b",
-    "definition_actor": r"\b(defin(e[sd]?|ition|ing)|means|as used in|for (the )?purposes? of)\b",
-    "obligation": r"\b(shall|must|require[sd]?|obligat|mandate[sd]?|prohibit|may not|responsible for|duty to|ensure that|is the policy|it is the policy)\b",
-    "preemption": r"\b(preempt|pre-empt|supersede|federal|supremacy|state law|local (law|ordinance)|uniform|notwithstanding any (other|state|local))\b",
-    "rights_protection": r"\b(right to|entitled|opt[- ]?out|notice to|consent|appeal|recourse|due process|grievance|redress)\b",
-    "threshold_exception": r"\b(thresholds?|exceptions?|exempt(ions?|ed)?|exclusions?|waivers?|does not apply|not subject to|carve[- ]?outs?|fewer than|more than|exceeds?|minimum|maximum)\b",
+    "compliance_mechanism": r"\b(?:enforc\w*|penalt\w*|fine[sd]?|violation[s]?|compliance|audit[s]?|inspection[s]?|reporting|register|certif\w*|oversight|attorney general|commission|agency)\b",
+    "definition_actor": r"\b(?:defin(?:e[sd]?|ition|ing)|means\b|as used in|for (?:the )?purposes? of)\b",
+    "obligation": r"\b(?:shall|must|require[sd]?|obligat|mandate[sd]?|prohibit|may not|responsible for|duty to|ensure that|is the policy|it is the policy)\b",
+    "preemption": r"\b(?:preempt|pre-empt|supersede|federal|supremacy|state law|local (?:law|ordinance)|uniform|notwithstanding any (?:other|state|local))\b",
+    "rights_protection": r"\b(?:right to|entitled|opt[- ]?out|notice to|consent|appeal|recourse|due process|grievance|redress)\b",
+    "threshold_exception": r"\b(?:threshold[s]?|exception[s]?|exempt(?:ion[s]?|ed)?|exclusion[s]?|waiver[s]?|does not apply|not subject to|carve[- ]?out[s]?|fewer than|more than|exceed[s]?|minimum|maximum)\b",
 }
 #: Letters beyond ASCII become x, so that engines agree on the ends of words.
 LETTERS = r"[\x{C0}-\x{24F}\x{370}-\x{1FFF}]"

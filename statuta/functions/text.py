@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-#: Curly quotes, dashes and hard spaces, and what they become; a soft hyphen goes.
-FOLD_FROM, FOLD_TO = "‘’“”–— ­", "''\"\"-- "
+# Curly quotes, dashes and hard spaces, and what they become; a soft hyphen goes. The wider table, for answers
+# of models, knows more dashes, quotes and spaces, and leaves soft hyphens.
+FOLD = {"\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2013": "-", "\u2014": "-", "\u00a0": " ", "\u00ad": ""}
+WIDE_FOLD = {
+    "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2014": "-", "\u2018": "'", "\u2019": "'", "\u201a": "'",
+    "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u00a0": " ", "\u202f": " ", "\u2009": " ",
+}
 LOOSE_LEAST, STRIPPED_LEAST = 15, 25
 # Words that mark statutes, and phrases that mark the frame of a web page.
 LEGAL_MARKERS = (
     "section", "whereas", "enacted", "shall", "provided", "pursuant", "herein", "thereof", "notwithstanding", "jurisdiction",
-    "obligation", "penalty", "enforcement", "compliance", "regulation", "statute", "subsection", "paragraph",
+    "obligation", "penalty", "enforcement", "compliance", "regulation", "statute", "subsection", "paragraph", "§",
 )
 PAGE_CHROME = (
     "skip to content", "quick search", "bill number", "bill keyword", "bill information", "bill search", "my subscriptions",
@@ -28,8 +34,24 @@ STOP_WORDS = (
 )
 
 
-def fold(c: Column) -> Column:
-    return F.translate(c, FOLD_FROM, FOLD_TO)
+def _letters(table: dict[str, str]) -> tuple[str, str]:
+    """The two arguments of translate: letters without a counterpart, which go, come last."""
+    kept = [k for k in table if table[k]]
+    return "".join(kept + [k for k in table if not table[k]]), "".join(table[k] for k in kept)
+
+
+def fold(c: Column, table: dict[str, str] = FOLD) -> Column:
+    return F.translate(c, *_letters(table))
+
+
+def fold_sql(c: str, table: dict[str, str] = FOLD) -> str:
+    few, become = _letters(table)
+    return "translate({}, '{}', '{}')".format(c, few.replace("'", "''"), become.replace("'", "''"))
+
+
+def bound(value: Column, f) -> Column:
+    """f(value) with the value worked out once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def collapse(c: Column) -> Column:
@@ -62,16 +84,17 @@ def unprinted(c: Column) -> Column:
 
 
 def span_tier(passage: Column, span: Column) -> Column:
-    """1 exact, 2 but for case, 3 loosely (15 characters or more), 4 loosely without traces of print (25 or more), null: not found."""
-    text, quote = collapse(fold(passage)), collapse(fold(span))
-    bare = lambda c: loose(unprinted(fold(c)))
-    return (
-        F.when(F.length(quote) == 0, F.lit(None).cast("int"))
-        .when(F.contains(text, quote), 1)
-        .when(F.contains(F.lower(text), F.lower(quote)), 2)
-        .when((F.length(loose(quote)) >= LOOSE_LEAST) & F.contains(loose(text), loose(quote)), 3)
-        .when((F.length(bare(span)) >= STRIPPED_LEAST) & F.contains(bare(passage), bare(span)), 4)
-    )
+    """1 exact, 2 but for case, 3 loosely (15 characters or more), 4 loosely without traces of print (25 or more), null: not found.
+
+    Passage and span are folded by both tables. Forms are worked out once each, and those of a later tier only for spans
+    that no earlier one has found."""
+    both = lambda c: fold(fold(c), WIDE_FOLD)
+    pair = lambda f: F.struct(f(passage).alias("t"), f(span).alias("q"))
+    found = lambda x: F.contains(x["t"], x["q"])
+    last = bound(pair(lambda c: loose(unprinted(both(c)))), lambda x: F.when((F.length(x["q"]) >= STRIPPED_LEAST) & found(x), 4))
+    third = bound(pair(lambda c: loose(collapse(both(c)))), lambda x: F.when((F.length(x["q"]) >= LOOSE_LEAST) & found(x), 3))
+    first = bound(pair(lambda c: collapse(both(c))), lambda x: F.when(F.length(x["q"]) == 0, 0).when(found(x), 1).when(F.contains(F.lower(x["t"]), F.lower(x["q"])), 2))
+    return F.nullif(F.coalesce(first, third, last), F.lit(0))
 
 
 def phrases_in(c: Column, phrases: Sequence[str]) -> Column:
@@ -81,8 +104,8 @@ def phrases_in(c: Column, phrases: Sequence[str]) -> Column:
 
 
 def any_word(words: Sequence[str]) -> str:
-    """A pattern that matches any of the words, whatever their case."""
-    return rf"(?i)\b(?:{'|'.join(words)})\b"
+    """A pattern that matches any of the words, in lower case."""
+    return rf"\b(?:{'|'.join(words)})\b"
 
 
 # Share of replacement characters, and markers in 1000 characters, that settle a text's quality.
@@ -93,7 +116,7 @@ def parse_quality(c: Column, markers: str) -> Column:
     """0.6 for text free of replacement characters, 0.4 for markers; nothing for an empty text."""
     n = F.length(c).cast("double")
     broken = (F.length(c) - F.length(F.replace(c, F.lit("�"), F.lit("")))) / n
-    density = F.regexp_count(c, F.lit(markers)) / n * 1000
+    density = F.regexp_count(F.lower(c), F.lit(markers)) / n * 1000
     whole = F.greatest(F.lit(0.0), 1 - broken / BROKEN_MOST) * 0.6 + F.least(F.lit(1.0), density / MARKERS_ENOUGH) * 0.4
     return F.when(F.coalesce(F.length(c), F.lit(0)) == 0, 0.0).otherwise(F.floor(whole * 10000 + 0.5) / 10000)
 
@@ -124,12 +147,15 @@ def content_key(c: Column, size: int = 24) -> Column:
 
 
 def triage(text: Column, quality: Column, chrome: Sequence[str], lexicon: Sequence[str]) -> Column:
-    """struct(decision, method, confidence): poor text, site chrome, lexicon, else uncertain."""
-    hits = F.size(phrases_in(text, lexicon))
+    """struct(decision, method, confidence): poor text, site chrome, lexicon, else uncertain. The text is lower-cased once
+    and each list of phrases counted once."""
     made = lambda d, m, x: F.struct(F.lit(d).alias("decision"), F.lit(m).alias("method"), x.alias("confidence"))
-    return (
-        F.when(quality < 0.3, made("reject", "quality", F.lit(0.9)))
-        .when(F.size(phrases_in(text, chrome)) >= 3, made("reject", "chrome", F.lit(0.95)))
-        .when(hits > 0, made("accept", "keyword", F.round(F.least(F.lit(0.95), 0.7 + 0.05 * hits), 4)))
-        .otherwise(made("uncertain", "none", F.lit(0.5)))
+    count = lambda low, words: reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") for w in words])
+    found = bound(F.lower(text), lambda low: F.struct(count(low, chrome).alias("chrome"), count(low, lexicon).alias("hits")))
+    return bound(
+        found,
+        lambda n: F.when(quality < 0.3, made("reject", "quality", F.lit(0.9)))
+        .when(n["chrome"] >= 3, made("reject", "chrome", F.lit(0.95)))
+        .when(n["hits"] > 0, made("accept", "keyword", F.round(F.least(F.lit(0.95), 0.7 + 0.05 * n["hits"]), 4)))
+        .otherwise(made("uncertain", "none", F.lit(0.5))),
     )

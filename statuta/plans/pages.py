@@ -23,13 +23,13 @@ def page_texts(spark, d):
     return rows.select("page_id", S.page_text(F.col("html")).alias("text"), F.col("html").rlike(S.STRUCK).alias("struck"), S.fulltext_status(F.col("body")).alias("status"))
 
 
-@query("""WITH a AS (SELECT lower(p_type) AS term, 'T' || CAST(min(p_size) AS VARCHAR) AS code FROM part WHERE p_size % 2 = 0 GROUP BY 1), b AS (SELECT lower(p_brand) AS term, 'B' AS code FROM part WHERE p_partkey % 3 = 0 GROUP BY 1),
+@query("""WITH a AS (SELECT lower(p_type) AS term, 'T' || CAST(min(p_size) AS VARCHAR) AS code FROM part WHERE p_size > 25 GROUP BY 1), b AS (SELECT lower(p_brand) AS term, 'B' AS code FROM part WHERE p_size <= 10 GROUP BY 1),
 v AS (SELECT term, arg_min(code, (rank, code)) AS code FROM (SELECT term, code, 2 AS rank FROM a UNION ALL SELECT term, code, 1 FROM b) GROUP BY 1)
 SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE ' ' || upper(p_brand) END AS raw, coalesce(code, 'other') AS raw_code FROM part LEFT JOIN v ON term = lower(trim(CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_brand END))""")
 def coded_terms(spark, d):
     """2.1.17, 2.1.18, 2.9.50: terms by a vocabulary of aliases and of a crosswalk that prevails; others fall back."""
     part = table(spark, d, "part")
-    aliases = part.filter("p_size % 2 = 0").groupBy(F.col("p_type").alias("raw_term")).agg(F.concat(F.lit("T"), F.min("p_size").cast("string")).alias("code"))
-    crosswalk = part.filter("p_partkey % 3 = 0").select(F.lit("B").alias("code"), F.concat("p_brand", F.lit("; ;"), "p_brand").alias("terms"))
+    aliases = part.filter("p_size > 25").groupBy(F.col("p_type").alias("raw_term")).agg(F.concat(F.lit("T"), F.min("p_size").cast("string")).alias("code"))
+    crosswalk = part.filter("p_size <= 10").select(F.lit("B").alias("code"), F.concat("p_brand", F.lit("; ;"), "p_brand").alias("terms"))
     raw = part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.concat(F.lit(" "), F.upper("p_brand"))).alias("raw"))
     return S.coded(raw, "raw", S.vocabulary(aliases, crosswalk))[0].select("p_partkey", "raw", "raw_code")

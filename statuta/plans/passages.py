@@ -8,10 +8,12 @@ from ..functions import scores, text as T
 from ..registry import query
 from ..sources.tables import facts, table, tier_of, tier_sql, versions, with_domain
 
-LEXICON = ("system", "data", "public", "report", "notice", "service")
+#: The domain's phrases are a parameter: vocabulary files that `sources.files.vocabulary` reads. These stand in for them.
+LEXICON = ("automated decision", "high-risk system", "training data", "generative model", "facial recognition", "algorithmic")
 CHROME = T.PAGE_CHROME
-#: The domain's words, and some that the test tables hold.
-MARKERS = T.any_word((*T.LEGAL_MARKERS, "the", "and"))
+MARKERS = T.any_word(T.LEGAL_MARKERS)
+#: Invented prose has no such words, so that some texts are led in by a clause.
+_CLAUSES = "CASE doc_id % 5 WHEN 0 THEN 'Section 5. The provider of a high-risk SYSTEM shall, pursuant to a§b, disclose its training data; the penalty is provided in the statute. ' WHEN 1 THEN 'Skip to content | Bill search | Privacy policy | ' WHEN 2 THEN repeat('the obligation shall be enforced notwithstanding any regulation or statute; ', 40) || 'algorithmic ' ELSE '' END || text"
 _UP, _LOW = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -19,31 +21,33 @@ def _hits(words) -> str:
     return "(" + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in words) + ")"
 
 
-_FOLDED = "trim(regexp_replace(translate({}, '‘’“”–— ­', '''''\"\"-- '), '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
+_BOTH = lambda c: T.fold_sql(T.fold_sql(c), T.WIDE_FOLD)
+_FOLDED = lambda c: f"trim(regexp_replace({_BOTH(c)}, '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
 _LOOSE = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 _QUALITY = (
     "CASE WHEN coalesce(length(text), 0) = 0 THEN 0.0 ELSE floor((greatest(0.0::DOUBLE, 1 - ((length(text) - length(replace(text, '�', ''))) / length(text)::DOUBLE) / 0.05::DOUBLE) * 0.6::DOUBLE "
-    f"+ least(1.0::DOUBLE, (len(regexp_extract_all(text, '{MARKERS}')) / length(text)::DOUBLE * 1000) / 5.0::DOUBLE) * 0.4::DOUBLE) * 10000 + 0.5) / 10000 END"
+    f"+ least(1.0::DOUBLE, (len(regexp_extract_all(lower(text), '{MARKERS}')) / length(text)::DOUBLE * 1000) / 5.0::DOUBLE) * 0.4::DOUBLE) * 10000 + 0.5) / 10000 END"
 )
 
 
 @query(f"""SELECT doc_id, quality, decision, confidence, n_tokens, key FROM (SELECT doc_id, quality, length(text) // 4 AS n_tokens, sha256(text)[1:24] AS key,
 CASE WHEN quality < 0.3 THEN 'reject' WHEN {_hits(CHROME)} >= 3 THEN 'reject' WHEN {_hits(LEXICON)} > 0 THEN 'accept' ELSE 'uncertain' END AS decision,
 CASE WHEN quality < 0.3 THEN 0.9 WHEN {_hits(CHROME)} >= 3 THEN 0.95 WHEN {_hits(LEXICON)} > 0 THEN round(least(0.95, 0.7 + 0.05 * {_hits(LEXICON)}), 4) ELSE 0.5 END::DOUBLE AS confidence
-FROM (SELECT *, {_QUALITY} AS quality FROM documents))""")
+FROM (SELECT *, {_QUALITY} AS quality FROM (SELECT doc_id, {_CLAUSES} AS text FROM documents)))""")
 def passage_triage(spark, d):
     """2.9.13, 2.9.17, 2.9.20, 2.9.22, 2.9.24, 2.9.63: quality, chrome and lexicon decide about each passage."""
-    docs = table(spark, d, "documents").withColumn("quality", T.parse_quality(F.col("text"), MARKERS))
+    docs = table(spark, d, "documents").select("doc_id", F.expr(_CLAUSES).alias("text")).withColumn("quality", T.parse_quality(F.col("text"), MARKERS))
     found = docs.withColumn("t", T.triage(F.col("text"), F.col("quality"), CHROME, LEXICON))
     return found.select("doc_id", "quality", "t.decision", "t.confidence", F.expr("CAST(length(text) DIV 4 AS BIGINT)").alias("n_tokens"), T.content_key(F.col("text")).alias("key"))
 
 
-# a quote as it is, in capitals, with other signs, with parted words, and with numbered lines
-_SPAN = f"CASE doc_id % 5 WHEN 0 THEN substr(text, 20, 60) WHEN 1 THEN translate(substr(text, 20, 60), '{_UP}', '{_LOW}') WHEN 2 THEN replace(substr(text, 20, 60), ' ', ' ; ') WHEN 3 THEN replace(substr(text, 20, 60), 'en', concat('e-', chr(10), ' n')) ELSE replace(substr(text, 20, 60), ' ', concat(chr(10), ' 12 ')) END"
+# a quote from anywhere in the text: as it is, in capitals, with other signs, with parted words, with numbered lines, with hard spaces
+_QUOTED = "substr(text, CAST(1 + (doc_id * 31) % greatest(length(text) - 60, 1) AS INT), 60)"
+_SPAN = f"CASE doc_id % 6 WHEN 0 THEN {_QUOTED} WHEN 1 THEN translate({_QUOTED}, '{_UP}', '{_LOW}') WHEN 2 THEN replace({_QUOTED}, ' ', ' ; ') WHEN 3 THEN replace({_QUOTED}, 'en', concat('e-', chr(10), ' n')) WHEN 4 THEN replace({_QUOTED}, ' ', concat(chr(10), ' 12 ')) ELSE replace(replace({_QUOTED}, ' ', '\u202f'), '.', '\u2009.') END"
 
 
 def _unprinted(c: str) -> str:
-    text = f"translate({c}, '‘’“”–— ­', '''''\"\"-- ')"
+    text = _BOTH(c)
     for pattern, kept in ((T.HYPHEN_BREAK, r"\1\2"), (T.MARGIN_NUMBER, r"\1"), (T.SECTION_GLYPH, r"\1 \2"), ("[ \\t]{2,}", " ")):
         text = f"regexp_replace({text}, '{pattern}', '{kept}', 'g')"
     return text
@@ -51,7 +55,7 @@ def _unprinted(c: str) -> str:
 
 @query(f"""SELECT doc_id, CASE WHEN length(q) = 0 THEN NULL WHEN contains(t, q) THEN 1 WHEN contains(lower(t), lower(q)) THEN 2 WHEN length(lq) >= 15 AND contains(lt, lq) THEN 3
 WHEN length(bq) >= 25 AND contains(bt, bq) THEN 4 END AS tier FROM (SELECT *, {_LOOSE.format('t')} AS lt, {_LOOSE.format('q')} AS lq, {_LOOSE.format('ut')} AS bt, {_LOOSE.format('uq')} AS bq
-FROM (SELECT doc_id, {_FOLDED.format('text')} AS t, {_FOLDED.format('span')} AS q, {_unprinted('text')} AS ut, {_unprinted('span')} AS uq FROM (SELECT doc_id, text, {_SPAN} AS span FROM documents)))""")
+FROM (SELECT doc_id, {_FOLDED('text')} AS t, {_FOLDED('span')} AS q, {_unprinted('text')} AS ut, {_unprinted('span')} AS uq FROM (SELECT doc_id, text, {_SPAN} AS span FROM documents)))""")
 def span_verification(spark, d):
     """2.9.1-2.9.3, 2.9.5-2.9.7: a quoted span against its passage, in four tiers; spans are altered quotes."""
     docs = table(spark, d, "documents").withColumn("span", F.expr(_SPAN))
@@ -62,12 +66,12 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _TOKENS = f"list_distinct(list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), lambda t: length(t) >= 3 AND t NOT IN ({_STOP})))"
 
 
-@query(f"""WITH p AS (SELECT doc_id, {_TOKENS.format('substr(text, 1, 400)')} AS a, {_TOKENS.format('substr(text, 201, 400)')} AS b FROM documents),
+@query(f"""WITH p AS (SELECT doc_id, {_TOKENS.format('substr(text, 1, length(text) // 2)')} AS a, {_TOKENS.format('substr(text, length(text) // 2 + 1)')} AS b FROM documents),
 u AS (SELECT *, len(list_distinct(list_concat(a, b))) AS n, list_intersect(a, b) AS shared FROM p)
 SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE len(shared) / n END::DOUBLE AS similarity, array_to_string(list_sort(shared)[1:20], ' ') AS sample FROM u""")
 def tracker_similarity(spark, d):
-    """2.9.9, 2.9.10: token sets of a passage's head and of what follows it, with a sorted sample of 20 shared ones."""
-    p = table(spark, d, "documents").select("doc_id", T.tokens(F.expr("substr(text, 1, 400)")).alias("a"), T.tokens(F.expr("substr(text, 201, 400)")).alias("b"))
+    """2.9.9, 2.9.10: token sets of a text's two halves, with a sorted sample of 20 shared ones."""
+    p = table(spark, d, "documents").select("doc_id", T.tokens(F.expr("substr(text, 1, CAST(length(text) DIV 2 AS INT))")).alias("a"), T.tokens(F.expr("substr(text, CAST(length(text) DIV 2 AS INT) + 1)")).alias("b"))
     return p.select("doc_id", T.jaccard(F.col("a"), F.col("b")).alias("similarity"), F.array_join(F.slice(F.sort_array(F.array_intersect("a", "b")), 1, 20), " ").alias("sample"))
 
 

@@ -59,19 +59,21 @@ def priorities(spark, d):
 
 
 RECALL_RATE = 0.05
-_HEAD = "CASE doc_id % 8 WHEN 0 THEN 'Chapter 12' WHEN 1 THEN ' Definitions: ' WHEN 2 THEN 'Be it enacted ' || substr(text, 1, 400) WHEN 3 THEN 'It shall be defined ' || text WHEN 4 THEN 'the right to appeal; more than 5 means a penalty under federal law' ELSE text END"
+#: Each text is routed as it is, and once more behind a clause that signals something; structural lines stand for themselves.
+_HEAD = "CASE kind WHEN 'whole' THEN text ELSE CASE doc_id % 5 WHEN 0 THEN 'Be it enacted ' || coalesce(text, '') WHEN 1 THEN 'It shall be defined ' || coalesce(text, '') WHEN 2 THEN 'the right to appeal; more than 5 means a penalty under federal law. ' || coalesce(text, '') WHEN 3 THEN 'Chapter ' || doc_id ELSE ' Definitions: ' END END"
 _CLEAN = "trim(regexp_replace(coalesce(body, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
 _FOUND = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(low, '{p}') THEN '{k}' END" for k, p in R.SIGNALS.items()) + "], lambda x: x IS NOT NULL)"
 
 
-@query(f"""WITH b AS (SELECT doc_id, {_HEAD} AS body FROM documents), l AS (SELECT *, {_CLEAN} AS clean, regexp_replace(lower(coalesce(body, '')), '{R.LETTERS}', 'x', 'g') AS low FROM b), f AS (SELECT *, {_FOUND} AS found FROM l),
+@query(f"""WITH b AS (SELECT doc_id, kind, {_HEAD} AS body FROM documents, (VALUES ('whole'), ('led')) k(kind)), l AS (SELECT *, {_CLEAN} AS clean, regexp_replace(lower(coalesce(body, '')), '{R.LETTERS}', 'x', 'g') AS low FROM b), f AS (SELECT *, {_FOUND} AS found FROM l),
 r AS (SELECT *, CASE WHEN regexp_matches(clean, '{R.STRUCTURE}') OR (regexp_matches(clean, '{R.ENACTING}') AND length(clean) < 300) THEN [] WHEN regexp_matches(clean, '{R.DEFINITIONS_HEAD}') THEN ['definition_actor'] WHEN len(found) = 0 OR len(found) >= 5 THEN {list(R.SIGNALS)} ELSE found END AS readers FROM f)
-SELECT doc_id, array_to_string(readers, ',') AS routed, len(readers) > 0 AND substr(md5(CAST(doc_id AS VARCHAR)), 1, 6) < '{int(RECALL_RATE * 16**6):06x}' AS bypassed FROM r""")
+SELECT doc_id, kind, array_to_string(readers, ',') AS routed, len(readers) > 0 AND substr(md5(CAST(doc_id AS VARCHAR)), 1, 6) < '{int(RECALL_RATE * 16**6):06x}' AS bypassed FROM r""")
 def routing(spark, d):
     """2.9.21, 2.9.25, 2.9.26: who reads a passage, by its signals, and the fixed twentieth of passages that all of them read."""
-    rows = table(spark, d, "documents").select("doc_id", F.coalesce(F.expr(_HEAD), F.lit("")).alias("body"))
+    each = table(spark, d, "documents").select("doc_id", "text", F.explode(F.array(F.lit("whole"), F.lit("led"))).alias("kind"))
+    rows = each.select("doc_id", "kind", F.coalesce(F.expr(_HEAD), F.lit("")).alias("body"))
     readers = R.route(F.col("body"))
-    return rows.select("doc_id", F.array_join(readers, ",").alias("routed"), ((F.size(readers) > 0) & R.sampled(F.col("doc_id"), RECALL_RATE)).alias("bypassed"))
+    return rows.select("doc_id", "kind", F.array_join(readers, ",").alias("routed"), ((F.size(readers) > 0) & R.sampled(F.col("doc_id"), RECALL_RATE)).alias("bypassed"))
 
 
 @query()
@@ -82,7 +84,7 @@ def text_damage(spark, d):
 
 
 _TERM = r"[\"“]([^\"”]{2,80})[\"”]\s+(?:means?|refers? to|shall mean|is defined as|has the meaning)"
-_DEFINED = "substr(text, 1, 50) || ' \"' || source || '\" means a source; “' || lang || ' text” refers to one. \"x\" means'"
+_DEFINED = "text || ' \"' || source || '\" means a source; “' || lang || ' text” refers to one. \"x\" means'"
 
 
 @query(f"""SELECT doc_id, array_to_string(regexp_extract_all({_DEFINED}, '{_TERM}', 1), '|') AS terms, regexp_replace(regexp_replace('<think>' || lang || '</think>```json' || chr(10) || source || chr(10) || '```', '(?s)<think>.*?</think>', '', 'g'), '```(?:json)?\\s*', '', 'g') AS answer,
