@@ -1,3 +1,3 @@
 """The registered queries, by area."""
 
-from . import lifecycle, pages, passages, records, rollups, rules, serving, streams  # noqa: F401
+from . import answers, lifecycle, pages, passages, records, rollups, rules, serving, stated, streams  # noqa: F401
