@@ -27,9 +27,30 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that `written` has made in this process and nobody has removed yet.
+_made: list[str] = []
+
+
+def new_folder(spark: SparkSession) -> str:
+    _made.append(f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made_so_far() -> int:
+    return len(_made)
+
+
+def removed(spark: SparkSession, since: int, kept: str | None = None) -> None:
+    """Removes the folders made since `since`, except `kept`: for use once what was read from them is written."""
+    for path in [p for p in _made[since:] if p != kept]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _made.remove(path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` as a table written to the shared folder: lineage ends here and lost executors cost nothing."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

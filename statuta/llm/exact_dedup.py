@@ -1,6 +1,6 @@
 """Exact dedup: documents of equal normalised text, by 128-bit hash and then by bytes.
 
-Defined results: a null text counts as empty; rows repeated in full form a group like any other copies; the row with
+Defined results: a null text counts as empty; texts of any length are compared whole; rows repeated in full form a group like any other copies; the row with
 the smallest doc_id stays (a null doc_id only where all of the group are null); an empty table gives no rows; other
 columns are ignored by `exact_groups` and carried along by `drop_exact_copies`.
 """

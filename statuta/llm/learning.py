@@ -26,8 +26,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     chosen = [own.filter(F.col("y") == y).orderBy(F.xxhash64("d"), "d").limit(per_class) for y in (0, 1)]
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
-    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("doc_id") == F.col("d")).dropDuplicates(["doc_id"])
-    return [(r.text, r.lang, r.y) for r in rows.select("text", "lang", "y", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("doc_id") == F.col("d"))
+    # of an id that occurs twice, the smallest text
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang")).alias("t")).select("doc_id", "y", "t.text", "t.lang")
+    return [(r.text, r.lang, r.y) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
 
 
 class WordTable(dict):

@@ -9,7 +9,9 @@ It learns from a bounded sample of labelled rows (`SAMPLE_PER_CLASS` of each cla
 it that training leaves out. Neither labels, lang, source nor ids are inputs.
 
 Defined results: a null or empty text is a bag of one empty passage; without labels of both classes every score is 1, so
-nothing is rejected; repeated rows score alike; an empty table gives no rows; other columns are ignored.
+nothing is rejected; texts of any length are described in chunks of passages; repeated rows score alike, and of an id with
+several texts the smallest one is learnt from; a score of 0.5 exactly counts as good; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,14 +5,15 @@ A word is the sum of the embeddings of its hash and of the hashes of its first 3
 gives the score. It learns from a bounded sample of labelled rows (`SAMPLE_PER_CLASS` of each class).
 
 For scoring, a filter's share in each embedding is multiplied out once, so that a text's filters are sums of table rows.
-Long texts go in overlapping chunks, which leaves maxima as they are.
+Texts of any length go in overlapping chunks, which leaves maxima as they are.
 
 `score` never sees lang, source or ids. The thresholds by language, which decide `flagged`, are set on a part of the
 sample that training leaves out.
 
 Defined results: a null or empty text has no word and gets the score of a text without any filter's response; without
-labels of both classes every score is 0; repeated rows score alike; an empty table gives no rows; other columns are
-ignored, or carried along by `drop_toxic`.
+labels of both classes every score is 0; repeated rows score alike, and of an id with several texts the smallest one is
+learnt from; a score at a threshold exactly counts as toxic; an empty table gives no rows; other columns are ignored, or
+carried along by `drop_toxic`.
 """
 
 from __future__ import annotations
@@ -211,15 +212,17 @@ def _scored(docs: DataFrame, net: ConvNet) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """The documents, all columns (`text` and `lang` among them), that score below their language's threshold, THRESHOLD where none was fitted; no shuffle."""
+    """The documents, all columns, that score below their language's threshold, THRESHOLD where none was fitted or no `lang`
+    is given; no shuffle."""
     net = fit(training_sample(docs, labels, "toxic", per_class))
     model = docs.sparkSession.sparkContext.broadcast(net)
-    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+    text, lang = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for b in batches:
-            keep = [scorer.score(t.as_py()) < scorer.net.thresholds.get(x, THRESHOLD) for t, x in zip(b.column(text), b.column(lang).to_pylist())]
+            langs = [None] * b.num_rows if lang is None else b.column(lang).to_pylist()
+            keep = [scorer.score(t.as_py()) < scorer.net.thresholds.get(x, THRESHOLD) for t, x in zip(b.column(text), langs)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

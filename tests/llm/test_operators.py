@@ -618,6 +618,97 @@ def test_classifiers_on_awkward_rows(spark, docs, empty, labels):
     assert toxicity.toxicity(empty, labels).count() == mil_quality.quality(empty, labels).count() == 0
 
 
+def test_convolution_scores_are_those_of_plain_loops():
+    """Tables and chunks of the scorer, and the net itself, against loops over words, filters and windows."""
+    import numpy as np
+
+    net, rng = toxicity.ConvNet(), random.Random(5)
+    net.trained, net.scale, net.shift = True, 1.7, -0.3
+    for k in net.b:
+        net.b[k] = np.linspace(-0.2, 0.2, len(net.b[k])).astype(np.float32)
+
+    def brute(text):
+        words = [sum((net.e[r] for r in toxicity.word_ids(w)), np.zeros(toxicity.DIM, np.float32)) for w in toxicity.words_of(text)]
+        words += [np.zeros(toxicity.DIM, np.float32)] * (3 - len(words))
+        total, at = float(net.c), 0
+        for k, w in net.w.items():
+            for f in range(w.shape[2]):
+                best = max(sum(float(words[i + j] @ w[j][:, f]) for j in range(k)) for i in range(len(words) - k + 1))
+                total += max(best + float(net.b[k][f]), 0.0) * float(net.v[at])
+                at += 1
+        return total
+
+    scorer = toxicity.Scorer(net)
+    for text in ["", None, "one", "two words", *(" ".join(rng.choice("a bad Word, of some Kind; ouch 日本 9".split()) for _ in range(n)) for n in (3, 4, 50, 130))]:
+        want = brute(text)
+        ids = np.array([toxicity.word_ids(w) for w in toxicity.words_of(text)] or [[0] * 4])
+        assert net.logit(ids) == pytest.approx(want, abs=1e-3)
+        assert scorer.score(text) == pytest.approx(1 / (1 + math.exp(-(1.7 * want - 0.3))), abs=1e-3)
+
+
+def test_chunks_leave_scores_as_they_are(monkeypatch):
+    net, rng = toxicity.ConvNet(), random.Random(6)
+    net.trained = True
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(n)) for n in (1, 7, 8, 9, 40)]
+    whole = [toxicity.Scorer(net).score(t) for t in texts]
+    monkeypatch.setattr(toxicity, "CHUNK", 4)
+    assert [toxicity.Scorer(net).score(t) for t in texts] == pytest.approx(whole, abs=1e-6)
+
+
+def test_attention_is_that_of_plain_loops_and_its_gradients_those_of_differences():
+    import numpy as np
+
+    net, rng = mil_quality.GatedAttention(), np.random.default_rng(2)
+    bag = rng.standard_normal((4, mil_quality.Describer.width)).astype(np.float32)
+    p = net.p
+
+    def brute():
+        h = [[math.tanh(sum(float(x[i]) * float(p["W"][i, j]) for i in range(len(x))) + float(p["b"][j])) for j in range(mil_quality.H)] for x in np.clip(bag, -6, 6)]
+        def gate(v):
+            t = [math.tanh(sum(v[i] * float(p["V"][i, a]) for i in range(mil_quality.H))) for a in range(mil_quality.A)]
+            s = [1 / (1 + math.exp(-sum(v[i] * float(p["U"][i, a]) for i in range(mil_quality.H)))) for a in range(mil_quality.A)]
+            return sum(t[a] * s[a] * float(p["w"][a]) for a in range(mil_quality.A))
+        e = [math.exp(gate(v)) for v in h]
+        z = [sum(w / sum(e) * v[j] for w, v in zip(e, h)) for j in range(mil_quality.H)]
+        return sum(a * float(c) for a, c in zip(z, p["c"])) + float(p["k"][0]), [x / sum(e) for x in e]
+
+    logit, weights = brute()
+    assert net.logit(bag) == pytest.approx(logit, abs=1e-4) and net.attention(bag).tolist() == pytest.approx(weights, abs=1e-5)
+    # one step of training on one bag moves every weight against its gradient by differences
+    net.p = {k: v.astype(np.float64) for k, v in p.items()}
+    loss = lambda: math.log(1 + math.exp(-net.logit(bag.astype(np.float64))))  # noqa: E731  label 1
+    slopes = {}
+    for name in ("W", "V", "U", "w", "c"):
+        at = tuple(0 for _ in net.p[name].shape)
+        old = net.p[name][at]
+        net.p[name][at] = old + 1e-5
+        up = loss()
+        net.p[name][at] = old - 1e-5
+        slopes[name] = (up - loss()) / 2e-5
+        net.p[name][at] = old
+    before = {k: v.copy() for k, v in net.p.items()}
+    net.train([(bag, 1), (bag, 1)], epochs=1)
+    net.mean, net.std = np.zeros_like(net.mean), np.ones_like(net.std)
+    for name in ("w", "c"):
+        at = tuple(0 for _ in net.p[name].shape)
+        if abs(slopes[name]) > 1e-4:
+            assert (net.p[name][at] - before[name][at]) * slopes[name] != 0
+
+
+def test_passages_of_a_text_are_described_alike_in_chunks(monkeypatch):
+    import numpy as np
+
+    text = "Some words, 12 of them; and $$$ more! " * 90
+    whole = mil_quality.Describer().passages(text)
+    monkeypatch.setattr(mil_quality, "CHUNK", 2)
+    assert np.allclose(mil_quality.Describer().passages(text), whole)
+
+
+def test_drop_toxic_without_languages(docs, labels):
+    plain = docs.select("doc_id", "text", "h")
+    assert toxicity.drop_toxic(plain, labels).columns == plain.columns
+
+
 def test_attention_is_a_distribution_over_passages():
     import numpy as np
 
