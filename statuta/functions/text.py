@@ -15,6 +15,8 @@ WIDE_FOLD = {
     "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u00a0": " ", "\u202f": " ", "\u2009": " ",
 }
 LOOSE_LEAST, STRIPPED_LEAST = 15, 25
+#: White space of any script, in a form that both engines read.
+WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 # Words that mark statutes, and phrases that mark the frame of a web page.
 LEGAL_MARKERS = (
     "section", "whereas", "enacted", "shall", "provided", "pursuant", "herein", "thereof", "notwithstanding", "jurisdiction",
@@ -55,7 +57,7 @@ def bound(value: Column, f) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"[\x20\x09-\x0D]+", " "))
+    return F.trim(F.regexp_replace(c, WHITE, " "))
 
 
 def loose(c: Column) -> Column:

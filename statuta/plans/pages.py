@@ -10,26 +10,36 @@ from ..sources.tables import table
 
 _HTML = "replace(html, '<p>', '<p><del class=\"x\">gone</del><span style=\"text-decoration: line-through\">too</span>')"
 _LIKE = lambda words, c: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+_EXT = "CASE page_id % 4 WHEN 0 THEN '/a.HTML' WHEN 1 THEN '/b.txt' WHEN 2 THEN '/c.pdf' ELSE '/d' END"
 _BODY = "CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN repeat('plain words. ', 40) || 'Section 5' ELSE repeat('plain words. ', 1 + page_id % 60) END"
 
 
-@query(f"""SELECT page_id, {S.page_text_sql(_HTML)} AS text, regexp_matches({_HTML}, '{S.STRUCK}') AS struck,
+@query(f"""SELECT page_id, CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'txt' THEN 'text/plain' WHEN 'html' THEN 'text/html' WHEN 'htm' THEN 'text/html' WHEN 'pdf' THEN 'application/pdf' ELSE 'application/octet-stream' END AS content_type, {S.page_text_sql(_HTML)} AS text, regexp_matches({_HTML}, '{S.STRUCK}') AS struck,
 CASE WHEN octet_length(encode(body)) < 500 THEN 'too_short' WHEN {_LIKE(S.PORTAL, 'body[1:512]')} THEN 'capture_failed' WHEN {_LIKE(S.STATUTE, 'body')} THEN 'ok' ELSE 'no_statutory_structure' END AS status
-FROM (SELECT page_id, coalesce(html, '') AS html, {_BODY} AS body FROM pages)""")
+FROM (SELECT page_id, url || {_EXT} AS path, coalesce(html, '') AS html, {_BODY} AS body FROM pages)""")
 def page_texts(spark, d):
     """2.1.4, 2.1.5, 2.1.7, 2.1.8: texts of pages without deletions, and the gate that keeps portals and stubs out."""
-    p = table(spark, d, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
-    rows = p.select("page_id", F.expr(_HTML).alias("html"), F.encode(F.expr(_BODY), "UTF-8").alias("body"))
-    return rows.select("page_id", S.page_text(F.col("html")).alias("text"), F.col("html").rlike(S.STRUCK).alias("struck"), S.fulltext_status(F.col("body")).alias("status"))
+    p = table(spark, d, "pages").select("page_id", F.concat("url", F.expr(_EXT)).alias("path"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = p.select("page_id", S.content_type(F.col("path")).alias("content_type"), F.expr(_HTML).alias("html"), F.encode(F.expr(_BODY), "UTF-8").alias("body"))
+    return rows.select("page_id", "content_type", S.page_text(F.col("html")).alias("text"), F.col("html").rlike(S.STRUCK).alias("struck"), S.fulltext_status(F.col("body")).alias("status"))
 
 
 @query("""WITH a AS (SELECT lower(p_type) AS term, 'T' || CAST(min(p_size) AS VARCHAR) AS code FROM part WHERE p_size > 25 GROUP BY 1), b AS (SELECT lower(p_brand) AS term, 'B' AS code FROM part WHERE p_size <= 10 GROUP BY 1),
 v AS (SELECT term, arg_min(code, (rank, code)) AS code FROM (SELECT term, code, 2 AS rank FROM a UNION ALL SELECT term, code, 1 FROM b) GROUP BY 1)
 SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE ' ' || upper(p_brand) END AS raw, coalesce(code, 'other') AS raw_code FROM part LEFT JOIN v ON term = lower(trim(CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_brand END))""")
 def coded_terms(spark, d):
-    """2.1.17, 2.1.18, 2.9.50: terms by a vocabulary of aliases and of a crosswalk that prevails; others fall back."""
+    """2.1.17, 2.1.18: terms by a vocabulary of aliases and of a crosswalk that prevails; others fall back."""
     part = table(spark, d, "part")
     aliases = part.filter("p_size > 25").groupBy(F.col("p_type").alias("raw_term")).agg(F.concat(F.lit("T"), F.min("p_size").cast("string")).alias("code"))
     crosswalk = part.filter("p_size <= 10").select(F.lit("B").alias("code"), F.concat("p_brand", F.lit("; ;"), "p_brand").alias("terms"))
     raw = part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.concat(F.lit(" "), F.upper("p_brand"))).alias("raw"))
     return S.coded(raw, "raw", S.vocabulary(aliases, crosswalk))[0].select("p_partkey", "raw", "raw_code")
+
+
+@query("""WITH v AS (SELECT DISTINCT lower(p_type) AS term FROM part WHERE p_size > 25) SELECT term, count(*) AS n FROM (SELECT lower(trim(CASE WHEN p_size % 2 = 0 THEN p_type ELSE ' ' || p_brand END)) AS term FROM part) WHERE term <> '' AND term NOT IN (SELECT term FROM v) GROUP BY 1""")
+def unknown_terms(spark, d):
+    """2.9.50: terms that the vocabulary lacks, with their counts, for its keepers to review."""
+    part = table(spark, d, "part")
+    terms = part.filter("p_size > 25").select(F.lower("p_type").alias("term"), F.lit("T").alias("code")).distinct()
+    raw = part.select(F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.concat(F.lit(" "), "p_brand")).alias("raw"))
+    return S.coded(raw, "raw", terms)[1]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import scores, text as T
@@ -22,7 +24,7 @@ def _hits(words) -> str:
 
 
 _BOTH = lambda c: T.fold_sql(T.fold_sql(c), T.WIDE_FOLD)
-_FOLDED = lambda c: f"trim(regexp_replace({_BOTH(c)}, '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
+_FOLDED = lambda c: f"trim(regexp_replace({_BOTH(c)}, '{T.WHITE}', ' ', 'g'))"
 _LOOSE = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 _QUALITY = (
     "CASE WHEN coalesce(length(text), 0) = 0 THEN 0.0 ELSE floor((greatest(0.0::DOUBLE, 1 - ((length(text) - length(replace(text, '�', ''))) / length(text)::DOUBLE) / 0.05::DOUBLE) * 0.6::DOUBLE "
@@ -109,17 +111,18 @@ _SCORE = f"""CASE WHEN similarity IS NULL THEN least(CASE WHEN x IS NULL THEN ({
 WHEN x IS NULL THEN {_KNOWN} ELSE 0.9::DOUBLE * ({_KNOWN}) + 0.1::DOUBLE * x END"""
 
 
-@query(f"""WITH s AS (SELECT floor(({_SCORE}) * 10000 + 0.5) / 10000 AS score FROM (SELECT {_PARTS} FROM lineitem))
-SELECT {tier_sql("score")} AS tier, count(*) AS n, min(score) AS lowest, max(score) AS highest FROM s GROUP BY 1""")
+@query(f"""WITH s AS (SELECT floor(({_SCORE}) * 10000 + 0.5) / 10000 AS score, floor(({re.sub(r'\bx\b', 'CAST(NULL AS DOUBLE)', _SCORE)}) * 10000 + 0.5) / 10000 AS before FROM (SELECT {_PARTS} FROM lineitem))
+SELECT {tier_sql("score")} AS tier, count(*) AS n, min(score) AS lowest, max(score) AS highest, count(*) FILTER (WHERE {tier_sql("score")} <> {tier_sql("before")}) AS n_changed FROM s GROUP BY 1""")
 def confidence_tiers(spark, d):
     """2.11.1, 2.11.2, 2.11.5, 2.11.7: facts scored from similarity, verified spans, citation and cross-validation, with the
-    caps of facts that no tracker knows."""
+    caps of facts that no tracker knows; and how many have another tier than before their cross-validation."""
     cross = F.when((F.col("l_returnflag") != "A") | (F.col("l_linenumber") == 1), F.col("l_tax") * 10)
     similarity = F.when(F.col("l_returnflag") != "N", F.col("l_tax") * 4)
     spans = scores.evidence(F.floor(F.col("l_quantity") / 10) / 5, F.col("l_quantity") / 50)
-    score = scores.rounded(scores.confidence(similarity, spans, F.col("l_discount") * 10, cross, F.col("l_linestatus") == "F"))
-    rows = table(spark, d, "lineitem").select(score.alias("score"))
-    return rows.groupBy(tier_of(F.col("score")).alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
+    score = lambda x: scores.rounded(scores.confidence(similarity, spans, F.col("l_discount") * 10, x, F.col("l_linestatus") == "F"))
+    rows = table(spark, d, "lineitem").select(score(cross).alias("score"), score(F.lit(None).cast("double")).alias("before"))
+    changed = F.count_if(tier_of(F.col("score")) != tier_of(F.col("before"))).alias("n_changed")
+    return rows.groupBy(tier_of(F.col("score")).alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lowest"), F.max("score").alias("highest"), changed)
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, floor((g * 0.7::DOUBLE + c * 0.3::DOUBLE) * 10000 + 0.5) / 10000 AS source_grounding,

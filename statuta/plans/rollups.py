@@ -29,37 +29,39 @@ def law_rollup(spark, d):
     return flags.join(sample, "law_id")
 
 
-@query(with_domain(f"""SELECT law_id, fact_type, count(*) AS members, {_MEAN.format('score')} AS mean_score, CAST(min(fact_date) AS VARCHAR)[1:10] AS earliest, arg_min(part_id, (fact_date, part_id)) AS first_part FROM {_BY_LAW} GROUP BY 1, 2"""))
+@query(with_domain(f"""SELECT law_id, fact_type, agent_id, count(*) AS members, {_MEAN.format('score')} AS mean_score, CAST(min(fact_date) AS VARCHAR)[1:10] AS earliest, arg_min(part_id, (fact_date, part_id)) AS first_part FROM {_BY_LAW} GROUP BY 1, 2, 3"""))
 def concepts(spark, d):
-    """2.4.20, 2.4.13: facts of a law grouped into concepts, with their mean, earliest deadline and first member."""
+    """2.4.20, 2.4.13: facts of a law grouped into concepts by type and actor, with their mean, earliest deadline and first member."""
     rows = facts(spark, d).join(versions(spark, d), "version_id")
     first = F.min(F.struct("fact_date", "part_id"))
-    return rows.groupBy("law_id", "fact_type").agg(F.count(F.lit(1)).alias("members"), mean("score").alias("mean_score"), F.date_format(F.min("fact_date"), "yyyy-MM-dd").alias("earliest"), first["part_id"].alias("first_part"))
+    return rows.groupBy("law_id", "fact_type", "agent_id").agg(F.count(F.lit(1)).alias("members"), mean("score").alias("mean_score"), F.date_format(F.min("fact_date"), "yyyy-MM-dd").alias("earliest"), first["part_id"].alias("first_part"))
 
 
 @query(with_domain("""t AS (SELECT version_id, list(DISTINCT fact_type) AS got FROM facts GROUP BY 1)
 SELECT version_id, coalesce(len(got), 0) AS n_types, array_to_string(list_sort(list_filter(['A', 'N', 'R'], lambda x: NOT list_contains(coalesce(got, []), x))), ',') AS missing,
 round(100.0 * coalesce(len(got), 0) / 3, 1)::DOUBLE AS percent FROM versions LEFT JOIN t USING (version_id)"""))
 def coverage(spark, d):
-    """2.4.11, 2.4.22, 2.4.23: which expected types a version lacks."""
+    """2.4.11, 2.4.22, 2.4.23, 2.6.7: which expected types a version lacks, the least covered first."""
     got = facts(spark, d).groupBy("version_id").agg(F.collect_set("fact_type").alias("got"))
     have = F.coalesce("got", F.array().cast("array<string>"))
     rows = versions(spark, d).select("version_id").join(got, "version_id", "left")
     expected = F.array(*map(F.lit, "ANR"))
-    return rows.select("version_id", F.size(have).cast("long").alias("n_types"), F.array_join(F.array_except(expected, have), ",").alias("missing"), F.round(100.0 * F.size(have) / 3, 1).alias("percent"))
+    return rows.select("version_id", F.size(have).cast("long").alias("n_types"), F.array_join(F.array_except(expected, have), ",").alias("missing"), F.round(100.0 * F.size(have) / 3, 1).alias("percent")).orderBy("percent", "version_id")
 
 
 @query("""WITH s AS (SELECT doc_id, quality = 1 AS truth, length(text) > 200 AS said, lang FROM documents JOIN labels USING (doc_id)),
 c AS (SELECT lang, count(*) FILTER (WHERE truth AND said) AS tp, count(*) FILTER (WHERE NOT truth AND said) AS fp, count(*) FILTER (WHERE truth AND NOT said) AS fn FROM s GROUP BY 1)
-SELECT lang, tp, fp, fn, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END::DOUBLE AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END::DOUBLE AS recall, CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END::DOUBLE AS f1 FROM c""")
+SELECT lang, tp, fp, fn, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END::DOUBLE AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END::DOUBLE AS recall, CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END::DOUBLE AS f1,
+(SELECT avg(CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END)::DOUBLE FROM c) AS macro_f1 FROM c""")
 def evaluation(spark, d):
-    """2.4.31: precision, recall and F1 by field, with zero for an empty denominator."""
+    """2.4.31: precision, recall and F1 by field, with zero for an empty denominator, and the mean of F1 over fields."""
     rows = table(spark, d, "documents").select("doc_id", "lang", (F.length("text") > 200).alias("said")).join(table(spark, d, "labels"), "doc_id")
     truth, said = F.col("quality") == 1, F.col("said")
     c = rows.groupBy("lang").agg(F.count_if(truth & said).alias("tp"), F.count_if(~truth & said).alias("fp"), F.count_if(truth & ~said).alias("fn"))
     ratio = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return c.select("lang", "tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    each = c.select("lang", "tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    return each.join(F.broadcast(each.agg(F.avg("f1").alias("macro_f1"))))  # one row
 
 
 @query(with_domain("""o AS (SELECT version_id FROM versions WHERE status = 'O' UNION ALL SELECT version_id FROM versions WHERE weight > 200000)
@@ -128,41 +130,76 @@ def dependency_tree(spark, d, depth: int = DEPTH):
     return found.groupBy("root", "depth").agg(F.count(F.lit(1)).alias("n"), F.sum("node").alias("nodes"))
 
 
-@query(with_domain("""n AS (SELECT version_id, status, CASE status WHEN 'P' THEN 'enacted' WHEN 'O' THEN 'in_force' ELSE 'repealed' END AS asked FROM versions)
-SELECT status, asked, (status, asked) IN (('P', 'enacted'), ('O', 'in_force')) AS allowed, count(*) AS n FROM n GROUP BY ALL"""))
+# The statuses that may follow each status; those without any end a law's course.
+NEXT = {
+    "introduced": ("pending", "passed_one_chamber", "enacted", "active", "dead", "vetoed", "withdrawn"),
+    "pending": ("passed_one_chamber", "enacted", "active", "dead", "vetoed", "withdrawn"),
+    "passed_one_chamber": ("enacted", "active", "future_effective", "dead", "vetoed", "withdrawn"),
+    "enacted": ("active", "future_effective", "repealed", "stayed"),
+    "future_effective": ("active", "repealed", "stayed"),
+    "active": ("repealed", "stayed"),
+    "repealed": (),
+    "stayed": ("active", "repealed"),
+    "vetoed": (),
+    "dead": ("introduced", "pending"),
+    "withdrawn": ("introduced", "pending"),
+}
+_STATUSES = list(NEXT)
+#: Two trackers tell a status, the first one where it tells any.
+_TOLD = "coalesce(CASE WHEN p_partkey % 3 > 0 THEN ({0})[p_size % 11 + 1] END, CASE WHEN p_partkey % 5 > 0 THEN ({0})[p_partkey % 11 + 1] END)"
+
+
+@query(f"""WITH s AS (SELECT p_partkey, ({_STATUSES})[p_partkey * 7 % 11 + 1] AS status, {_TOLD.format(_STATUSES)} AS told FROM part), n(status, told) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, then in NEXT.items() for b in then)})
+SELECT p_partkey, status, told, CASE WHEN told IS NULL OR told = status THEN 'unchanged' WHEN (status, told) IN (SELECT (status, told) FROM n) THEN 'changed' ELSE 'refused' END AS outcome FROM s""")
 def transitions(spark, d):
-    """2.8.10: which of the asked status changes the automaton allows; its table is a constant."""
-    allowed = spark.range(1).select(F.explode(F.create_map(F.lit("P"), F.lit("enacted"), F.lit("O"), F.lit("in_force"))).alias("status", "asked")).withColumn("ok", F.lit(True))
-    asked = F.when(F.col("status") == "P", "enacted").when(F.col("status") == "O", "in_force").otherwise("repealed")
-    rows = versions(spark, d).select("status", asked.alias("asked")).join(F.broadcast(allowed), ["status", "asked"], "left")
-    return rows.groupBy("status", "asked", F.coalesce("ok", F.lit(False)).alias("allowed")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(with_domain("""v AS (SELECT law_id, count(*) AS n, sum(CAST(weight AS DECIMAL(18,4)))::DOUBLE AS weight, bool_or(status = 'O') AS open FROM versions GROUP BY 1)
-SELECT law_id, '{"title":"' || title || '","n_versions":' || coalesce(n, 0) || '}' AS card, concat_ws(',', CASE WHEN n IS NULL THEN 'no_version' END, CASE WHEN open IS NOT TRUE THEN 'not_open' END, CASE WHEN balance < 0 THEN 'negative' END) AS gaps FROM laws LEFT JOIN v USING (law_id)"""))
+    """2.8.10: what two trackers tell of a law's status, the first before the second, and whether the automaton allows the change."""
+    names = F.array(*map(F.lit, _STATUSES))
+    place = lambda e: F.element_at(names, F.expr(e).cast("int"))
+    told = F.coalesce(F.when(F.expr("p_partkey % 3 > 0"), place("p_size % 11 + 1")), F.when(F.expr("p_partkey % 5 > 0"), place("p_partkey % 11 + 1")))
+    rows = table(spark, d, "part").select("p_partkey", place("p_partkey * 7 % 11 + 1").alias("status"), told.alias("told"))
+    allowed = F.create_map(*[x for a, then in NEXT.items() for x in (F.lit(a), F.array(*map(F.lit, then)).cast("array<string>"))])
+    outcome = F.when(F.col("told").isNull() | (F.col("told") == F.col("status")), "unchanged").when(F.array_contains(allowed[F.col("status")], F.col("told")), "changed").otherwise("refused")
+    return rows.select("p_partkey", "status", "told", outcome.alias("outcome"))
+
+
+@query(with_domain("""v AS (SELECT law_id, count(*) AS n, bool_or(status = 'O') AS open, max((effective, version_id, status)) AS head FROM versions GROUP BY 1), m AS (SELECT law_id, modality, count(*) AS k FROM versions GROUP BY 1, 2), l AS (SELECT law_id, string_agg('{"modality":"' || modality || '","n":' || k || '}', ',' ORDER BY modality) AS items FROM m GROUP BY 1),
+c AS (SELECT *, [CASE WHEN n IS NULL THEN 'no_version' END, CASE WHEN open IS NOT TRUE THEN 'not_open' END, CASE WHEN balance < 0 THEN 'negative' END] AS g FROM laws LEFT JOIN v USING (law_id) LEFT JOIN l USING (law_id))
+SELECT law_id, '{"title":"' || title || '","n_versions":' || coalesce(n, 0) || CASE WHEN n IS NULL THEN '' ELSE ',"head":{"version_id":' || head[2] || ',"status":"' || head[3] || '"}' END || ',"modalities":[' || coalesce(items, '') || '],"gaps":[' || array_to_string(list_transform(list_filter(g, lambda x: x IS NOT NULL), lambda x: '"' || x || '"'), ',') || '],"provenance":{"source":"versions","key":' || law_id || '}}' AS card,
+array_to_string(list_filter(g, lambda x: x IS NOT NULL), ',') AS gaps FROM c"""))
 def law_cards(spark, d):
-    """2.8.16, 2.8.18, 2.12.10: a JSON document for each law, and tags for what it lacks."""
-    v = versions(spark, d).groupBy("law_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("status") == "O").alias("open"))
-    rows = laws(spark, d).join(v, "law_id", "left")
-    card = F.to_json(F.struct("title", F.coalesce("n", F.lit(0)).alias("n_versions")))
-    gaps = F.concat_ws(",", F.when(F.col("n").isNull(), "no_version"), F.when(~F.coalesce("open", F.lit(False)), "not_open"), F.when(F.col("balance") < 0, "negative"))
-    return rows.select("law_id", card.alias("card"), gaps.alias("gaps"))
+    """2.8.16, 2.8.18, 2.12.10: a nested JSON document for each law, with its head, its modalities, where it comes from, and tags for
+    what it lacks. Versions are counted by modality first, of which there are few, so no card holds all of a law's versions."""
+    v = versions(spark, d)
+    head = F.max(F.struct("effective", "version_id", "status"))
+    own = v.groupBy("law_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("status") == "O").alias("open"), head.alias("h"))
+    kinds = v.groupBy("law_id", "modality").agg(F.count(F.lit(1)).alias("n")).groupBy("law_id").agg(F.sort_array(F.collect_list(F.struct("modality", "n"))).alias("modalities"))
+    rows = laws(spark, d).join(own, "law_id", "left").join(kinds, "law_id", "left")
+    gaps = F.array_compact(F.array(F.when(F.col("n").isNull(), "no_version"), F.when(~F.coalesce("open", F.lit(False)), "not_open"), F.when(F.col("balance") < 0, "negative")))
+    latest = F.when(F.col("n").isNotNull(), F.struct(F.col("h.version_id").alias("version_id"), F.col("h.status").alias("status")))
+    origin = F.struct(F.lit("versions").alias("source"), F.col("law_id").alias("key"))
+    none = F.array().cast(kinds.schema["modalities"].dataType)
+    card = F.to_json(F.struct("title", F.coalesce("n", F.lit(0)).alias("n_versions"), latest.alias("head"), F.coalesce("modalities", none).alias("modalities"), gaps.alias("gaps"), origin.alias("provenance")))
+    return rows.select("law_id", card.alias("card"), F.array_join(gaps, ",").alias("gaps"))
 
 
 @query("""WITH f AS (SELECT sha256(coalesce(text, '')) AS key, doc_id FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS worked_on, count(*) OVER (PARTITION BY key) AS shared_by FROM f""")
 def work_by_content(spark, d):
-    """2.7.5, 2.8.15: work is done once for each content and fanned out; counted before the join, so copies do not meet."""
+    """2.7.5: work is done once for each content and fanned out; counted before the join, so copies do not meet."""
     rows = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
     once = rows.groupBy("key").agg(F.min("doc_id").alias("worked_on"), F.count(F.lit(1)).alias("shared_by"))
     return rows.join(once, "key").select("doc_id", "worked_on", "shared_by")
 
 
 @query(with_domain(f"""SELECT modality, coalesce(sum(CAST(weight AS DECIMAL(18,4)))::DOUBLE, 0) AS weight, {_MEAN.format('weight')} AS mean_weight, coalesce(max(version_id) FILTER (WHERE version_id < 1000000), 0) AS high_water,
-count(*) FILTER (WHERE status = 'P') AS pending, CASE WHEN count(*) FILTER (WHERE status = 'P') * 20 > count(*) THEN 'lagging' ELSE 'healthy' END AS alert FROM versions GROUP BY 1"""))
+count(*) FILTER (WHERE status = 'P') AS pending, CASE WHEN count(*) FILTER (WHERE status = 'P') * 20 > count(*) THEN 'lagging' ELSE 'healthy' END AS alert,
+CASE WHEN modality LIKE '5%' THEN 'export_snapshot' WHEN count(DISTINCT status) > 2 AND modality LIKE '1%' THEN 'event_queue' WHEN count(*) > 100000 THEN 'api_pull' ELSE 'direct_db' END AS advice FROM versions GROUP BY 1"""))
 def sync_health(spark, d):
-    """2.4.14, 2.4.30, 2.11.23: totals, high-water marks and alerts by threshold."""
+    """2.4.14, 2.4.30, 2.11.23: totals, high-water marks, alerts by threshold, and how to sync: a snapshot where the target is
+    out of reach, a queue for several consumers, a pull above 100,000 rows."""
+    reachable, several = ~F.col("modality").startswith("5"), F.col("modality").startswith("1") & (F.count_distinct("status") > 2)
     pending, n = F.count_if(F.col("status") == "P"), F.count(F.lit(1))
     return versions(spark, d).groupBy("modality").agg(
         F.coalesce(F.sum(exact("weight")).cast("double"), F.lit(0.0)).alias("weight"), mean("weight").alias("mean_weight"), F.coalesce(F.max(F.when(F.col("version_id") < 1_000_000, F.col("version_id"))), F.lit(0)).alias("high_water"),
         pending.alias("pending"), F.when(pending * 20 > n, "lagging").otherwise("healthy").alias("alert"),
+        F.when(~reachable, "export_snapshot").when(several, "event_queue").when(n > 100_000, "api_pull").otherwise("direct_db").alias("advice"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.text import WHITE
 from ..registry import query
 from ..sources.tables import table, versions, with_domain
 
@@ -61,7 +62,7 @@ def priorities(spark, d):
 RECALL_RATE = 0.05
 #: Each text is routed as it is, and once more behind a clause that signals something; structural lines stand for themselves.
 _HEAD = "CASE kind WHEN 'whole' THEN text ELSE CASE doc_id % 5 WHEN 0 THEN 'Be it enacted ' || coalesce(text, '') WHEN 1 THEN 'It shall be defined ' || coalesce(text, '') WHEN 2 THEN 'the right to appeal; more than 5 means a penalty under federal law. ' || coalesce(text, '') WHEN 3 THEN 'Chapter ' || doc_id ELSE ' Definitions: ' END END"
-_CLEAN = "trim(regexp_replace(coalesce(body, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
+_CLEAN = f"trim(regexp_replace(coalesce(body, ''), '{WHITE}', ' ', 'g'))"
 _FOUND = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(low, '{p}') THEN '{k}' END" for k, p in R.SIGNALS.items()) + "], lambda x: x IS NOT NULL)"
 
 

@@ -57,12 +57,14 @@ def obligations_page(spark, d, page: int = 3, per_page: int = 25):
     return rows.join(F.broadcast(total))  # one row
 
 
-@query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n, count(*) FILTER (WHERE json_extract(props, '$.absent') IS NOT NULL) AS n_absent, count(*) FILTER (WHERE try_cast(json_extract_string(props, '$.k') AS INT) > 50) AS n_large FROM events GROUP BY 1")
+@query("""SELECT json_extract_string(props, '$.k') AS k, count(*) AS n, count(*) FILTER (WHERE json_extract(props, '$.absent') IS NOT NULL) AS n_absent, count(*) FILTER (WHERE try_cast(json_extract_string(props, '$.k') AS INT) > 50) AS n_large,
+count(*) FILTER (WHERE CAST(json_extract_string('{"truncated": ' || (value > 50) || '}', '$.truncated') AS BOOLEAN)) AS n_truncated FROM events GROUP BY 1""")
 def json_paths(spark, d):
-    """2.2.7-2.2.9: JSON paths as keys, existence, typed predicates."""
+    """2.2.7-2.2.9: JSON paths as keys, existence, typed predicates and flags."""
+    cut = F.get_json_object(F.concat(F.lit('{"truncated": '), (F.col("value") > 50).cast("string"), F.lit("}")), "$.truncated").cast("boolean")
     k = F.get_json_object("props", "$.k")
     has = F.array_contains(F.json_object_keys("props"), "absent")
-    return table(spark, d, "events").groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.count_if(has).alias("n_absent"), F.count_if(F.expr("try_cast(get_json_object(props, '$.k') AS INT) > 50")).alias("n_large"))
+    return table(spark, d, "events").groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.count_if(has).alias("n_absent"), F.count_if(F.expr("try_cast(get_json_object(props, '$.k') AS INT) > 50")).alias("n_large"), F.count_if(cut).alias("n_truncated"))
 
 
 @query(with_domain("SELECT law_id, title, subject, CASE WHEN lower(title) LIKE '%77%' THEN 1 ELSE 2 END AS rank FROM laws WHERE lower(title) LIKE '%77%' OR lower(subject) LIKE '%machin%'"))
@@ -110,7 +112,7 @@ def law_gaps(spark, d):
 
 @query(with_domain("b AS (SELECT s_suppkey AS agent_id, s_nationkey AS target FROM supplier WHERE s_acctbal > 1000) SELECT CASE WHEN target IS NULL THEN 'skipped' WHEN fact_type = 'R' THEN 'excluded' ELSE 'synced' END AS outcome, agent_id, count(*) AS n, max(target) AS target FROM facts LEFT JOIN b USING (agent_id) GROUP BY 1, 2"))
 def bridge_split(spark, d):
-    """2.3.10, 2.3.20, 2.13.3: facts split by a bridge that does not know every key; what it misses is kept for replay."""
+    """2.3.10, 2.3.20: facts split by a bridge that does not know every key; `dead_letters` replays what it misses."""
     bridge = table(spark, d, "supplier").filter("s_acctbal > 1000").select(F.col("s_suppkey").alias("agent_id"), F.col("s_nationkey").alias("target"))
     outcome = F.when(F.col("target").isNull(), "skipped").when(F.col("fact_type") == "R", "excluded").otherwise("synced")
     return facts(spark, d).join(bridge, "agent_id", "left").groupBy(outcome.alias("outcome"), "agent_id").agg(F.count(F.lit(1)).alias("n"), F.max("target").alias("target"))
@@ -197,7 +199,7 @@ def law_page(spark, d, offset: int = 30, limit: int = 30):
 
 @query(with_domain("l AS (SELECT lower(title) AS k, law_id FROM laws WHERE balance >= 0), r AS (SELECT lower(c_name) AS k, c_custkey AS other FROM customer WHERE c_mktsegment <> 'BUILDING') SELECT CASE WHEN law_id IS NULL THEN 'only_right' WHEN other IS NULL THEN 'only_left' ELSE 'matched' END AS presence, count(*) AS n FROM l FULL JOIN r USING (k) GROUP BY 1"))
 def tracker_presence(spark, d):
-    """2.7.3, 2.3.12: two trackers matched by normalised title; what each has alone."""
+    """2.7.3: two trackers matched by normalised title; what each has alone."""
     left = laws(spark, d).filter("balance >= 0").select(F.lower("title").alias("k"), "law_id")
     right = table(spark, d, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.lower("c_name").alias("k"), F.col("c_custkey").alias("other"))
     presence = F.when(F.col("law_id").isNull(), "only_right").when(F.col("other").isNull(), "only_left").otherwise("matched")
