@@ -1,3 +1,3 @@
 """The registered queries, by area."""
 
-from . import answers, entities, lifecycle, pages, passages, records, rollups, rules, serving, stated, streams, syncs  # noqa: F401
+from . import answers, entities, lifecycle, pages, passages, records, rollups, rules, serving, sourcing, stated, streams, syncs  # noqa: F401
