@@ -1,5 +1,5 @@
 """Edits, syncs, guards and alerts over whole tables (inventory 2.1.29, 2.8.11-2.8.15, 2.9.11, 2.11.18, 2.11.20, 2.13.3, 2.13.4,
-2.13.12, 2.13.13, 2.13.16, 2.14.2, 2.14.6, 2.14.7)."""
+2.13.8, 2.13.12, 2.13.13, 2.13.16, 2.14.2, 2.14.6, 2.14.7)."""
 
 from __future__ import annotations
 
@@ -139,3 +139,17 @@ def job_recovery(spark, d, stale_hours: int = 6, fresh_hours: int = 48):
     status = F.when(F.col("last.event_type") == "purchase", "done").when(age > stale_hours * 3600, "failed").otherwise("running")
     wait = K.backoff_seconds(F.col("attempts") % 8, F.when(F.col("job") % 5 == 0, 90.0), F.col("job") % 3 - 1)
     return j.join(F.broadcast(now)).select("job", status.alias("status"), (F.floor(age / 3600 * 10 + 0.5) / 10).alias("age_hours"), F.when(age > fresh_hours * 3600, "stale").otherwise("fresh").alias("alert"), wait.alias("backoff"))
+
+
+_SEVERITY = "CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'info' ELSE 'warning' END"
+
+
+@query(f"""WITH e AS (SELECT user_id % 20 AS agent, event_type, value, {_SEVERITY} AS severity, date_trunc('hour', ts) AS hour FROM events), u AS (SELECT agent, severity, event_type, hour FROM e GROUP BY ALL)
+SELECT agent, count(*) AS n, count(*) FILTER (WHERE severity = 'critical') AS failed, floor(count(*) FILTER (WHERE severity = 'critical') * 10000 / count(*)) / 10000 AS failure_rate, (SELECT count(*) FROM u WHERE u.agent = e.agent AND severity = 'warning') AS warnings, max(value) AS longest FROM e GROUP BY 1""")
+def agent_health(spark, d):
+    """2.13.8: each agent's runs, failures and warnings; a warning that repeats within an hour counts once."""
+    e = table(spark, d, "events").select((F.col("user_id") % 20).alias("agent"), "event_type", "value", F.expr(_SEVERITY).alias("severity"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour"))
+    # counted by hour first, so that a repeated warning is one row before it is counted
+    hours = e.groupBy("agent", "severity", "event_type", "hour").agg(F.count(F.lit(1)).alias("k"), F.max("value").alias("longest"))
+    n, failed = F.sum("k"), F.coalesce(F.sum(F.when(F.col("severity") == "critical", F.col("k"))), F.lit(0))
+    return hours.groupBy("agent").agg(n.alias("n"), failed.alias("failed"), (F.floor(failed * 10000 / n) / 10000).alias("failure_rate"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.max("longest").alias("longest"))

@@ -17,7 +17,10 @@ def windowed_counts(events: DataFrame, width: str = "1 day") -> DataFrame:
 
 def monitor(spark: SparkSession, path: str, width: str = "1 day") -> DataFrame:
     """Drains the log at `path` as a stream. Each batch's updates are written; the last one of a window counts."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="statuta-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or tempfile.mkdtemp(prefix="statuta-")
     out = f"{root.rstrip('/')}/monitor-{uuid.uuid4().hex}"
     folder, _, name = path.rpartition("/")
     events = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name).parquet(folder)
