@@ -37,6 +37,8 @@ RADIUS = 4
 BITS = 64
 #: Fingerprints of a bucket that are compared with each other in one go.
 BLOCK = 1024
+#: Places of a component's name.
+SALTS = 32
 #: Shingles whose bits are counted at once, which bounds memory on long texts.
 CHUNK = 1 << 16
 
@@ -222,8 +224,11 @@ def components_of(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     by its smallest doc_id."""
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = nodes.join(connected_components(links(nodes, radius)), F.col("fp") == F.col("node"), "left").select("fp", "least", "component")
+    # a component of a third of all fingerprints meets its name in SALTS places
     names = found.filter("component IS NOT NULL").groupBy(F.col("component").alias("c")).agg(F.min("least").alias("name"))
-    named = found.join(names, F.col("component") == F.col("c"), "left")
+    names = names.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    named = salted.join(names, (F.col("component") == F.col("c")) & (F.col("salt") == F.col("s")), "left")
     label = written(named.select(F.col("fp").alias("f"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("name")).alias("component_id"), F.coalesce("component", "fp").alias("group")))
     return marked.join(label, F.col("fp") == F.col("f"), "left").select(*marked.columns, "component_id", "group")
 
