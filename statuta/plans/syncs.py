@@ -1,11 +1,11 @@
-"""Edits, syncs, guards and alerts over whole tables (inventory 2.1.29, 2.8.11-2.8.15, 2.9.11, 2.11.18, 2.11.20, 2.13.3, 2.13.4,
+"""Edits, syncs, guards and alerts over whole tables (inventory 2.1.29, 2.8.11-2.8.15, 2.9.11, 2.9.57, 2.11.18, 2.11.20, 2.13.3, 2.13.4,
 2.13.8, 2.13.12, 2.13.13, 2.13.16, 2.14.2, 2.14.6, 2.14.7)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import checks as K
+from ..functions import checks as K, conflicts as X
 from ..functions.rules import normal_date_sql
 from ..functions.text import STOP_WORDS
 from ..registry import query
@@ -153,3 +153,29 @@ def agent_health(spark, d):
     hours = e.groupBy("agent", "severity", "event_type", "hour").agg(F.count(F.lit(1)).alias("k"), F.max("value").alias("longest"))
     n, failed = F.sum("k"), F.coalesce(F.sum(F.when(F.col("severity") == "critical", F.col("k"))), F.lit(0))
     return hours.groupBy("agent").agg(n.alias("n"), failed.alias("failed"), (F.floor(failed * 10000 / n) / 10000).alias("failure_rate"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.max("longest").alias("longest"))
+
+
+_KIND = "CASE p_partkey % 8 WHEN 0 THEN 'federal_preemption' WHEN 1 THEN ' Cross_State_Conflict ' WHEN 2 THEN 'first_amendment' WHEN 3 THEN 'other' WHEN 4 THEN 'unheard of' WHEN 5 THEN 'interstate_commerce' WHEN 6 THEN 'agency_jurisdiction' END"
+_TOLD = "CASE p_size % 6 WHEN 0 THEN 'May conflict with 47 U.S.C. 230' WHEN 1 THEN 'This does not appear to conflict with anything' WHEN 2 THEN 'May conflict with the law of  West Virginia' WHEN 3 THEN 'A rule of Texas' WHEN 4 THEN p_name ELSE NULL END"
+_CITES = "CASE p_partkey % 5 WHEN 0 THEN 'Dec 2025 Federal EO on AI' WHEN 1 THEN 'HIPAA' END"
+_CLAUSES = "CASE p_partkey % 11 WHEN 0 THEN 'nothing in this act preempts' WHEN 1 THEN ' ' END"
+_REFS = "CASE p_partkey % 3 WHEN 0 THEN 'Penal Code|5' WHEN 1 THEN 'Ohio Code|7' END"
+_STATE = "CASE p_partkey % 7 WHEN 0 THEN 'tx' WHEN 1 THEN 'WV' WHEN 2 THEN 'CA' WHEN 3 THEN 'XX' END"
+_CASES = lambda cases: " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in cases.items())
+_HAY = "lower(concat_ws(' | ', coalesce(cites, ''), coalesce(told, ''), coalesce(replace(refs, '|', ' | '), '')))"
+for _x in X.EXAMPLES:
+    _HAY = f"replace({_HAY}, '{_x}', ' ')"
+_OTHERS = " OR ".join(f"(own <> '{n}' AND regexp_matches(hay, '\\b{n}\\b'))" for n in X.NAMES.values())
+_NEGATED = X.SELF_NEGATION.replace("'", "''")
+
+
+@query(f"""WITH r AS (SELECT p_partkey, lower(trim(coalesce({_KIND}, ''))) AS kind, {_TOLD} AS told, {_CITES} AS cites, {_CLAUSES} AS clause, {_REFS} AS refs, {_STATE} AS state FROM part), h AS (SELECT *, CASE upper(trim(state)) {_CASES(X.NAMES)} END AS own, regexp_replace({_HAY}, '\\s+', ' ', 'g') AS hay FROM r),
+c AS (SELECT *, CASE kind {_CASES({k: v for k, v in X.CONTEXTS.items() if v != 'unclassified'})} ELSE CASE WHEN refs IS NOT NULL AND coalesce(trim(clause), '') = '' AND coalesce(trim(cites), '') = '' THEN 'cross_law_reference' ELSE 'unclassified' END END AS context,
+CASE WHEN coalesce(trim(clause), '') <> '' THEN NULL WHEN regexp_matches(lower(coalesce(told, '')), '{_NEGATED}') THEN 'self_negating_description' WHEN kind IN {X.ASSERTING} AND NOT (regexp_matches(hay, '{X.FEDERAL}') OR (own IS NOT NULL AND ({_OTHERS}))) THEN 'no_external_authority' END AS reason FROM h)
+SELECT p_partkey, context, reason IS NULL AS credible, reason, context <> 'unclassified' AND reason IS NULL AS display FROM c""")
+def legal_contexts(spark, d):
+    """2.9.57: signals of conflict with other law by kind, whether they name what they rest on, and whether they are shown."""
+    columns = [F.expr(e).alias(n) for n, e in (("kind", _KIND), ("told", _TOLD), ("cites", _CITES), ("clause", _CLAUSES), ("refs", _REFS), ("state", _STATE))]
+    rows = table(spark, d, "part").select("p_partkey", *columns).withColumn("refs", F.split("refs", "[|]"))
+    found = X.legal_context(*map(F.col, ("kind", "clause", "told", "cites", "refs", "state")))
+    return rows.select("p_partkey", found.alias("x")).select("p_partkey", "x.*")
