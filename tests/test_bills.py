@@ -92,3 +92,25 @@ def test_percentiles_are_exact(spark, tmp_path, values):
     known = sorted(v for v in values if v is not None)
     at = lambda p: (lambda h: known[int(h)] + (known[min(int(h) + 1, len(known) - 1)] - known[int(h)]) * (h - int(h)))((len(known) - 1) * p)
     assert got.p50 == pytest.approx(at(0.5)) and got.p95 == pytest.approx(at(0.95)) and got.n == len(values)
+
+
+@pytest.mark.parametrize(
+    "kind, clause, told, cites, refs, state, want",
+    [
+        ("federal_preemption", "nothing here preempts", "does not conflict", None, None, "CA", ("true_preemption", True, None, True)),
+        ("federal_preemption", None, "does not appear to conflict with federal law", None, None, "CA", ("true_preemption", False, "self_negating_description", False)),
+        ("federal_preemption", None, "May conflict", "47 U.S.C. § 230", None, "CA", ("true_preemption", True, None, True)),
+        ("dormant_commerce_clause", None, "hedge", "US Constitution Art. I § 8", None, "CA", ("true_preemption", False, "no_external_authority", False)),
+        ("cross_state_conflict", None, "California's amendment may conflict", None, None, "CA", ("interstate_conflict", False, "no_external_authority", False)),
+        ("cross_state_conflict", None, "may conflict with Texas law", None, None, "CA", ("interstate_conflict", True, None, True)),
+        ("cross_state_conflict", None, "may conflict with Texas law", None, None, None, ("interstate_conflict", False, "no_external_authority", False)),
+        ("first_amendment", None, "speech", None, None, "CA", ("constitutional_limit", True, None, True)),
+        ("other", None, "cites another", None, ["Penal Code"], "CA", ("cross_law_reference", True, None, True)),
+        ("other", None, "cites", None, None, "CA", ("unclassified", True, None, False)),
+    ],
+)
+def test_legal_contexts(spark, kind, clause, told, cites, refs, state, want):
+    from statuta.functions.conflicts import legal_context
+
+    named = F.array(*map(F.lit, refs)) if refs else F.lit(None).cast("array<string>")
+    assert tuple(one(spark, legal_context(text(kind), text(clause), text(told), text(cites), named, text(state)))[0]) == want
