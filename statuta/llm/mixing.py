@@ -92,14 +92,13 @@ def served_turns(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat
     totals = turns.groupBy("range").agg(F.sum("size").alias("range_size"))
     behind = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("before", F.coalesce(F.sum("range_size").over(behind), F.lit(0)))
-    budget = sized.agg((F.lit(share) * F.coalesce(F.sum("size"), F.lit(0))).alias("budget"))
-    # one row for each range, and one row
-    turns = turns.join(F.broadcast(totals), "range").crossJoin(F.broadcast(budget))
-    crossed = (F.col("before") <= F.col("budget")) & (F.col("before") + F.col("range_size") > F.col("budget"))
+    budget = F.lit(share * (sized.agg(F.sum("size")).first()[0] or 0))
+    turns = turns.join(F.broadcast(totals), "range")  # one row for each range
+    crossed = (F.col("before") <= budget) & (F.col("before") + F.col("range_size") > budget)
     upto = F.sum("size").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = turns.filter(crossed).withColumn("served", F.col("before") + upto <= F.col("budget"))
-    rest = turns.filter(~crossed).withColumn("served", F.col("before") + F.col("range_size") <= F.col("budget"))
-    return written(rest.unionByName(edge).drop("range", "range_size", "before", "budget"))
+    edge = turns.filter(crossed).withColumn("served", F.col("before") + upto <= budget)
+    rest = turns.filter(~crossed).withColumn("served", F.col("before") + F.col("range_size") <= budget)
+    return written(rest.unionByName(edge).drop("range", "range_size", "before"))
 
 
 def fair_queue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
