@@ -226,7 +226,7 @@ def components_of(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = nodes.join(connected_components(links(nodes, radius)), F.col("fp") == F.col("node"), "left").select("fp", "least", "component")
     # a component of a third of all fingerprints meets its name in SALTS places
     names = found.filter("component IS NOT NULL").groupBy(F.col("component").alias("c")).agg(F.min("least").alias("name"))
-    names = names.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    names = names.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")  # never sent to all tasks
     salted = found.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
     named = salted.join(names, (F.col("component") == F.col("c")) & (F.col("salt") == F.col("s")), "left")
     label = written(named.select(F.col("fp").alias("f"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("name")).alias("component_id"), F.coalesce("component", "fp").alias("group")))
