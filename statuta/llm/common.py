@@ -55,6 +55,32 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one run, written to the shared folder. `dropped` removes those that nothing reads any more;
+    tables of other runs in the same process are not touched."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, name: str, df: DataFrame) -> DataFrame:
+        self.paths[name] = path = f"{shared_folder(self.spark)}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def dropped(self, *names: str) -> None:
+        for name in names:
+            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def exactly(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of these names, of whatever else the table holds: "Text" beside "text" is no clash, and "Text" alone
+    stands for it, as it does in Spark."""
+    at = {c.lower(): i for i, c in enumerate(df.columns)} | {c: i for i, c in enumerate(df.columns)}
+    plain = df.toDF(*[f"__{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"__{at[c] if c in at else at[c.lower()]}").alias(c) for c in names])
+
+
 def packed(docs: DataFrame) -> Column:
     """A document's columns in one, `doc`, so that none clashes with columns that an operator adds."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")

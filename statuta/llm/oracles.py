@@ -104,10 +104,81 @@ FROM d LEFT JOIN c USING (r) LEFT JOIN p ON p.conv_id = d.conv_id AND p.turn = d
 LEFT JOIN y ON y.conv_id = d.conv_id AND y.turn = d.turn LEFT JOIN h ON h.conv_id = d.conv_id AND h.turn = d.turn
 """
 
+_KEY = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+_CRC = f"""xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({_KEY}) + 1), lambda i: CAST(ascii(substr({_KEY}, i, 1)) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, j: xor(x >> 1, 3988292384::BIGINT * (x & 1)))))"""
+_PAID = "CASE WHEN must THEN 1000000 WHEN cut THEN 5 ELSE 0 END"
+
+#: Costs and grammar of the repair: states 0 nothing yet, 1 after s, 2 after u, 3 after a; `back` holds what is left to pay
+#: after i rows, `ahead` walks by the least tight letter.
+CHAT_REPAIR = f"""
+WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS kind FROM conversations),
+e AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM d WHERE kind <> 0),
+ids AS (SELECT conv_id, row_number() OVER () AS k FROM (SELECT DISTINCT conv_id FROM conversations)),
+o AS (SELECT k, turn, role, text, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i
+      FROM e JOIN ids ON e.conv_id IS NOT DISTINCT FROM ids.conv_id),
+f AS (SELECT *, {_ENDS.format('text')} = '' AS blank, row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 AS again,
+             right({_ENDS.format('text')}, 1) NOT IN ('.', '!', '?') AS cut, left(role, 1) AS x, left(lag(role) OVER (PARTITION BY k ORDER BY i), 1) AS px FROM o),
+r AS MATERIALIZED (SELECT k, i, turn, role, text, blank OR again AS must, cut, x, blank, again, px,
+             CASE x WHEN 's' THEN [1, NULL, NULL, NULL] WHEN 'u' THEN [2, 2, NULL, 2] WHEN 'a' THEN [NULL, NULL, 3, NULL] ELSE [NULL, NULL, NULL, NULL] END AS keeps FROM f),
+n AS (SELECT ids.k, count(i) AS n FROM ids LEFT JOIN r ON ids.k = r.k GROUP BY ids.k),
+back AS (
+  SELECT k, n AS i, [0, 10, 5, 0]::BIGINT[] AS v FROM n
+  UNION ALL
+  SELECT k, i, list_transform([2, 2, 3, 2], lambda t, s: least(w[s], 5 + w[t + 1])) FROM (
+    SELECT k, i, list_transform([2, 2, 3, 2], lambda t, s: least(a[s], 5 + a[t + 1])) AS w FROM (
+      SELECT back.k, back.i - 1 AS i, list_transform([2, 2, 3, 2], lambda t, s: least(2 + v[s], 1 + {_PAID} + v[t + 1], coalesce({_PAID} + v[keeps[s] + 1], 1000000)))::BIGINT[] AS a
+      FROM back JOIN r ON r.k = back.k AND r.i = back.i))),
+p AS MATERIALIZED (SELECT b.k, b.i, b.v, c.v AS next, r.role, r.text, r.keeps, {_PAID} AS paid FROM back b
+      LEFT JOIN back c ON c.k = b.k AND c.i = b.i + 1 LEFT JOIN r ON r.k = b.k AND r.i = b.i + 1),
+ahead AS (
+  SELECT k, 0::BIGINT AS i, 0 AS s, 0 AS step, '' AS letter, NULL::VARCHAR AS line, 0::BIGINT AS cost FROM ids
+  UNION ALL
+  SELECT k, i + CAST(letter <> 'I' AS BIGINT), CASE letter WHEN 'D' THEN s WHEN 'K' THEN keeps[s + 1] ELSE [2, 2, 3, 2][s + 1] END, step + 1, letter,
+         CASE letter WHEN 'D' THEN NULL WHEN 'K' THEN role || ':' || text ELSE CASE WHEN s = 2 THEN 'assistant:' ELSE 'user:' END || CASE letter WHEN 'R' THEN text ELSE '' END END,
+         CASE letter WHEN 'D' THEN 2 WHEN 'I' THEN 5 WHEN 'K' THEN paid ELSE 1 + paid END
+  FROM (SELECT ahead.k, ahead.i, s, step, role, text, keeps, paid,
+               CASE WHEN next IS NULL THEN 'I' WHEN 2 + next[s + 1] = v[s + 1] THEN 'D' WHEN 5 + v[[2, 2, 3, 2][s + 1] + 1] = v[s + 1] THEN 'I'
+                    WHEN paid + next[keeps[s + 1] + 1] = v[s + 1] THEN 'K' ELSE 'R' END AS letter
+        FROM ahead JOIN p ON p.k = ahead.k AND p.i = ahead.i WHERE next IS NOT NULL OR s IN (1, 2))),
+w AS (SELECT k, CAST(sum(cost) AS BIGINT) AS cost, string_agg(letter, '' ORDER BY step) AS audit, coalesce(string_agg(line, chr(10) ORDER BY step), '') AS lines FROM ahead GROUP BY k),
+c AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate,
+             count(*) FILTER (WHERE cut AND NOT blank AND NOT again) AS truncated, count(*) FILTER (WHERE px IS NOT NULL AND px || x NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY k)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, cost, audit, sha256(lines) AS repaired_sha256
+FROM ids JOIN w USING (k) LEFT JOIN c USING (k)
+"""
+
+
+def _round(r: int) -> str:
+    """Nearest entries and moved entries of one round; a distance and an index in one number, whose least is the answer."""
+    return f"""
+a{r} AS MATERIALIZED (SELECT r, part, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + entry)::BIGINT AS m FROM p JOIN b{r} USING (part) GROUP BY r, part),
+s{r} AS (SELECT part, m % 64 AS entry, pos, CAST(floor(sum(x[pos]) / count(*)) AS BIGINT) AS c FROM a{r} JOIN p USING (r, part), LATERAL (SELECT unnest(range(1, len(x) + 1)) AS pos) GROUP BY part, m % 64, pos),
+m{r} AS (SELECT part, entry, list(c ORDER BY pos) AS c FROM s{r} GROUP BY part, entry),
+b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} USING (part, entry)),"""
+
+
+VECTOR_CODES = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+n AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r FROM k),
+p AS MATERIALIZED (SELECT r, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS x FROM n, (SELECT unnest(range(16)) AS part)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x AS c FROM p WHERE r <= 64),{_round(0)}{_round(1)}
+a2 AS (SELECT r, part, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + entry)::BIGINT AS m FROM p JOIN b2 USING (part) GROUP BY r, part),
+f AS (SELECT r, string_agg(printf('%02x', m % 64), '' ORDER BY part) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a2 GROUP BY r),
+h AS (SELECT sha256(array_to_string(flatten(list(c ORDER BY part, entry)), ',')) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM n JOIN f USING (r), h
+"""
+
 ORACLES = {
     "op2_chat_formatting": CHAT,
     "op3_mixing": MIXING,
     "op4_quality_rules": QUALITY_RULES,
     "op5_line_dedup": LINE_DEDUP,
     "op7_exact_dedup": EXACT_DEDUP,
+    "op12_conversation_repair": CHAT_REPAIR,
+    "op13_vector_codes": VECTOR_CODES,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, line_dedup, line_rules, mil_quality, mixing, quotes, sharding, simhash, sp_transducer, toxicity
+from . import chat_repair, exact_dedup, language_filters, line_dedup, line_rules, mil_quality, mixing, quotes, sharding, simhash, sp_transducer, toxicity, vector_codes
 from .common import table
 
 
@@ -51,8 +51,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_filters.languages(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(vector_codes.codebook_digest(books)).alias("codebooks_sha256")
+    return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", digest)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_chat_formatting, op3_mixing, op4_quality_rules, op5_line_dedup, op6_sentencepiece, op7_exact_dedup, op8_quality_classifier, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_sharding, op2_chat_formatting, op3_mixing, op4_quality_rules, op5_line_dedup, op6_sentencepiece, op7_exact_dedup, op8_quality_classifier, op9_simhash, op10_toxicity, op11_language_id, op12_conversation_repair, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
