@@ -76,10 +76,21 @@ def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = F.split(F.translate(text_or_empty(text_col), _UPPER, _LOWER), "\n", -1)
     parts = F.filter(F.transform(lines, lambda x: F.struct(F.xxhash64(F.trim(x, F.lit(" \t\n\x0b\x0c\r"))).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n"))), lambda p: p["n"] > 0)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.xxhash64(text_or_empty(text_col)).alias("text_key"), parts.alias("parts"))
-    each = rows.select("doc_id", "host", "text_key", "parts", F.explode(F.array_distinct(F.transform("parts", lambda p: p["line"]))).alias("line"))
-    times = F.size(F.filter("parts", lambda p: p["line"] == F.col("line")))
-    one = F.filter("parts", lambda p: p["line"] == F.col("line"))[0]["n"]
-    return each.select("host", "line", "doc_id", "text_key", (times * one).alias("words"))
+    each = rows.select("doc_id", "host", "text_key", F.explode(line_runs(F.col("parts"))).alias("run"))
+    return each.select("host", F.col("run.line").alias("line"), "doc_id", "text_key", F.col("run.words").alias("words"))
+
+
+def line_runs(parts: Column) -> Column:
+    """(line, words) of each distinct line: lines are sorted, so equal ones are neighbours, and each run is counted from where
+    it starts to where the next one does. One sort and one pass, however many lines a text has."""
+    bound = lambda value, f: F.transform(F.array(value), f)[0]
+
+    def runs(a: Column) -> Column:
+        starts = F.array_compact(F.transform(a, lambda x, i: F.when((i == 0) | (x["line"] != F.get(a, i - 1)["line"]), i)))
+        run = lambda s: F.transform(s, lambda i, k: F.struct(F.get(a, i)["line"].alias("line"), ((F.coalesce(F.get(s, k + 1), F.size(a)) - i) * F.get(a, i)["n"]).alias("words")))
+        return bound(starts, run)
+
+    return bound(F.sort_array(parts), runs)
 
 
 def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_percent: float = MAX_PERCENT_OF_HOST) -> DataFrame:
