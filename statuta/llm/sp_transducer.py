@@ -30,6 +30,7 @@ from __future__ import annotations
 import gc
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from heapq import heappop, heappush
 from itertools import chain
@@ -238,12 +239,13 @@ class Transducer:
 
     def unit_ids(self, unit: str) -> tuple[int, ...]:
         """Of a unit with any characters, cut where no piece can cross."""
-        together, out, at = self.together, (), 0
+        together, found, at = self.together, [], 0
         for i in range(1, len(unit)):
             if unit[i - 1 : i + 1] not in together:
-                out += self.part_ids(unit[at:i])
+                found.append(self.part_ids(unit[at:i]))
                 at = i
-        return out + self.part_ids(unit[at:])
+        found.append(self.part_ids(unit[at:]))
+        return found[0] if len(found) == 1 else tuple(chain.from_iterable(found))
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -281,13 +283,25 @@ _machines: dict[str, Transducer] = {}
 
 def machine(name: str, tables: Tables) -> Transducer:
     """The composed machine of this Python process; its memory serves all tasks that the process runs."""
-    gc.disable()  # no cycles are made here, and passes over all remembered words would cost a third of the time
     if name not in _machines:
         _machines.clear()
         _machines[name] = Transducer(tables)
     return _machines[name]
 
 
+@contextmanager
+def uncollected():
+    """Without passes over all remembered words, which hold no cycles and would cost a third of the time; only as long as
+    this operator's own code runs, since Spark uses the process for other work too."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = DEFAULT_MODEL, kind: str = "merge") -> DataFrame:
     """doc_id, ids, n_tokens, decoded for every document. The compiled tables (a few MB, whatever the data) are broadcast."""
     tables, name = docs.sparkSession.sparkContext.broadcast(load(model_path, kind)), f"{kind}:{model_path}"
@@ -297,7 +311,8 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                ids = [m.encode(t.as_py()) for t in part.column(1)]
+                with uncollected():
+                    ids = [m.encode(t.as_py()) for t in part.column(1)]
                 sizes = np.fromiter(map(len, ids), np.int32, len(ids))
                 flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat)

@@ -311,7 +311,7 @@ def test_vectors_that_cannot_be_cut(spark):
 def test_bounds_spare_scans_and_keep_ties():
     """Assignments under bounds equal full scans over several moves, with many equal distances, and scan fewer rows."""
     rng = np.random.default_rng(3)
-    for scale, most in ((2, 1.0), (40, 0.5)):  # equal distances everywhere, then clusters
+    for scale, most in ((2, 1.0), (40, 0.75)):  # equal distances everywhere, then clusters
         x = (rng.integers(-scale, scale + 1, (3000, 4)) + (scale > 2) * 1000 * rng.integers(0, 8, (3000, 1))).astype(np.float64)
         book, scanned = x[:32].copy(), 0
         near, upper, lower = vector_codes.scan(x, book)
@@ -328,3 +328,36 @@ def test_distances_of_large_numbers_are_exact():
     x = np.array([[2.0**27, -(2.0**27)], [3.0, 4.0]])
     want = [[sum((int(a) - int(b)) ** 2 for a, b in zip(p, q)) for q in x] for p in x]
     assert vector_codes.distances(x, x).tolist() == want
+
+
+# texts of many lines, and long ones without spaces: earlier operators in linear time
+
+
+def test_many_lines_of_one_text(spark):
+    """200,000 lines, most of them distinct; each line once with the words of all its places."""
+    import time
+
+    from statuta.llm import line_rules
+
+    lines = [f"line {k % 150_000} of it" for k in range(200_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines), "s"), (1, "\n".join(lines), "s"), (2, "One line\n\n one LINE \nb", "s"), (3, None, None)], "doc_id long, text string, source string")
+    began = time.time()
+    out = Counter((r.doc_id, r.words) for r in line_rules.document_lines(df).select("doc_id", "words").collect())
+    assert out == {(1, 8): 2 * 50_000, (1, 4): 2 * 100_000, (2, 4): 1, (2, 1): 1}
+    assert time.time() - began < 60
+
+
+def test_long_text_without_spaces():
+    import gc
+    import time
+
+    from statuta.llm import sp_transducer as sp
+
+    m, rng = sp.Transducer(sp.load()), random.Random(4)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(500_000))
+    began = time.time()
+    with sp.uncollected():
+        ids = m.encode(text)
+    assert time.time() - began < 60 and m.decode(ids) == text and gc.isenabled()
+    head = text[:2000]
+    assert m.encode(head).tolist() == ids[: len(m.encode(head))].tolist() or len(m.encode(head)) > 2000
