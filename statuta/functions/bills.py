@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .text import strip
+
 # Patterns over a passage's lower-case opening, and over its section path.
 OPENING = 500
 DEFINES = r"\b(?:definition[s]?|as used in this (?:section|chapter|act|article|title|part)|for (?:the )?purpose[s]? of this (?:section|chapter|act|article|title|part)|the following terms (?:shall )?have the (?:following )?meaning|(?:shall |the term |as used herein[,]? )[\"“].+?[\"”] means)"
@@ -49,14 +51,14 @@ def bill_excerpt(text: Column, matched: Column, window: int) -> Column:
 
 def clean_actor(c: Column) -> Column:
     """An actor's name, null where it names none or is garbled: very short, or with runs of white space."""
-    bare = F.trim(c)
+    bare = strip(c)
     return F.when((bare != "") & (F.length(bare) > 3) & ~F.lower(bare).isin(*NO_ACTORS) & ~bare.rlike(r"\s{2,}|\t"), bare)
 
 
 def reconciled_actor(raw: Column, named: Column, raw_code: Column, named_code: Column) -> Column:
     """The named actor if the raw words hold it or both have one code in the alias table, else the code of the raw words; the codes are
     joined in by the caller, null where the table lacks a name."""
-    clean, said = clean_actor(named), F.coalesce(F.trim(raw), F.lit(""))
+    clean, said = clean_actor(named), F.coalesce(strip(raw), F.lit(""))
     holds = F.contains(F.lower(said), F.lower(clean)) | (raw_code == F.coalesce(named_code, F.lower(clean)))
     return F.when(said == "", clean).when(clean.isNotNull() & F.coalesce(holds, F.lit(False)), clean).otherwise(raw_code)
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .rules import normal_date
-from .text import bound, jaccard, loose, tokens
+from .text import bound, jaccard, loose, strip, tokens
 
 # Whom a tracker's scope codes cover.
 _EVERYONE = ("developer", "provider", "deployer", "operator", "distributor", "compute_provider", "controller", "processor", "data_broker", "regulator", "government_agency", "individual", "regulated_entity")
@@ -28,7 +28,7 @@ def edited_value(widget: Column, value: Column, choices: Column | None = None) -
     unknown choice is kept and noted; read-only and grouped fields take none."""
     made = lambda ok, v, note: F.struct(F.lit(ok).alias("valid"), v.cast("string").alias("value"), F.lit(note).cast("string").alias("note"))
     empty = F.coalesce(value, F.lit("")) == ""
-    number, day, low = value.try_cast("double"), normal_date(value), F.lower(F.trim(value))
+    number, day, low = value.try_cast("double"), normal_date(value), F.lower(strip(value))
     plain = F.when(number == F.floor(number), number.cast("long").cast("string")).otherwise(number.cast("string"))
     unknown = ~F.coalesce(F.array_contains(choices, value), F.lit(True)) if choices is not None else F.lit(False)
     return (
@@ -46,7 +46,7 @@ def edited_value(widget: Column, value: Column, choices: Column | None = None) -
 def scope_actors(codes: Column) -> Column:
     """Actors that a list of scope codes, with commas, covers."""
     of = F.create_map(*[x for k, v in SCOPES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    return F.array_distinct(F.flatten(F.filter(F.transform(F.split(codes, ","), lambda c: of[F.trim(c)]), lambda a: a.isNotNull())))
+    return F.array_distinct(F.flatten(F.filter(F.transform(F.split(codes, ","), lambda c: of[strip(c)]), lambda a: a.isNotNull())))
 
 
 def alignment(actor: Column, codes: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from .rules import _first
+from .text import WHITE, any_script, strip, strip_sql
 
 # By jurisdiction, what stands for the sign of a section, whatever its case; then what does anywhere.
 CITED = {
@@ -45,31 +46,41 @@ GOVERNMENT, PERSON = ("regulator", "government_agency"), "individual"
 
 def normal_citation(c: Column, jurisdiction: Column) -> Column:
     """A citation as the sign of a section and its number, as section paths have it; empty for none."""
-    swap = lambda x, rule: F.regexp_replace(x, "(?i)" + rule[0], rule[1].replace("{1}", "$1"))
+    swap = lambda x, rule: F.regexp_replace(x, "(?i)" + any_script(rule[0]), rule[1].replace("{1}", "$1"))
     code = F.upper(F.coalesce(jurisdiction, F.lit("")))
-    bare = F.trim(F.coalesce(c, F.lit("")))
+    bare = strip(F.coalesce(c, F.lit("")))
     own = _first([(code == k, reduce(swap, rules, bare)) for k, rules in CITED.items()], bare)
-    return F.trim(reduce(swap, CITED_ANYWHERE, own))
+    return strip(reduce(swap, CITED_ANYWHERE, own))
 
 
 def normal_citation_sql(c: str, jurisdiction: str) -> str:
-    swap = lambda x, rule: f"regexp_replace({x}, '{rule[0]}', '{rule[1].replace('{1}', chr(92) + '1')}', 'gi')"
-    bare = f"trim(coalesce({c}, ''))"
+    swap = lambda x, rule: f"regexp_replace({x}, '{any_script(rule[0])}', '{rule[1].replace('{1}', chr(92) + '1')}', 'gi')"
+    bare = strip_sql(f"coalesce({c}, '')")
     own = f"CASE upper(coalesce({jurisdiction}, '')) {' '.join(f'''WHEN '{k}' THEN {reduce(swap, rules, bare)}''' for k, rules in CITED.items())} ELSE {bare} END"
-    return f"trim({reduce(swap, CITED_ANYWHERE, own)})"
+    return strip_sql(reduce(swap, CITED_ANYWHERE, own))
+
+
+#: What a citation may begin with instead of the word: a fixed value.
+SECTION_SIGN = r"^(section|sec\.?|§|&#167;)\s*"
+
+
+def plain_citation(c: Column) -> Column:
+    """A citation in lower case, with the word for its sign and single spaces."""
+    return F.regexp_replace(F.regexp_replace(strip(F.lower(c)), any_script(SECTION_SIGN), "section "), WHITE, " ")
 
 
 def state_code(c: Column) -> Column:
     """The code that a text is, or that belongs to the name that it is, or to the first name that it holds; empty for none."""
-    bare = F.trim(c)
+    bare = strip(c)
     codes = F.upper(bare).isin(*STATES.values())
     held = _first([(F.contains(F.lower(bare), F.lit(name)), F.lit(code)) for name, code in STATES.items()], F.lit(""))
     return F.when((F.length(bare) == 2) & codes, F.upper(bare)).otherwise(F.coalesce(_first([(F.lower(bare) == name, F.lit(code)) for name, code in STATES.items()], F.lit(None)), held))
 
 
 def state_code_sql(c: str) -> str:
-    cases = [f"WHEN length(trim({c})) = 2 AND upper(trim({c})) IN ({', '.join(f'{chr(39)}{x}{chr(39)}' for x in STATES.values())}) THEN upper(trim({c}))"]
-    cases += [f"WHEN lower(trim({c})) = '{n}' THEN '{x}'" for n, x in STATES.items()] + [f"WHEN contains(lower({c}), '{n}') THEN '{x}'" for n, x in STATES.items()]
+    bare = strip_sql(c)
+    cases = [f"WHEN length({bare}) = 2 AND upper({bare}) IN ({', '.join(f'{chr(39)}{x}{chr(39)}' for x in STATES.values())}) THEN upper({bare})"]
+    cases += [f"WHEN lower({bare}) = '{n}' THEN '{x}'" for n, x in STATES.items()] + [f"WHEN contains(lower({c}), '{n}') THEN '{x}'" for n, x in STATES.items()]
     return f"CASE {' '.join(cases)} ELSE '' END"
 
 
@@ -79,7 +90,7 @@ def is_placeholder(c: Column) -> Column:
 
 def placeholder_name(c: Column, bill: Column, jurisdiction: Column) -> Column:
     """What a placeholder id may be called until its own is known: jurisdiction and bill, or the bill; null for other ids."""
-    number, place = F.nullif(F.trim(bill), F.lit("")), F.nullif(F.upper(jurisdiction), F.lit(""))
+    number, place = F.nullif(strip(bill), F.lit("")), F.nullif(F.upper(jurisdiction), F.lit(""))
     return F.when(is_placeholder(c), F.coalesce(F.concat(place, F.lit(" "), number), number))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from .citations import STATES
 from .rules import _first
-from .text import WHITE, bound
+from .text import bound, strip, WHITE
 
 # The context of each conflict; those that need an authority outside; what a model says when it sees no conflict;
 # citations that are such an authority; authorities that only repeat a prompt.
@@ -27,13 +27,13 @@ NAMES = {code: name for name, code in STATES.items() if code != "PR"}
 def legal_context(conflict: Column, clause: Column, description: Column, authority: Column, refs: Column, jurisdiction: Column) -> Column:
     """struct(context, credible, reason, display). A quoted clause carries a signal by itself; a description that sees no conflict
     sinks it; a conflict with other law must name a federal citation or another state than its own. `refs`: array of names."""
-    said = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
-    kind, some = F.lower(F.trim(F.coalesce(conflict, F.lit("")))), F.coalesce(F.size(refs), F.lit(0)) > 0
+    said = lambda c: F.coalesce(strip(c), F.lit("")) != ""
+    kind, some = F.lower(strip(F.coalesce(conflict, F.lit("")))), F.coalesce(F.size(refs), F.lit(0)) > 0
     known = F.coalesce(F.create_map(*[F.lit(x) for kv in CONTEXTS.items() for x in kv])[kind], F.lit("unclassified"))
     context = F.when((known == "unclassified") & some & ~said(clause) & ~said(authority), "cross_law_reference").otherwise(known)
     joined = F.lower(F.concat_ws(" | ", F.coalesce(authority, F.lit("")), F.coalesce(description, F.lit("")), F.array_join(F.coalesce(refs, F.array().cast("array<string>")), " | ")))
     plain = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(" ")), EXAMPLES, F.regexp_replace(F.replace(joined, F.lit("â§"), F.lit("§")), WHITE, " "))
-    own = F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv])[F.upper(F.trim(jurisdiction))]
+    own = F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv])[F.upper(strip(jurisdiction))]
 
     def judged(hay: Column) -> Column:
         other = F.exists(F.array(*map(F.lit, NAMES.values())), lambda n: (n != own) & F.contains(hay, n) & F.regexp_like(hay, F.concat(F.lit(r"\b"), n, F.lit(r"\b"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import bound
+from .text import bound, strip
 
 TIMELINE = "struct<effective_date: string, compliance_deadline: string, sunset_date: string, phase_in_period: string, timeline_text: string, date_parse_status: map<string, string>>"
 ENFORCEMENT = "struct<enforcing_body: string, penalty_type: string, penalty_description: string, private_right_of_action: boolean, max_civil_penalty_usd: bigint, cure_period_days: int, enforcement_text: string>"
@@ -29,7 +29,7 @@ def _filled(*columns: Column) -> Column:
 
 
 def _both(a: Column, b: Column) -> Column:
-    return (F.coalesce(F.trim(a), F.lit("")) != "") & (F.coalesce(F.trim(b), F.lit("")) != "")
+    return (F.coalesce(strip(a), F.lit("")) != "") & (F.coalesce(strip(b), F.lit("")) != "")
 
 
 def _some(items: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from .text import collapse
+from .text import collapse, strip, strip_sql, WHITE, WHITE_SIGNS
 
 # Month names, and what a date may look like.
 MONTHS = r"(?i)\b(january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec)\.?\s+"
@@ -19,7 +19,7 @@ MONTH_NUMBER = {"jan": "01", "feb": "02", "mar": "03", "apr": "04", "may": "05",
 
 def normal_date(c: Column) -> Column:
     """yyyy-MM-dd from a date in ISO form, in part of it, with slashes, with a month's name, or from a year alone; else null."""
-    t = F.trim(c)
+    t = strip(c)
     part = lambda pattern, k: F.regexp_extract(t, pattern, k)
     two = lambda x: F.lpad(x, 2, "0")
     numbers = F.create_map(*[F.lit(x) for pair in MONTH_NUMBER.items() for x in pair])
@@ -61,13 +61,13 @@ def _first(cases: Sequence[tuple[Column, Column]], otherwise: Column) -> Column:
 
 
 def status_of(c: Column) -> Column:
-    low = F.lower(F.trim(c))
+    low = F.lower(strip(c))
     whole = [(low == k, F.lit(v)) for k, v in STATUS_WHOLE.items()]
     return _first(whole + [(F.contains(low, F.lit(k)), F.lit(v)) for k, v in STATUS_PART.items()], F.lit("pending"))
 
 
 def status_sql(c: str) -> str:
-    low = f"lower(trim({c}))"
+    low = f"lower({strip_sql(c)})"
     cases = [f"WHEN {low} = '{k}' THEN '{v}'" for k, v in STATUS_WHOLE.items()] + [f"WHEN contains({low}, '{k}') THEN '{v}'" for k, v in STATUS_PART.items()]
     return f"CASE {' '.join(cases)} ELSE 'pending' END"
 
@@ -253,7 +253,11 @@ NO_CATEGORY = "general_ai"
 
 def plain_name(c: Column) -> Column:
     """Lower-case letters, digits and single spaces; other signs go without leaving a space."""
-    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(c)), r"[^a-z0-9\x20\x09-\x0D]", ""), r"[\x20\x09-\x0D]+", " ")
+    return F.regexp_replace(F.regexp_replace(strip(F.lower(c)), f"[^a-z0-9{WHITE_SIGNS}]", ""), WHITE, " ")
+
+
+def plain_name_sql(c: str) -> str:
+    return f"regexp_replace(regexp_replace({strip_sql(f'lower({c})')}, '[^a-z0-9{WHITE_SIGNS}]', '', 'g'), '{WHITE}', ' ', 'g')"
 
 
 def bill_id(c: Column) -> Column:
@@ -263,7 +267,7 @@ def bill_id(c: Column) -> Column:
 
 
 def bill_id_sql(c: str) -> str:
-    n = rf"regexp_replace(regexp_replace(trim(lower({c})), '[^a-z0-9\x20\x09-\x0D]', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')"
+    n = plain_name_sql(c)
     return f"CASE {' '.join(f'''WHEN starts_with({n}, '{long} ') THEN '{short} ' || substr({n}, {len(long) + 2})''' for long, short in BILL_FORMS.items())} ELSE {n} END"
 
 

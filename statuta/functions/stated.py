@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, functions as F
 
 from .rules import _first, normal_date, normal_date_sql
-from .text import bound
+from .text import bound, strip
 
 # Patterns over lower-case text with what they show, the first that fits unless all are asked for.
 MONEY = r"\$\s*([0-9,]+(?:\.[0-9]+)?)\s*(million|m\b|billion|b\b|thousand|k\b)?"
@@ -145,7 +145,7 @@ def timeline_facts(requirements: Column, enforcement: Column) -> Column:
 
 def trigger_value(c: Column) -> Column:
     """The number that a threshold states: with its word, as a power, or plain; null where there is none."""
-    low = F.lower(F.trim(c))
+    low = F.lower(strip(c))
     factor, bare = F.lit(1.0), low
     for word, f in reversed(FACTORS.items()):
         factor = F.when(F.contains(low, F.lit(word)), f).otherwise(factor)
@@ -161,9 +161,9 @@ def trigger(kind: Column, unit: Column, condition: Column, value: Column, flops:
     read = F.struct(F.coalesce(trigger_value(value), flops).alias("value"), words.alias("words"), F.lower(F.coalesce(condition, F.lit(""))).alias("said"))
 
     def made(x: Column) -> Column:
-        named = _first([(F.contains(x["words"], F.lit(w)), F.lit(t)) for w, t in TRIGGERS.items()], F.nullif(F.trim(kind), F.lit("")))
+        named = _first([(F.contains(x["words"], F.lit(w)), F.lit(t)) for w, t in TRIGGERS.items()], F.nullif(strip(kind), F.lit("")))
         what = F.when(flops.isNotNull(), "compute").when(F.coalesce(sectors, F.lit("")) != "", "sector").otherwise(named)
-        known = x["value"].isNotNull() | (F.coalesce(F.trim(value), F.lit("")) != "")
+        known = x["value"].isNotNull() | (F.coalesce(strip(value), F.lit("")) != "")
         operator = _first([(F.contains(x["said"], F.lit(w)), F.lit(o)) for w, o in OPERATORS.items()], F.when(known, "gte").otherwise("any"))
         return F.struct(what.alias("type"), operator.alias("operator"), x["value"].alias("value"), known.alias("known"))
 

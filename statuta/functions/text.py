@@ -16,7 +16,8 @@ WIDE_FOLD = {
 }
 LOOSE_LEAST, STRIPPED_LEAST = 15, 25
 #: White space of any script, in a form that both engines read.
-WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+WHITE_SIGNS = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WHITE = f"[{WHITE_SIGNS}]+"
 # Words that mark statutes, and phrases that mark the frame of a web page.
 LEGAL_MARKERS = (
     "section", "whereas", "enacted", "shall", "provided", "pursuant", "herein", "thereof", "notwithstanding", "jurisdiction",
@@ -56,6 +57,31 @@ def bound(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def any_script(pattern: str) -> str:
+    """A pattern whose white space, word signs and digits are those of any script, in a form that both engines read."""
+    signs, out, inside, at = {"s": WHITE_SIGNS, "w": r"\p{L}\p{N}_", "d": r"\p{Nd}"}, [], False, 0
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        if two[:1] == "\\":
+            found = signs.get(two[1:])
+            out.append(two if found is None else found if inside else f"[{found}]")
+            at += 2
+            continue
+        inside = two[:1] == "[" or (inside and two[:1] != "]")
+        out.append(two[:1])
+        at += 1
+    return "".join(out)
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(c, rf"^{WHITE}|{WHITE}\z", "")
+
+
+def strip_sql(c: str) -> str:
+    return rf"regexp_replace({c}, '^{WHITE}|{WHITE}\z', '', 'g')"
+
+
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, WHITE, " "))
 
