@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .text import strip
+from .text import any_script, strip
 
 # Patterns over a passage's lower-case opening, and over its section path.
 OPENING = 500
@@ -14,6 +14,11 @@ SCOPE = r"\b(?:scope|applicab(?:ility|le)|purpose[s]? (?:and scope|of this)|this
 ENFORCES = r"\b(?:penalt(?:y|ies)|civil (?:penalty|action|fine|liability|remedy|remedies)|criminal (?:penalty|penalties|offense)|enforcement|violation[s]?|liable? (?:for|to)|fine[s]? (?:of|not to exceed|up to)|right of action|private right|attorney general|cause[s]? of action|injunctive relief|cure period|notice and cure)"
 DEFINES_PATH, SCOPE_PATH, ENFORCES_PATH = r"definition|meaning|interpretation|term[s]?", r"scope|applicab|purpose|finding|intent|short.title|exempt", r"penalt|enforc|violation|remedy|remedies|sanction|fine|liability|action"
 KINDS = {"definitions": (DEFINES, DEFINES_PATH, 30_000), "scope": (SCOPE, SCOPE_PATH, 20_000), "enforcement": (ENFORCES, ENFORCES_PATH, 10_000)}
+# What parts passages, what it takes of the budget, marks of what was left out, the outline's budget, and quoted
+# terms that are defined.
+BETWEEN, JOINT, CUT, LEFT_OUT = "\n---\n", 4, " [...]", "[... truncated ...]"
+OUTLINE, OUTLINE_CUT = 5_000, "  ..."
+TERM = r"[\"“]([^\"”]{2,80})[\"”]\s+(?:means?|refers? to|shall mean|is defined as|has the meaning)"
 NO_ACTORS = (
     "contract", "document", "website", "program", "operat", "socia", "legal_claim", "procurement_process", "request", "report", "content",
     "legislative provision", "software_tool", "distribution_platform", "automated decision-making system",
@@ -30,16 +35,47 @@ def is_kind(kind: str, text: Column, path: Column) -> Column:
     return F.lower(F.coalesce(path, F.lit(""))).rlike(places) | F.lower(F.substring(F.coalesce(text, F.lit("")), 1, OPENING)).rlike(words)
 
 
+def _upto(rows: DataFrame, bill: str, order: str, size: Column) -> DataFrame:
+    """Rows with `_upto`, the sizes of the bill's rows up to this one. The window sorts narrow rows; texts are not among them."""
+    before = Window.partitionBy(bill).orderBy(order, "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("_size", size).withColumn("_upto", F.sum("_size").over(before)).withColumn("_total", F.count(F.lit(1)).over(Window.partitionBy(bill)))
+
+
+def _in_order(c: str, order: str) -> Column:
+    return F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "_row", F.col(c).alias("t")))), lambda x: x["t"])
+
+
 def bill_context(passages: DataFrame, bill: str, order: str, text: str, path: str) -> DataFrame:
-    """One row a bill with its passages of each kind, in order, joined while they fit the kind's budget; the passage that does
-    not fit, and those behind it, are left out. A running total within the bill tells which, so only what is kept is gathered."""
-    before = Window.partitionBy(bill).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = passages.select(bill).distinct()
+    """One row a bill: definitions, scope, enforcement (passages that define are no part of it), structure (the outline of its
+    section paths), defined_terms (each once, in order), and how many passages there are of each kind.
+
+    Passages are stripped, blank ones left out, and joined in order while each fits the budget with four characters for what
+    parts it from the next. Of a first passage above the budget its head stays, marked " [...]"; where passages are left out,
+    a mark stands for them. Passages of equal order follow by a hash of their text."""
+    rows = passages.select(bill, F.col(order).alias("_order"), F.coalesce(path, F.lit("")).alias("_path"), F.coalesce(text, F.lit("")).alias("_text"))
+    rows = rows.select("*", F.xxhash64("_text", "_path").alias("_row"), strip(F.col("_text")).alias("_bare"), *[is_kind(k, F.col("_text"), F.col("_path")).alias(f"_{k}") for k in KINDS])
+    rows = rows.withColumn("_enforcement", F.col("_enforcement") & ~F.col("_definitions"))
+    counts = [F.count_if(f"_{k}").alias(f"{k}_passages") for k in KINDS]
+    out = rows.groupBy(bill).agg(*counts, F.count(F.lit(1)).alias("total_passages"))
     for kind, (_, _, budget) in KINDS.items():
-        own = passages.filter(is_kind(kind, F.col(text), F.col(path))).withColumn("_upto", F.sum(F.length(text)).over(before)).filter(F.col("_upto") <= budget)
-        items = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-        out = out.join(own.groupBy(bill).agg(F.array_join(F.transform(items, lambda x: x["t"]), "\n\n").alias(kind)), bill, "left")
-    return out
+        own = rows.filter(F.col(f"_{kind}") & (F.col("_bare") != ""))
+        narrow = _upto(own.select(bill, "_order", "_row", F.length("_bare").alias("_n")), bill, "_order", F.col("_n") + JOINT)
+        kept = narrow.filter((F.col("_upto") <= budget) | (F.col("_upto") == F.col("_size"))).distinct()
+        texts = kept.join(own.select(bill, "_order", "_row", "_bare").distinct(), [bill, "_order", "_row"])
+        cut = F.when(F.col("_upto") > budget, F.concat(F.substring("_bare", 1, budget - JOINT), F.lit(CUT))).otherwise(F.col("_bare"))
+        parts = texts.withColumn("_part", cut).groupBy(bill).agg(_in_order("_part", "_order").alias("_parts"), F.max(F.col("_upto") > budget).alias("_cut"), F.max("_total").alias("_total"))
+        joined = F.array_join(F.when(F.col("_cut") | (F.size("_parts") == F.col("_total")), F.col("_parts")).otherwise(F.array_append("_parts", F.lit(LEFT_OUT))), BETWEEN)
+        out = out.join(parts.select(bill, joined.alias(kind)), bill, "left").withColumn(kind, F.coalesce(kind, F.lit("")))
+    lines = rows.filter("_path <> ''").select(bill, "_order", "_row", F.concat(F.lit("  "), F.col("_path")).alias("_line"))
+    lines = _upto(lines, bill, "_order", F.length("_line") + 1)
+    outline = lines.groupBy(bill).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("_upto") <= OUTLINE, F.struct(F.col("_order").alias("o"), "_row", F.col("_line").alias("t"))))), lambda x: x["t"]).alias("_lines"), F.max("_total").alias("_total"))
+    told = F.array_join(F.when(F.size("_lines") == F.col("_total"), F.col("_lines")).otherwise(F.array_append("_lines", F.lit(OUTLINE_CUT))), "\n")
+    found = F.transform(F.regexp_extract_all("_text", F.lit(any_script(TERM)), F.lit(1)), strip)
+    terms = rows.filter("_definitions").select(bill, "_order", "_row", F.posexplode(found).alias("_at", "_term"))
+    terms = terms.groupBy(bill, F.lower("_term")).agg(F.min(F.struct("_order", "_row", "_at", "_term")).alias("_first"))
+    terms = terms.groupBy(bill).agg(F.transform(F.sort_array(F.collect_list("_first")), lambda x: x["_term"]).alias("defined_terms"))
+    out = out.join(outline.select(bill, told.alias("structure")), bill, "left").join(terms, bill, "left")
+    return out.withColumn("structure", F.coalesce("structure", F.lit(""))).withColumn("defined_terms", F.coalesce("defined_terms", F.array().cast("array<string>")))
 
 
 def bill_excerpt(text: Column, matched: Column, window: int) -> Column:

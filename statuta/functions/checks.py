@@ -87,3 +87,9 @@ def backoff_seconds(attempt: Column, retry_after: Column, share: Column, cap: fl
     of the jitter."""
     base = F.least(F.coalesce(F.when(retry_after > 0, retry_after), F.pow(F.lit(2.0), attempt)), F.lit(cap))
     return F.greatest(F.lit(0.0), base + base * jitter * share)
+
+
+def foreign_token(token: Column, current: Column) -> Column:
+    """Whether an edit was begun under another state of its record: its token and the record's are told and differ, whatever
+    their order."""
+    return F.coalesce(token != current, F.lit(False))

@@ -18,16 +18,33 @@ _MARKS = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}\[\]]', re.DOTALL)
 _JUNK = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 _INSIDE = re.compile(r'\\(?:u.{0,4}|["\\/bfnrt])|\\|[\n\r\t\b\f]', re.DOTALL)
 _COMMA = re.compile(r",\s*([}\]])")
+_NEXT = re.compile(r"\s*,")
 # Control characters inside strings, and what they are written as.
 _CONTROLS = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
 _CLOSE = {"{": "}", "[": "]"}
 LOOP_LEAST, LOOP_MOST, LOOP_TIMES = 40, 200, 3
 
 
+#: Brackets open at once beyond which a text counts as no JSON; deeper ones would run into Python's own limit.
+DEPTH_MOST = 300
+
+
+def _deep(text: str) -> bool:
+    return text.count("{") + text.count("[") > DEPTH_MOST and any(len(open_) > DEPTH_MOST for _, _, open_ in _brackets(text))
+
+
 def _valid(text: str):
     """(the value,) or None."""
     try:
-        return (json.loads(text),)
+        return None if _deep(text) else (json.loads(text),)
+    except ValueError:
+        return None
+
+
+def _first_value(text: str) -> str | None:
+    """The JSON value that a text begins with, or None; one pass, however many brackets there are."""
+    try:
+        return None if _deep(text) else text[: json.JSONDecoder().raw_decode(text)[1]]
     except ValueError:
         return None
 
@@ -59,7 +76,7 @@ def closed(text: str) -> str:
         return text
     whole, open_ = None, []
     for at, mark, open_ in _brackets(text):
-        if mark == "}" and len(open_) == 1 and text[at + 1 :].lstrip()[:1] == ",":
+        if mark == "}" and len(open_) == 1 and _NEXT.match(text, at + 1):
             whole = text[: at + 1] + _CLOSE[open_[0]]
     if whole:
         return whole
@@ -100,8 +117,7 @@ def repaired(text: str | None, items: str = "extractions") -> tuple[str, list[st
         take(_strings_mended(text), "string_escape_repair")
     if not _valid(text):
         if text[:1] in _CLOSE:
-            ends = (text[: at + 1] for at, _, open_ in _brackets(text) if not open_)
-            take(next((x for x in ends if _valid(x)), text), "first_object_extraction")
+            take(_first_value(text) or text, "first_object_extraction")
         take(_COMMA.sub(r"\1", text), "trailing_comma_strip")
     if not _valid(text) and _valid(cut := closed(text)):
         started = elements_started(text)

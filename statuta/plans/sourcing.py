@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import bills as B
 from ..operators.agents import Agents
+from ..functions.text import strip_sql
+from ..operators.places import neighbours
 from ..registry import query
 from ..sources.tables import facts, jurisdictions, laws, table, versions, with_domain
 
@@ -56,34 +58,38 @@ def export_groups(spark, d):
     return rows.groupBy("producer", "low_confidence").agg(F.count(F.lit(1)).alias("n"), F.min("provenance").alias("provenance"))
 
 
-@query("""SELECT conv_id, turn, concat_ws(' | ', lag(text) OVER w, text, lead(text) OVER w) AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+@query("""SELECT conv_id, turn, concat_ws(' | ', lag(text) OVER w, text, lead(text) OVER w) AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, text NULLS FIRST)""")
 def neighbour_texts(spark, d):
-    """2.3.18: each passage between the one before it and the one behind it, by joins on places, so that no text is ordered whole."""
-    from pyspark.sql import Window
-
-    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    place = Window.partitionBy("conv_id").orderBy("turn")
-    ends = c.select("conv_id", "turn", F.lag("turn").over(place).alias("before"), F.lead("turn").over(place).alias("after"))
-    of = lambda name: c.select("conv_id", F.col("turn").alias(name), F.col("text").alias(f"text_{name}"))
-    rows = c.join(ends, ["conv_id", "turn"]).join(of("before"), ["conv_id", "before"], "left").join(of("after"), ["conv_id", "after"], "left")
-    return rows.select("conv_id", "turn", F.concat_ws(" | ", "text_before", "text", "text_after").alias("context"))
+    """2.3.18: each passage between the one before it and the one behind it; rows of one turn follow by their text."""
+    return neighbours(table(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", F.concat_ws(" | ", "before", "text", "after").alias("context"))
 
 
 _PATH = "CASE doc_id % 5 WHEN 0 THEN 'Definitions' WHEN 1 THEN 'Short-title' WHEN 2 THEN 'Remedies' ELSE 'Section ' || doc_id END"
-_SAID = "CASE doc_id % 4 WHEN 0 THEN 'This act shall apply to all. ' WHEN 1 THEN 'The following terms have the meaning given; a violation is liable to fines up to. ' ELSE '' END || coalesce(text, '')"
+_SAID = "CASE doc_id % 4 WHEN 0 THEN 'This act shall apply to all. ' WHEN 1 THEN 'The following terms have the meaning given: “' || lang || ' system” means this, \"' || upper(lang) || ' System\" refers to that; a violation is liable to fines up to. ' ELSE '' END || coalesce(text, '')"
 _IS = lambda words, path: f"(regexp_matches(lower(path), '{path}') OR regexp_matches(lower(said[1:500]), '{words}'))"
-_FITS = lambda kind, most: f"(SELECT source AS bill, string_agg(said, chr(10) || chr(10) ORDER BY doc_id) AS {kind} FROM (SELECT *, sum(length(said)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM p WHERE is_{kind}) WHERE upto <= {most} GROUP BY 1)"
-
-
-@query(f"""WITH p AS (SELECT *, {', '.join(f'{_IS(w, path)} AS is_{kind}' for kind, (w, path, _) in B.KINDS.items())} FROM (SELECT doc_id, source, {_PATH} AS path, {_SAID} AS said FROM documents)), b AS (SELECT DISTINCT source AS bill FROM p)
-SELECT bill, {', '.join(f"md5(coalesce({k}, '')) AS {k}" for k in B.KINDS)}, CASE WHEN length(scope) <= 800 THEN scope ELSE 'MATCHED SECTIONS:' || chr(10) || md5(scope) || chr(10) || chr(10) || 'OPENING OF BILL:' || chr(10) || scope[1:400] || chr(10) || chr(10) || 'END OF BILL:' || chr(10) || right(scope, 400) END AS excerpt
-FROM b {' '.join(f'LEFT JOIN {_FITS(k, most)} USING (bill)' for k, (_, _, most) in B.KINDS.items())}""")
+# the budgets, marks and rules are written out here; they do not come from the code
+_PARTS = lambda kind, most: f"""{kind} AS (SELECT source AS bill, string_agg(CASE WHEN upto <= {most} THEN bare WHEN nth = 1 THEN bare[1:{most} - 4] || ' [...]' END, chr(10) || '---' || chr(10) ORDER BY doc_id)
+  || CASE WHEN min(upto) <= {most} AND max(upto) > {most} THEN chr(10) || '---' || chr(10) || '[... truncated ...]' ELSE '' END AS {kind}
+  FROM (SELECT *, sum(length(bare) + 4) OVER w AS upto, row_number() OVER w AS nth FROM p WHERE is_{kind} AND bare <> '' WINDOW w AS (PARTITION BY source ORDER BY doc_id)) GROUP BY 1)"""
+
+
+@query(f"""WITH q AS (SELECT *, {', '.join(f'{_IS(w, path)} AS in_{kind}' for kind, (w, path, _) in B.KINDS.items())}, {strip_sql('said')} AS bare FROM (SELECT doc_id, source, {_PATH} AS path, {_SAID} AS said FROM documents)),
+p AS (SELECT *, in_definitions AS is_definitions, in_scope AS is_scope, in_enforcement AND NOT in_definitions AS is_enforcement FROM q), {_PARTS('definitions', 30000)}, {_PARTS('scope', 20000)}, {_PARTS('enforcement', 10000)},
+o AS (SELECT source AS bill, string_agg('  ' || path, chr(10) ORDER BY doc_id) FILTER (WHERE upto <= 5000) || CASE WHEN max(upto) > 5000 THEN chr(10) || '  ...' ELSE '' END AS structure FROM (SELECT *, sum(length(path) + 3) OVER (PARTITION BY source ORDER BY doc_id) AS upto FROM p) GROUP BY 1),
+x AS (SELECT source AS bill, doc_id, unnest(f) AS term, generate_subscripts(f, 1) AS i FROM (SELECT source, doc_id, regexp_extract_all(said, '["“]([^"”]{{2,80}})["”][ ]+(?:means?|refers? to|shall mean|is defined as|has the meaning)', 1) AS f FROM p WHERE is_definitions)),
+t AS (SELECT bill, string_agg(term, '|' ORDER BY doc_id, i) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY bill, lower(term) ORDER BY doc_id, i) AS nth FROM x) WHERE nth = 1 GROUP BY 1),
+n AS (SELECT source AS bill, count(*) AS total_passages, count(*) FILTER (WHERE is_definitions) AS definitions_passages, count(*) FILTER (WHERE is_enforcement) AS enforcement_passages FROM p GROUP BY 1)
+SELECT bill, md5(coalesce(definitions, '')) AS definitions, md5(coalesce(scope, '')) AS scope, md5(coalesce(enforcement, '')) AS enforcement, md5(structure) AS structure, coalesce(terms, '') AS terms, total_passages, definitions_passages, enforcement_passages,
+CASE WHEN length(coalesce(scope, '')) <= 800 THEN coalesce(scope, '') ELSE 'MATCHED SECTIONS:' || chr(10) || md5(scope) || chr(10) || chr(10) || 'OPENING OF BILL:' || chr(10) || scope[1:400] || chr(10) || chr(10) || 'END OF BILL:' || chr(10) || right(scope, 400) END AS excerpt
+FROM n LEFT JOIN definitions USING (bill) LEFT JOIN scope USING (bill) LEFT JOIN enforcement USING (bill) LEFT JOIN o USING (bill) LEFT JOIN t USING (bill)""")
 def bill_contexts(spark, d):
-    """2.9.34, 2.9.36, 2.9.40: passages of a bill that define, set its scope or enforce it, as far as budgets go, and an excerpt.
-    That the first 500 characters tell a passage's kind is the reference's rule."""
+    """2.9.34, 2.9.36, 2.9.40: what a reader of one passage is told of its bill: passages that define, set the scope or enforce,
+    as far as budgets go, an outline, the terms defined, counts, and an excerpt. That the first 500 characters tell a
+    passage's kind is the reference's rule."""
     rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("bill"), F.expr(_PATH).alias("path"), F.expr(_SAID).alias("said"))
     found = B.bill_context(rows, "bill", "doc_id", "said", "path")
-    return found.select("bill", *[F.md5(F.coalesce(k, F.lit(""))).alias(k) for k in B.KINDS], B.bill_excerpt(F.col("scope"), F.md5("scope"), 400).alias("excerpt"))
+    counts = ("total_passages", "definitions_passages", "enforcement_passages")
+    return found.select("bill", *[F.md5(k).alias(k) for k in (*B.KINDS, "structure")], F.array_join("defined_terms", "|").alias("terms"), *counts, B.bill_excerpt(F.col("scope"), F.md5("scope"), 400).alias("excerpt"))
 
 
 _RAW = "CASE p_partkey % 5 WHEN 0 THEN 'any ' || p_brand WHEN 1 THEN p_type WHEN 2 THEN '' ELSE 'someone' END"

@@ -30,36 +30,40 @@ def edits_checked(spark, d):
 _ACT = "CASE event_type WHEN 'view' THEN 'propose' WHEN 'click' THEN 'apply' WHEN 'purchase' THEN 'apply' WHEN 'error' THEN 'revert' ELSE 'propose' END"
 
 
-@query(with_domain(f"""e AS (SELECT event_id, ts, user_id AS record, CASE WHEN value < 40 THEN 'days' ELSE 'amount' END AS path, value, {_ACT} AS act, balance, coalesce(json_extract_string(props, '$.k'), '') AS token, CAST(jurisdiction_id AS VARCHAR) AS current FROM events JOIN laws ON user_id = law_id),
-s AS (SELECT *, CASE WHEN act = 'propose' AND lead(event_id) OVER (PARTITION BY record, path, act ORDER BY ts, event_id) IS NOT NULL THEN 'superseded' WHEN act = 'propose' THEN 'pending' WHEN act = 'revert' THEN 'reverted' WHEN token < current THEN 'stale' ELSE 'applied' END AS status FROM e),
+@query(with_domain(f"""e AS (SELECT event_id, ts, user_id AS record, CASE WHEN value < 40 THEN 'days' ELSE 'amount' END AS path, value, {_ACT} AS act, balance, CASE WHEN event_id % 3 > 0 THEN CASE WHEN event_id % 3 = 1 THEN CAST(CAST(json_extract_string(props, '$.k') AS INT) % 25 AS VARCHAR) ELSE CAST(jurisdiction_id AS VARCHAR) END END AS token, CAST(jurisdiction_id AS VARCHAR) AS current FROM events JOIN laws ON user_id = law_id),
+s AS (SELECT *, CASE WHEN act = 'propose' AND lead(event_id) OVER (PARTITION BY record, path, act ORDER BY ts, event_id) IS NOT NULL THEN 'superseded' WHEN act = 'propose' THEN 'pending' WHEN act = 'revert' THEN 'reverted' WHEN token <> current THEN 'stale' ELSE 'applied' END AS status FROM e),
 o AS (SELECT record, path, arg_max(value, (ts, event_id)) AS value FROM s WHERE status = 'applied' GROUP BY 1, 2), c AS (SELECT record, status, count(*) AS n FROM s GROUP BY 1, 2)
 SELECT record, max(n) FILTER (WHERE status = 'pending') AS pending, max(n) FILTER (WHERE status = 'superseded') AS superseded, max(n) FILTER (WHERE status = 'stale') AS stale, max(n) FILTER (WHERE status = 'reverted') AS reverted,
 (SELECT value FROM o WHERE o.record = c.record AND path = 'amount') AS amount, (SELECT value FROM o WHERE o.record = c.record AND path = 'days') AS days FROM c GROUP BY 1"""))
 def edit_lifecycle(spark, d):
-    """2.8.11, 2.8.13: edits proposed, superseded by later proposals of their field, applied under a token that is not behind the
-    record's, or reverted; each field is the last one applied."""
+    """2.8.11, 2.8.13: edits proposed, superseded by later proposals of their field, applied under no token or under the record's own
+    (any other is stale, be it older or newer), or reverted; each field is the last one applied."""
     own = laws(spark, d).select(F.col("law_id").alias("record"), F.col("jurisdiction_id").cast("string").alias("current"))
-    e = table(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("record"), F.when(F.col("value") < 40, "days").otherwise("amount").alias("path"), "value", F.expr(_ACT).alias("act"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("token"))
-    e = e.join(own, "record")
+    e = table(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("record"), F.when(F.col("value") < 40, "days").otherwise("amount").alias("path"), "value", F.expr(_ACT).alias("act"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    token = F.when(F.col("event_id") % 3 == 1, (F.col("k") % 25).cast("string")).when(F.col("event_id") % 3 == 2, F.col("current"))
+    e = e.join(own, "record").withColumn("token", token)
     # the last proposal of a field, by an aggregate: no record's edits are ordered
     latest = e.filter("act = 'propose'").groupBy("record", "path").agg(F.max(F.struct("ts", "event_id"))["event_id"].alias("latest"))
-    status = F.when(F.col("act") == "propose", F.when(F.col("event_id") == F.col("latest"), "pending").otherwise("superseded")).when(F.col("act") == "revert", "reverted").when(F.col("token") < F.col("current"), "stale").otherwise("applied")
+    status = F.when(F.col("act") == "propose", F.when(F.col("event_id") == F.col("latest"), "pending").otherwise("superseded")).when(F.col("act") == "revert", "reverted").when(K.foreign_token(F.col("token"), F.col("current")), "stale").otherwise("applied")
     s = e.join(latest, ["record", "path"], "left").withColumn("status", status)
     last = lambda path: F.max(F.when((F.col("status") == "applied") & (F.col("path") == path), F.struct("ts", "event_id", "value")))["value"].alias(path)
     count = lambda x: F.nullif(F.count_if(F.col("status") == x), F.lit(0)).alias(x)
     return s.groupBy("record").agg(*map(count, ("pending", "superseded", "stale", "reverted")), last("amount"), last("days"))
 
 
-@query(with_domain("""t AS (SELECT version_id, weight FROM versions WHERE effective < DATE '1997-01-01'), i AS (SELECT version_id, weight * 2 AS weight FROM versions WHERE status = 'O' OR effective < DATE '1995-01-01'),
-a AS (SELECT 'first' AS kind, * FROM t UNION ALL SELECT 'first', * FROM i WHERE version_id NOT IN (SELECT version_id FROM t) UNION ALL SELECT 'last', * FROM i UNION ALL SELECT 'last', * FROM t WHERE version_id NOT IN (SELECT version_id FROM i))
-SELECT kind, count(*) AS n, count(DISTINCT version_id) AS n_keys, CAST(sum(CAST(weight AS DECIMAL(18,4))) AS DOUBLE) AS weight FROM a GROUP BY 1"""))
+@query(with_domain("""t AS (SELECT version_id, weight FROM versions WHERE effective < DATE '1997-01-01'), i AS (SELECT nullif(version_id % 9000, 7) AS version_id, weight * 2 AS weight, effective FROM versions WHERE status = 'O' OR effective < DATE '1995-01-01'),
+o AS (SELECT version_id, arg_min(weight, (effective, weight)) AS oldest, arg_max(weight, (effective, weight)) AS newest FROM i GROUP BY 1),
+a AS (SELECT 'first' AS kind, * FROM t UNION ALL SELECT 'first', version_id, oldest FROM o WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.version_id IS NOT DISTINCT FROM o.version_id) UNION ALL SELECT 'last', version_id, newest FROM o UNION ALL SELECT 'last', * FROM t WHERE NOT EXISTS (SELECT 1 FROM o WHERE t.version_id IS NOT DISTINCT FROM o.version_id))
+SELECT kind, count(*) AS n, count(DISTINCT version_id) AS n_keys, count(*) FILTER (WHERE version_id IS NULL) AS n_null, CAST(sum(CAST(weight AS DECIMAL(18,4))) AS DOUBLE) AS weight FROM a GROUP BY 1"""))
 def keyed_writes(spark, d):
-    """2.1.29, 2.13.4: a target after a first-write and after a last-write sink; a second write of the same rows changes nothing."""
+    """2.1.29, 2.13.4: a target after a first-write and after a last-write sink of rows with repeated and null keys, in the order
+    of their dates; a second write of the same rows changes nothing."""
     v = versions(spark, d)
-    target, incoming = v.filter("effective < '1997-01-01'").select("version_id", "weight"), v.filter("status = 'O' OR effective < '1995-01-01'").select("version_id", (F.col("weight") * 2).alias("weight"))
-    twice = lambda sink: sink(sink(target, incoming, ["version_id"]), incoming, ["version_id"])
+    target = v.filter("effective < '1997-01-01'").select("version_id", "weight")
+    incoming = v.filter("status = 'O' OR effective < '1995-01-01'").selectExpr("nullif(version_id % 9000, 7) AS version_id", "weight * 2 AS weight", "effective")
+    twice = lambda sink: sink(sink(target, incoming, ["version_id"], ["effective", "weight"]), incoming, ["version_id"], ["effective", "weight"])
     both = twice(sinks.first_write).withColumn("kind", F.lit("first")).unionByName(twice(sinks.last_write).withColumn("kind", F.lit("last")))
-    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("version_id").alias("n_keys"), F.sum(F.col("weight").cast("decimal(18,4)")).cast("double").alias("weight"))
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("version_id").alias("n_keys"), F.count_if(F.col("version_id").isNull()).alias("n_null"), F.sum(F.col("weight").cast("decimal(18,4)")).cast("double").alias("weight"))
 
 
 @query(with_domain("""b AS (SELECT s_suppkey AS agent_id, s_acctbal FROM supplier), x AS (SELECT f.agent_id, s_acctbal FROM facts f LEFT JOIN b USING (agent_id))

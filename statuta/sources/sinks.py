@@ -4,6 +4,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,18 +13,29 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BATCH = 500
 
 
-def _new(incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return incoming.dropDuplicates(list(keys))
+def _lacking(rows: DataFrame, others: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose keys no other row has; null keys are equal to each other."""
+    theirs = others.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    return rows.join(theirs, reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_anti")
 
 
-def first_write(target: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The target with those incoming rows whose keys it lacks: on conflict, nothing happens. Writing twice changes nothing."""
-    return target.unionByName(_new(incoming, keys).join(target.select(*keys), list(keys), "left_anti").select(*target.columns))
+def _one_each(rows: DataFrame, keys: Sequence[str], order: Sequence[str], pick: Callable) -> DataFrame:
+    """One row a key, by `order` and then by all columns, so that the same rows give the same row."""
+    whole = F.struct(*rows.columns)
+    return rows.groupBy(*keys).agg(pick(whole, F.struct(*order, whole)).alias("__row")).select("__row.*").select(*rows.columns)
 
 
-def last_write(target: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The target with incoming rows in place of those with equal keys."""
-    return target.join(incoming.select(*keys), list(keys), "left_anti").select(*target.columns).unionByName(incoming.select(*target.columns))
+def first_write(target: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """The target with those incoming rows whose keys it lacks, of each key the first by `order`: on conflict, nothing happens.
+    Null is a key like any other. Writing twice changes nothing. `order` may name columns that the target does not have."""
+    return target.unionByName(_lacking(_one_each(incoming, keys, order, F.min_by), target, keys).select(*target.columns))
+
+
+def last_write(target: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """The target with incoming rows in place of those with equal keys, of each key the last by `order`. Null is a key like any
+    other. Writing twice changes nothing."""
+    newest = _one_each(incoming, keys, order, F.max_by)
+    return _lacking(target, newest, keys).unionByName(newest.select(*target.columns))
 
 
 def without(tables: dict[str, DataFrame], root: str, gone: DataFrame, links: Sequence[tuple[str, str, str, str]]) -> dict[str, DataFrame]:

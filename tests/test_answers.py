@@ -112,3 +112,16 @@ def test_evidence_offsets():
     assert G.evidence_offset("short", text) is None and G.evidence_offset("something quite different", text) is None
     loose, places = G.loose_with_offsets("A  b_C")
     assert loose == "a b c" and [places[0], places[2], places[4]] == [0, 3, 5]
+
+
+def test_deep_and_long_answers():
+    """A hundred thousand brackets are no JSON and no error, and time grows with the answer's length alone."""
+    import time
+
+    from statuta.operators.answers import repaired
+
+    began = time.time()
+    for said in ("[" * 100_000, '{"a":' * 50_000, "[" * 400 + "]" * 400, "[" + '{"a": 1}, ' * 60_000 + '{"a"', '{"a": 1} ' * 60_000):
+        repaired(said)
+    assert repaired("[" * 100_000)[0] is not None and time.time() - began < 30
+    assert repaired('{"a": {"b": "}"}} and {"c": 2}')[:2] == ('{"a": {"b": "}"}}', ["first_object_extraction"])

@@ -34,10 +34,54 @@ def test_kinds_of_passages(spark, kind, said, path, want):
     assert one(spark, B.is_kind(kind, text(said), text(path)))[0] is want
 
 
+PASSAGES = "bill string, n int, said string, path string"
+
+
+def contexts(spark, rows):
+    return {r.bill: r for r in B.bill_context(spark.createDataFrame(rows, PASSAGES).repartition(3), "bill", "n", "said", "path").collect()}
+
+
 def test_bill_context_keeps_to_its_budget(spark):
-    rows = [("b", k, f"{k} scope " + "x" * 9_000, "Section") for k in range(5)] + [("c", 1, "nothing here", "Section")]
-    found = {r.bill: r for r in B.bill_context(spark.createDataFrame(rows, "bill string, n int, said string, path string"), "bill", "n", "said", "path").collect()}
-    assert [p[:7] for p in found["b"].scope.split("\n\n")] == ["0 scope", "1 scope"] and found["c"].scope is None and found["b"].definitions is None
+    found = contexts(spark, [("b", k, f"\t{k} scope " + "x" * 9_000 + " ", "Section") for k in range(5)] + [("c", 1, "nothing here", "Section"), ("c", 0, None, None)])
+    assert [p[:7] for p in found["b"].scope.split("\n---\n")] == ["0 scope", "1 scope", "[... tr"] and found["b"].scope.endswith("\n---\n[... truncated ...]")
+    assert (found["c"].scope, found["b"].definitions, found["c"].total_passages, found["c"].structure) == ("", "", 2, "  Section")
+
+
+def test_first_passage_above_the_budget_keeps_its_head(spark):
+    long_ = "definitions " + "y" * 39_988
+    found = contexts(spark, [("b", 1, long_, "x"), ("b", 2, "short definition", "x")])["b"]
+    assert found.definitions == long_[:29_996] + " [...]" and found.definitions_passages == 2
+
+
+def test_budget_counts_what_parts_passages(spark):
+    """Enforcement has 10,000: 4,996 and 4 twice fit exactly; one character more does not."""
+    fits = [("b", 1, "enforcement " + "z" * 4_984, "x"), ("b", 2, "enforcement " + "z" * 4_984, "x")]
+    assert contexts(spark, fits)["b"].enforcement == "\n---\n".join(r[2] for r in fits)
+    over = [fits[0], ("b", 2, fits[1][2] + "z", "x"), ("b", 3, "  \n", "enforcement")]
+    assert contexts(spark, over)["b"].enforcement == fits[0][2] + "\n---\n[... truncated ...]"
+
+
+def test_passages_that_define_are_not_enforcement(spark):
+    rows = [("b", 2, "a penalty applies", "Section 2"), ("b", 1, "definition of penalty", "Section 1"), ("b", 3, "a penalty applies", "Section 2")]
+    found = contexts(spark, rows)["b"]
+    assert found.enforcement == "a penalty applies\n---\na penalty applies" and found.definitions == "definition of penalty" and found.enforcement_passages == 2
+
+
+def test_outline_and_terms(spark):
+    rows = [("b", k, f"definitions “AI System” means that; \"deployer {k}\"\u00a0refers to x; “ai system” has the meaning y", "p" * 997) for k in (3, 1, 2, 4, 5, 6)]
+    found = contexts(spark, rows)["b"]
+    assert found.structure == "\n".join(["  " + "p" * 997] * 5 + ["  ..."])
+    assert found.defined_terms == ["AI System", "deployer 1", "deployer 2", "deployer 3", "deployer 4", "deployer 5", "deployer 6"]
+
+
+def test_neighbours_of_repeated_turns(spark):
+    from statuta.operators import places
+
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 1, "y"), ("a", None, "first"), ("a", 5_000, "last"), ("b", 2, None), ("b", 3, "z"), (None, 1, "n")]
+    found = places.neighbours(spark.createDataFrame(rows, "block string, turn int, text string"), "block", "turn", "text").collect()
+    assert len(found) == len(rows)
+    assert sorted((r.text, r.before, r.after) for r in found if r.block == "a") == [("first", None, "x"), ("last", "y", None), ("x", "first", "y"), ("y", "x", "y"), ("y", "y", "last")]
+    assert {(r.block, r.text, r.before, r.after) for r in found if r.block != "a"} == {("b", None, None, "z"), ("b", "z", None, None), (None, "n", None, None)}
 
 
 def test_excerpts(spark):
@@ -114,3 +158,29 @@ def test_legal_contexts(spark, kind, clause, told, cites, refs, state, want):
 
     named = F.array(*map(F.lit, refs)) if refs else F.lit(None).cast("array<string>")
     assert tuple(one(spark, legal_context(text(kind), text(clause), text(told), text(cites), named, text(state)))[0]) == want
+
+
+ROWS = "k int, v string, at int"
+
+
+def kept(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_sinks_of_repeated_and_null_keys(spark):
+    from statuta.sources import sinks
+
+    target = spark.createDataFrame([(1, "old", 0), (None, "none", 0), (9, "stays", 0)], ROWS)
+    incoming = spark.createDataFrame([(1, "b", 2), (1, "c", 3), (1, "a", 1), (None, "new none", 1), (2, "x", 5), (2, "w", 6), (2, "w", 6)], ROWS).repartition(4)
+    first, last = sinks.first_write(target, incoming, ["k"], ["at"]), sinks.last_write(target, incoming, ["k"], ["at"])
+    assert kept(first) == sorted([(1, "old", 0), (None, "none", 0), (9, "stays", 0), (2, "x", 5)], key=repr)
+    assert kept(last) == sorted([(1, "c", 3), (None, "new none", 1), (9, "stays", 0), (2, "w", 6)], key=repr)
+    assert kept(sinks.first_write(first, incoming, ["k"], ["at"])) == kept(first)
+    assert kept(sinks.last_write(last, incoming, ["k"], ["at"])) == kept(last)
+
+
+@pytest.mark.parametrize("token, current, foreign", [("10", "9", True), ("9", "10", True), ("9", "9", False), (None, "9", False), ("9", None, False), (None, None, False)])
+def test_lock_tokens(spark, token, current, foreign):
+    from statuta.functions import checks as K
+
+    assert one(spark, K.foreign_token(text(token), text(current)))[0] is foreign
