@@ -174,16 +174,12 @@ def content_key(c: Column, size: int = 24) -> Column:
     return F.substring(F.sha2(c, 256), 1, size)
 
 
-def triage(text: Column, quality: Column, chrome: Sequence[str], lexicon: Sequence[str]) -> Column:
-    """struct(decision, method, confidence): poor text, site chrome, lexicon, else uncertain. The text is lower-cased once
-    and each list of phrases counted once."""
+def cascade(quality: Column, chrome: Column, hits: Column) -> Column:
+    """struct(decision, method, confidence): poor text, site chrome, keywords, else uncertain."""
     made = lambda d, m, x: F.struct(F.lit(d).alias("decision"), F.lit(m).alias("method"), x.alias("confidence"))
-    count = lambda low, words: reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") for w in words])
-    found = bound(F.lower(text), lambda low: F.struct(count(low, chrome).alias("chrome"), count(low, lexicon).alias("hits")))
-    return bound(
-        found,
-        lambda n: F.when(quality < 0.3, made("reject", "quality", F.lit(0.9)))
-        .when(n["chrome"] >= 3, made("reject", "chrome", F.lit(0.95)))
-        .when(n["hits"] > 0, made("accept", "keyword", F.round(F.least(F.lit(0.95), 0.7 + 0.05 * n["hits"]), 4)))
-        .otherwise(made("uncertain", "none", F.lit(0.5))),
+    return (
+        F.when(quality < 0.3, made("reject", "quality", F.lit(0.9)))
+        .when(chrome >= 3, made("reject", "chrome", F.lit(0.95)))
+        .when(hits > 0, made("accept", "keyword", F.round(F.least(F.lit(0.95), 0.7 + 0.05 * hits), 4)))
+        .otherwise(made("uncertain", "none", F.lit(0.5)))
     )

@@ -6,12 +6,11 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..functions import scores, text as T
+from ..functions import scores, text as T, vocabularies as V
+from ..operators import vocabularies as W
 from ..registry import query
 from ..sources.tables import facts, table, tier_of, tier_sql, versions, with_domain
 
-#: The domain's phrases are a parameter: vocabulary files that `sources.files.vocabulary` reads. These stand in for them.
-LEXICON = ("automated decision", "high-risk system", "training data", "generative model", "facial recognition", "algorithmic")
 CHROME = T.PAGE_CHROME
 MARKERS = T.any_word(T.LEGAL_MARKERS)
 #: Invented prose has no such words, so that some texts are led in by a clause.
@@ -20,7 +19,7 @@ _UP, _LOW = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _hits(words) -> str:
-    return "(" + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in words) + ")"
+    return "(" + " + ".join(f"CAST(contains(low, '{w}') AS INT)" for w in words) + ")"
 
 
 _BOTH = lambda c: T.fold_sql(T.fold_sql(c), T.WIDE_FOLD)
@@ -32,15 +31,34 @@ _QUALITY = (
 )
 
 
-@query(f"""SELECT doc_id, quality, decision, confidence, n_tokens, key FROM (SELECT doc_id, quality, length(text) // 4 AS n_tokens, sha256(text)[1:24] AS key,
-CASE WHEN quality < 0.3 THEN 'reject' WHEN {_hits(CHROME)} >= 3 THEN 'reject' WHEN {_hits(LEXICON)} > 0 THEN 'accept' ELSE 'uncertain' END AS decision,
-CASE WHEN quality < 0.3 THEN 0.9 WHEN {_hits(CHROME)} >= 3 THEN 0.95 WHEN {_hits(LEXICON)} > 0 THEN round(least(0.95, 0.7 + 0.05 * {_hits(LEXICON)}), 4) ELSE 0.5 END::DOUBLE AS confidence
-FROM (SELECT *, {_QUALITY} AS quality FROM (SELECT doc_id, {_CLAUSES} AS text FROM documents)))""")
+# What is known of each law (a source): topics, of which one is how its first passage begins, and two summaries.
+_TOPICS = "array(min(lang) || '; Automated Decision Systems / ' || substr(min(text), 1, 9), CASE WHEN count(*) % 2 = 0 THEN 'ai, Deepfakes' END)"
+_SUMMARIES = ("CASE WHEN count(*) % 3 = 0 THEN 'The deployer shall AUDIT; transparency, and a notice of its notices' END", "CASE WHEN count(*) % 2 = 1 THEN 'Fines; the penalty is an injunction' END")
+_LIST = lambda c, words: f"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '\\b[a-z]{{4,}}\\b'), lambda w: w IN ({', '.join(repr(w) for w in words)}))"
+
+
+@query(f"""WITH c AS (SELECT source, {_TOPICS.replace('array(', 'list_value(')} AS topics, {_SUMMARIES[0]} AS reqs, {_SUMMARIES[1]} AS enf FROM documents GROUP BY 1),
+l AS (SELECT source, list_distinct(list_concat(list_filter(list_transform(flatten(list_transform(list_filter(topics, lambda t: t IS NOT NULL), lambda t: regexp_split_to_array(t, '[;,/]'))), lambda t: lower({T.strip_sql('t')})), lambda t: length(t) >= 3),
+  {_LIST('reqs', V.REQUIREMENT_WORDS)}, {_LIST('enf', V.ENFORCEMENT_WORDS)})) AS terms FROM c),
+p AS (SELECT *, lower(text) AS low FROM (SELECT doc_id, source, {_CLAUSES} AS text FROM documents)),
+n AS (SELECT doc_id, {_QUALITY} AS quality, length(text) // 4 AS n_tokens, sha256(text)[1:24] AS key, {_hits(CHROME)} AS chrome, len(list_filter(terms, lambda t: contains(low, t))) AS law,
+      {_hits(V.KEYWORDS)} + len(list_filter(terms, lambda t: contains(low, t))) + CAST(regexp_matches(text, '(?i)\\b(?:a\\.?i\\.?)\\s+(?:system|model|tool|application|technology)|\\bautomat(?:ed|ic)\\s+(?:decision|system|process|tool)') AS INT) AS hits FROM p LEFT JOIN l USING (source))
+SELECT doc_id, quality, n_tokens, key, law AS law_terms, CASE WHEN quality < 0.3 OR chrome >= 3 THEN 'reject' WHEN hits > 0 THEN 'accept' ELSE 'uncertain' END AS decision,
+CASE WHEN quality < 0.3 THEN 0.9 WHEN chrome >= 3 THEN 0.95 WHEN hits > 0 THEN round(least(0.95, 0.7 + 0.05 * hits), 4) ELSE 0.5 END::DOUBLE AS confidence FROM n""")
 def passage_triage(spark, d):
-    """2.9.13, 2.9.17, 2.9.20, 2.9.22, 2.9.24, 2.9.63: quality, chrome and lexicon decide about each passage."""
-    docs = table(spark, d, "documents").select("doc_id", F.expr(_CLAUSES).alias("text")).withColumn("quality", T.parse_quality(F.col("text"), MARKERS))
-    found = docs.withColumn("t", T.triage(F.col("text"), F.col("quality"), CHROME, LEXICON))
-    return found.select("doc_id", "quality", "t.decision", "t.confidence", F.expr("CAST(length(text) DIV 4 AS BIGINT)").alias("n_tokens"), T.content_key(F.col("text")).alias("key"))
+    """2.9.13, 2.9.17, 2.9.20, 2.9.22-2.9.24, 2.9.63: quality, site chrome, keywords and the terms of the passage's own law decide about it. All
+    vocabularies are one automaton, which reads each text once; a law's terms count for its own passages."""
+    docs = table(spark, d, "documents")
+    context = docs.groupBy(F.col("source").alias("law")).agg(F.expr(_TOPICS).alias("topics"), *[F.expr(c).alias(k) for c, k in zip(_SUMMARIES, ("reqs", "enf"))])
+    laws_ = context.select("law", V.law_terms(F.col("topics"), F.col("reqs"), F.col("enf")).alias("terms"))
+    own = laws_.select(F.explode("terms").alias("term")).distinct().select(F.lit("law").alias("kind"), F.lit(0).alias("place"), "term", F.lit("in").alias("rule"))
+    terms = W.terms_of(spark, "chrome", CHROME).unionByName(W.terms_of(spark, "keyword", V.KEYWORDS)).unionByName(own)
+    text = docs.select("doc_id", F.col("source").alias("law"), F.expr(_CLAUSES).alias("text"))
+    ready = text.select("doc_id", "law", T.parse_quality(F.col("text"), MARKERS).alias("quality"), F.expr("CAST(length(text) DIV 4 AS BIGINT)").alias("n_tokens"), T.content_key(F.col("text")).alias("key"), V.key_pattern(F.col("text")).alias("pattern"), F.lower("text").alias("low"))
+    found = W.with_hits(ready, "low", terms).join(laws_.withColumnRenamed("law", "l"), F.col("law").eqNullSafe(F.col("l")), "left")
+    of_law = F.coalesce(F.size(F.array_intersect(W.of_kind("law"), "terms")), F.lit(0))
+    counts = found.select("doc_id", "quality", "n_tokens", "key", of_law.cast("long").alias("law_terms"), F.size(W.of_kind("chrome")).alias("chrome"), (F.size(W.of_kind("keyword")) + of_law + F.col("pattern").cast("int")).alias("hits"))
+    return counts.select("doc_id", "quality", "n_tokens", "key", "law_terms", T.cascade(F.col("quality"), F.col("chrome"), F.col("hits")).alias("t")).select("doc_id", "quality", "n_tokens", "key", "law_terms", "t.decision", "t.confidence")
 
 
 # a quote from anywhere in the text: as it is, in capitals, with other signs, with parted words, with numbered lines, with hard spaces
