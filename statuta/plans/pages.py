@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import page_tables as P
+from ..operators.catalogue import field_catalogue
+from ..operators.composed import composed
+from ..operators.steps import shared_folder
 from ..registry import query
-from ..sources import files as S
+from ..sources import append_log as L, files as S
 from ..sources.tables import table
 
 _HTML = "replace(html, '<p>', '<p><del class=\"x\">gone</del><span style=\"text-decoration: line-through\">too</span>')"
@@ -43,3 +49,63 @@ def unknown_terms(spark, d):
     terms = part.filter("p_size > 25").select(F.lower("p_type").alias("term"), F.lit("T").alias("code")).distinct()
     raw = part.select(F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.concat(F.lit(" "), "p_brand")).alias("raw"))
     return S.coded(raw, "raw", terms)[1]
+
+
+# The links of a page's list as the rows of a tracker: stored pages have lists, and trackers have tables.
+_TABLE = "regexp_replace(regexp_replace(regexp_replace(html, '<ul>', '<table><thead><tr><th>State<th>Bill Number</th><th colspan=2> Bill <b>title</b></th><th>Status</th></tr></thead>'{}), '</ul>', '<tr><td>State</td><td>x</td><td>y</td><td>z</td></tr><tr><td>Elsewhere<td>1<td>2<td>3</table>'{}), '<li><a href=\"([^\"]*)\">([^<]*)</a></li>', '<tr><td>In <i>New</i> York<td>SB <script>no</script>{1}2<td>{1}2, <table><tr><td>inner</table><td><a href=\" {1}1 \">{1}2</a></td><td>Signed</td></tr>'{})"
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS hrefs, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS names FROM pages),
+r AS (SELECT page_id, unnest(hrefs) AS href, unnest(names) AS name, generate_subscripts(names, 1) AS row FROM p)
+SELECT page_id, row, 'In New York' AS state, 'NY' AS state_code, 'SB ' || name AS bill_number, name || ',' AS bill_title, 'Signed' AS status, '' AS url FROM r""")
+def tracker_bills(spark, d):
+    """2.1.13, 2.9.39: the bills of a tracker out of stored pages: the page's first table with the heads of one, its columns by what their heads
+    say, its rows without heads and without those that name no state."""
+    said = F.expr(_TABLE.replace("{1}", "$").replace("{}", ""))
+    rows = P.table_rows(table(spark, d, "pages").select("page_id", said.alias("html")), "page_id", "html")
+    return P.bill_tracker(rows, "page_id").select("page_id", "row", "state", "state_code", "bill_number", "bill_title", "status", "url")
+
+
+_LAWS = _TABLE.replace("<th>Bill Number</th><th colspan=2> Bill <b>title</b></th><th>Status</th>", "<th>AI scope</th><th>Relevant law</th><th>Law link</th><th>Effective</th>")
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS hrefs, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS names FROM pages),
+r AS (SELECT page_id, unnest(hrefs) AS href, unnest(names) AS name, generate_subscripts(names, 1) AS row FROM p)
+SELECT page_id, row, 'NY' AS state_code, 'SB ' || name AS scope, name || ',' AS law_name, trim(href) AS url, 'Signed' AS effective_date FROM r
+UNION ALL SELECT page_id, len(names) + 1, '', 'x', 'y', '', '' FROM p UNION ALL SELECT page_id, len(names) + 2, '', '1', '2', '', '' FROM p""")
+def tracker_laws(spark, d):
+    """2.1.14: the laws of another tracker, whose name or link column has the law's address."""
+    said = F.expr(_LAWS.replace("{1}", "$").replace("{}", ""))
+    rows = P.table_rows(table(spark, d, "pages").select("page_id", said.alias("html")), "page_id", "html")
+    return P.law_tracker(rows, "page_id").select("page_id", "row", "state_code", "scope", "law_name", "url", "effective_date")
+
+
+# Accented letters as a letter and a mark behind it.
+_APART = "replace(replace(replace(coalesce({}, ''), 'é', 'é'), 'ü', 'ü'), 'ñ', 'ñ')"
+
+
+@query(f"SELECT doc_id, md5(nfc_normalize({_APART.format('text')})) AS composed, length({_APART.format('text')}) AS n_before, length(nfc_normalize({_APART.format('text')})) AS n_after FROM documents")
+def texts_composed(spark, d):
+    """2.9.1: texts with accents written apart, in composed form; texts without any never reach Python."""
+    rows = table(spark, d, "documents").select("doc_id", F.expr(_APART.format("text")).alias("text")).withColumn("n_before", F.length("text").cast("long"))
+    return composed(rows, "text").select("doc_id", F.md5("text").alias("composed"), "n_before", F.length("text").cast("long").alias("n_after"))
+
+
+_PAYLOAD = """'{"title": "' || p_name || '", "size": ' || p_size || ', "maker": {"brand": "' || p_brand || '", "sizes": [' || p_size || ', 1.5, null]}, "flags": [{"on": true}, {"on": "' || p_type || '"}]' || CASE WHEN p_size % 3 = 0 THEN ', "deep": {"a": {"b": {"c": [[1], [], [{"d": {}}]]}}}' WHEN p_size % 7 = 0 THEN ', "cut' ELSE '' END || '}'"""
+
+
+@query(f"""WITH t AS (SELECT unnest(f) AS x FROM (SELECT (SELECT list({{'fullkey': fullkey, 'type': type}}) FROM json_tree(p)) AS f FROM (SELECT {_PAYLOAD} AS p FROM part) WHERE json_valid(p)))
+SELECT regexp_replace(regexp_replace(x.fullkey, '\\[[0-9]+\\]', '[]', 'g'), '"', '', 'g') AS path, CASE x.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, count(*) AS n FROM t GROUP BY ALL""")
+def payload_catalogue(spark, d):
+    """2.8.19: paths and types that payloads have, as deep as they go; texts cut off have none."""
+    return field_catalogue(table(spark, d, "part").select(F.expr(_PAYLOAD).alias("payload")), "payload")
+
+
+@query("SELECT event_id AS record_id, 'answer_' || event_type AS warning_type, 'value ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS details, props AS raw_response FROM events WHERE event_type = 'error'")
+def warnings_logged(spark, d):
+    """2.1.27: warnings appended to a log of JSON lines and read back; a task that ran twice has its rows once."""
+    e = table(spark, d, "events").filter("event_type = 'error'")
+    rows = e.select(F.col("event_id").alias("record_id"), F.concat(F.lit("answer_"), "event_type").alias("warning_type"), F.concat(F.lit("value "), F.floor("value").cast("string")).alias("details"), F.col("props").alias("raw_response"))
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    L.append(L.warning_rows(rows), path)
+    return L.read_log(spark, path, "record_id long, warning_type string, details string, raw_response string")
