@@ -32,6 +32,8 @@ from .common import exactly
 FOLDS, HELD_OUT = 4, 2
 #: Rows of each language that are learnt from, at most.
 SAMPLE_PER_LANGUAGE = 600
+#: Parts in which the ids of a language are ranked first.
+DEALS = 64
 #: N-grams of each language, at most.
 PROFILE = 6000
 SIZES = (1, 2, 3, 4)
@@ -147,12 +149,14 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """lang, text of the rows to learn from. Only ids are ranked; each task keeps `per_language` of a language at most before
-    the shuffle, and the ids chosen are then looked up in the documents."""
+    """lang, text of the rows to learn from. Only ids are ranked, first within DEALS parts of each language and then what is
+    left of these, so that no task ranks all rows of a common language; the ids chosen are then looked up in the documents."""
     own = exactly(docs, "doc_id", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).filter(fold() != HELD_OUT)
     own = own.withColumn("deal", F.xxhash64("doc_id")).dropDuplicates(["doc_id", "lang"])
-    ranked = own.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("deal", "doc_id"))).filter(F.col("n") <= per_language)
-    chosen = ranked.groupBy(F.col("doc_id").alias("d")).agg(F.min("lang").alias("l"))
+    for part in (F.pmod("deal", F.lit(DEALS)), F.lit(0)):
+        best = Window.partitionBy("lang", part).orderBy("deal", "doc_id")
+        own = own.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= per_language).drop("n")
+    chosen = own.groupBy(F.col("doc_id").alias("d")).agg(F.min("lang").alias("l"))
     texts = exactly(docs, "doc_id", "lang", "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("d")) & (F.col("lang") == F.col("l")))
     return texts.groupBy("d", "l").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select(F.col("l").alias("lang"), "text")
 
