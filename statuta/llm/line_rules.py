@@ -102,7 +102,8 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = document_lines(docs, id_col, text_col, host_col)
     hosts = docs.groupBy(F.col(host_col).alias("of")).agg(F.count(F.lit(1)).alias("host_rows"))
     once = lines.groupBy("host", "line", "doc_id", "text_key").agg(F.max("words").alias("words"))
-    common = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_docs)
+    # each line has words; that `words` is asked for here too lets both uses of `once` share one shuffle
+    common = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.min("words").alias("least")).filter((F.col("n") > min_docs) & (F.col("least") > 0))
     common = common.join(hosts, F.col("host").eqNullSafe(F.col("of"))).filter(100 * F.col("n") > max_percent * F.col("host_rows"))
     common = common.select(F.col("host").alias("h"), F.col("line").alias("l"))
     removed = once.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).groupBy("doc_id", "text_key", "host").agg(F.sum("words").alias("n_common_words"))
