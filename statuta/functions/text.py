@@ -14,10 +14,16 @@ WIDE_FOLD = {
     "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2014": "-", "\u2018": "'", "\u2019": "'", "\u201a": "'",
     "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u00a0": " ", "\u202f": " ", "\u2009": " ",
 }
+#: Both tables at once: what the first one gives, the second one leaves.
+BOTH_FOLDS = WIDE_FOLD | FOLD
 LOOSE_LEAST, STRIPPED_LEAST = 15, 25
 #: White space of any script, in a form that both engines read.
 WHITE_SIGNS = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WHITE = f"[{WHITE_SIGNS}]+"
+#: Runs of white space that are not one plain space already: what collapsing has to change. Few places of a text, where WHITE is at
+#: every word.
+UNEVEN = f" *[{WHITE_SIGNS.replace('-' + chr(92) + 'x20', '-' + chr(92) + 'x1F')}][{WHITE_SIGNS}]*| {{2,}}"
+UNEVEN_SIGNS = r" *[^\p{L}\p{N} ][^\p{L}\p{N}]*| {2,}"
 # Words that mark statutes, and phrases that mark the frame of a web page.
 LEGAL_MARKERS = (
     "section", "whereas", "enacted", "shall", "provided", "pursuant", "herein", "thereof", "notwithstanding", "jurisdiction",
@@ -83,12 +89,12 @@ def strip_sql(c: str) -> str:
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, WHITE, " "))
+    return F.trim(F.regexp_replace(c, UNEVEN, " "))
 
 
 def loose(c: Column) -> Column:
     """Lower-case letters and digits, with single spaces between runs of them."""
-    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), UNEVEN_SIGNS, " "))
 
 
 def tokens(c: Column, least: int = 3, stop: Sequence[str] = STOP_WORDS) -> Column:
@@ -114,15 +120,20 @@ def unprinted(c: Column) -> Column:
 def span_tier(passage: Column, span: Column) -> Column:
     """1 exact, 2 but for case, 3 loosely (15 characters or more), 4 loosely without traces of print (25 or more), null: not found.
 
-    Passage and span are folded by both tables. Forms are worked out once each, and those of a later tier only for spans
-    that no earlier one has found."""
-    both = lambda c: fold(fold(c), WIDE_FOLD)
-    pair = lambda f: F.struct(f(passage).alias("t"), f(span).alias("q"))
+    Passage and span are folded by both tables. A span that is in the passage as it stands is in it folded too, so most spans need
+    no other form; further forms are worked out once each, and those of a later tier only for spans that no earlier one has found."""
+    both = lambda c: fold(c, BOTH_FOLDS)
+    pair = lambda f, x: F.struct(f(x["t"]).alias("t"), f(x["q"]).alias("q"))
     found = lambda x: F.contains(x["t"], x["q"])
-    last = bound(pair(lambda c: loose(unprinted(both(c)))), lambda x: F.when((F.length(x["q"]) >= STRIPPED_LEAST) & found(x), 4))
-    third = bound(pair(lambda c: loose(collapse(both(c)))), lambda x: F.when((F.length(x["q"]) >= LOOSE_LEAST) & found(x), 3))
-    first = bound(pair(lambda c: collapse(both(c))), lambda x: F.when(F.length(x["q"]) == 0, 0).when(found(x), 1).when(F.contains(F.lower(x["t"]), F.lower(x["q"])), 2))
-    return F.nullif(F.coalesce(first, third, last), F.lit(0))
+    raw = F.when(F.contains(passage, span) & (strip(both(span)) != ""), 1)
+
+    def folded(x: Column) -> Column:
+        last = bound(pair(lambda c: loose(unprinted(c)), x), lambda y: F.when((F.length(y["q"]) >= STRIPPED_LEAST) & found(y), 4))
+        third = bound(pair(loose, x), lambda y: F.when((F.length(y["q"]) >= LOOSE_LEAST) & found(y), 3))
+        first = bound(pair(collapse, x), lambda y: F.when(F.length(y["q"]) == 0, 0).when(found(y), 1).when(F.contains(F.lower(y["t"]), F.lower(y["q"])), 2))
+        return F.coalesce(first, third, last)
+
+    return F.nullif(F.coalesce(raw, bound(F.struct(both(passage).alias("t"), both(span).alias("q")), folded)), F.lit(0))
 
 
 def phrases_in(c: Column, phrases: Sequence[str]) -> Column:
