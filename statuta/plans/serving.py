@@ -192,9 +192,10 @@ def event_page(spark, d, offset: int = 100, limit: int = 50):
 
 @query(with_domain("p AS (SELECT law_id, title FROM laws ORDER BY title, law_id LIMIT 30 OFFSET 30) SELECT law_id, title, count(version_id) AS n_versions, max(weight) AS top FROM p LEFT JOIN versions USING (law_id) GROUP BY 1, 2"))
 def law_page(spark, d, offset: int = 30, limit: int = 30):
-    """2.6.8: the page first, then the rollup of its few laws."""
+    """2.6.8: the page first, `limit` rows whatever the data; the versions are cut down to its laws before they are joined and counted."""
     page = laws(spark, d).select("law_id", "title").orderBy("title", "law_id").offset(offset).limit(limit)
-    return F.broadcast(page).join(versions(spark, d), "law_id", "left").groupBy("law_id", "title").agg(F.count("version_id").alias("n_versions"), F.max("weight").alias("top"))
+    own = versions(spark, d).select("law_id", "version_id", "weight").join(F.broadcast(page.select("law_id")), "law_id", "left_semi")
+    return page.join(own, "law_id", "left").groupBy("law_id", "title").agg(F.count("version_id").alias("n_versions"), F.max("weight").alias("top"))
 
 
 @query(with_domain("l AS (SELECT lower(title) AS k, law_id FROM laws WHERE balance >= 0), r AS (SELECT lower(c_name) AS k, c_custkey AS other FROM customer WHERE c_mktsegment <> 'BUILDING') SELECT CASE WHEN law_id IS NULL THEN 'only_right' WHEN other IS NULL THEN 'only_left' ELSE 'matched' END AS presence, count(*) AS n FROM l FULL JOIN r USING (k) GROUP BY 1"))

@@ -16,7 +16,7 @@ from ..sources.tables import facts, jurisdictions, laws, table, versions, with_d
 @query(with_domain("""s AS (SELECT 'LAW-' || law_id % 700 AS canonical, law_id, trim(title) AS title, jurisdiction FROM laws LEFT JOIN jurisdictions USING (jurisdiction_id))
 SELECT canonical, arg_min(title, law_id) AS title, arg_min(jurisdiction, law_id) AS jurisdiction, count(*) - 1 AS dropped FROM s GROUP BY 1"""))
 def law_seeds(spark, d):
-    """2.1.1, 2.1.16: seed rows with their jurisdiction looked up, one for each canonical id, the first one."""
+    """2.1.1: seed rows with their jurisdiction looked up, one for each canonical id, the first one."""
     rows = laws(spark, d).join(jurisdictions(spark, d), "jurisdiction_id", "left").select(F.concat(F.lit("LAW-"), (F.col("law_id") % 700).cast("string")).alias("canonical"), "law_id", F.trim("title").alias("title"), "jurisdiction")
     first = F.min(F.struct("law_id", "title", "jurisdiction"))
     return rows.groupBy("canonical").agg(first.alias("f"), (F.count(F.lit(1)) - 1).alias("dropped")).select("canonical", "f.title", "f.jurisdiction", "dropped")
@@ -51,7 +51,7 @@ def attempt_details(spark, d):
 @query(with_domain("""o AS (SELECT version_id, law_id, title, jurisdiction FROM versions JOIN laws USING (law_id) JOIN jurisdictions USING (jurisdiction_id))
 SELECT CASE WHEN agent_id > 90 THEN '_unattributed' ELSE CAST(agent_id AS VARCHAR) END AS producer, tier IN ('C', 'D') AS low_confidence, count(*) AS n, min(title || '/' || jurisdiction || '/v' || version_id) AS provenance FROM facts JOIN o USING (version_id) GROUP BY 1, 2"""))
 def export_groups(spark, d):
-    """2.1.21-2.1.24: what the exports hold: facts with law, jurisdiction and version, by producer, and the weak ones apart."""
+    """2.1.21, 2.1.22, 2.1.24: what the exports hold: facts with law, jurisdiction and version, by producer, and the weak ones apart."""
     origin = versions(spark, d).join(laws(spark, d), "law_id").join(jurisdictions(spark, d), "jurisdiction_id").select("version_id", F.concat_ws("/", "title", "jurisdiction", F.concat(F.lit("v"), F.col("version_id").cast("string"))).alias("provenance"))
     producer = F.coalesce(F.when(F.col("agent_id") <= 90, F.col("agent_id").cast("string")), F.lit("_unattributed"))
     rows = facts(spark, d).join(origin, "version_id").select(producer.alias("producer"), F.col("tier").isin("C", "D").alias("low_confidence"), "provenance")
