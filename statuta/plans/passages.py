@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text as T, vocabularies as V
 from ..operators import vocabularies as W
+from ..operators.steps import Steps
 from ..registry import query
 from ..sources.tables import facts, table, tier_of, tier_sql, versions, with_domain
 
@@ -32,7 +33,7 @@ _QUALITY = (
 
 
 # What is known of each law (a source): topics, of which one is how its first passage begins, and two summaries.
-_TOPICS = "array(min(lang) || '; Automated Decision Systems / ' || substr(min(text), 1, 9), CASE WHEN count(*) % 2 = 0 THEN 'ai, Deepfakes' END)"
+_TOPICS = "array(min(lang) || '; Automated Decision Systems / ' || min(left(text, 9)), CASE WHEN count(*) % 2 = 0 THEN 'ai, Deepfakes' END)"
 _SUMMARIES = ("CASE WHEN count(*) % 3 = 0 THEN 'The deployer shall AUDIT; transparency, and a notice of its notices' END", "CASE WHEN count(*) % 2 = 1 THEN 'Fines; the penalty is an injunction' END")
 _LIST = lambda c, words: f"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '\\b[a-z]{{4,}}\\b'), lambda w: w IN ({', '.join(repr(w) for w in words)}))"
 
@@ -50,7 +51,8 @@ def passage_triage(spark, d):
     vocabularies are one automaton, which reads each text once; a law's terms count for its own passages."""
     docs = table(spark, d, "documents")
     context = docs.groupBy(F.col("source").alias("law")).agg(F.expr(_TOPICS).alias("topics"), *[F.expr(c).alias(k) for c, k in zip(_SUMMARIES, ("reqs", "enf"))])
-    laws_ = context.select("law", V.law_terms(F.col("topics"), F.col("reqs"), F.col("enf")).alias("terms"))
+    # one small row a law, read three times below
+    laws_ = Steps(spark).written("laws", context.select("law", V.law_terms(F.col("topics"), F.col("reqs"), F.col("enf")).alias("terms")))
     own = laws_.select(F.explode("terms").alias("term")).distinct().select(F.lit("law").alias("kind"), F.lit(0).alias("place"), "term", F.lit("in").alias("rule"))
     terms = W.terms_of(spark, "chrome", CHROME).unionByName(W.terms_of(spark, "keyword", V.KEYWORDS)).unionByName(own)
     text = docs.select("doc_id", F.col("source").alias("law"), F.expr(_CLAUSES).alias("text"))
