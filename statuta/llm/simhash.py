@@ -9,9 +9,11 @@ of RADIUS positions cannot span the whole space, so some v is orthogonal to all
 position in which two fingerprints within the radius differ: they agree on the masked bits and meet in that table.
 
 Equal fingerprints are folded into one node first. A bucket of up to `BLOCK` fingerprints is compared in one go as it
-streams by, and only the edges of a spanning forest leave it. A larger one is split by a second family of masks, whose
-guarantee holds within it as well: its members agree on half of the bits already, so these buckets are smaller by far.
-What is still too large after that is compared block by block, all pairs of blocks.
+streams by, and only the edges of a spanning forest leave it. In a larger one every member is compared with its bucket's
+leaders and with the block that it falls into, which costs a copy a member. A bucket whose members are one component then,
+as families of copies are, holds no link that would join anything else and is done. What is still open is split by the next
+family of masks, whose guarantee holds within a bucket as well: its members agree on half of the bits already, so these
+buckets are smaller by far. No link is left out: what remains open after the last family is compared in all pairs of blocks.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other; a short text is one shingle, a long
 one is counted in chunks; a bit set in exactly half of the hashes is 0; repeated rows share a component; ids may be of
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,10 @@ RADIUS = 4
 BITS = 64
 #: Fingerprints of a bucket that are compared with each other in one go.
 BLOCK = 1024
+#: Seeds of the families of masks, in the order of their use.
+FAMILIES = (11, 12, 13)
+#: Members of a large bucket, chosen by hash, that meet all its members.
+LEADERS = 32
 #: Places of a component's name.
 SALTS = 32
 #: Shingles whose bits are counted at once, which bounds memory on long texts.
@@ -163,29 +170,59 @@ def _block_edges(radius: int):
     return run
 
 
+def led_blocks(members: DataFrame, *bucket: str) -> DataFrame:
+    """(bucket, lo, hi, fp) for members (bucket, fp, blocks): each one in a block of its own choosing, and a bucket's leaders
+    in all of its blocks. A leader that meets itself makes an edge to itself, which joins nothing."""
+    block, cell = F.pmod(F.xxhash64("fp"), F.col("blocks")), F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(LEADERS)).alias("cell")
+    leaders = members.filter("blocks > 1").groupBy(*bucket, "blocks", cell).agg(F.min("fp").alias("fp"))
+    leaders = leaders.select(*bucket, "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("lo"))
+    return members.select(*bucket, "fp", block.alias("lo")).unionByName(leaders).select(*bucket, "lo", F.col("lo").alias("hi"), "fp")
+
+
+def all_blocks(members: DataFrame, *bucket: str) -> DataFrame:
+    """(bucket, lo, hi, fp): each member in every pair of blocks that holds its own, so that any two of a bucket meet."""
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    placed = members.select(*bucket, "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    return placed.select(*bucket, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
+
+
+def unsettled(members: DataFrame, edges: DataFrame, *bucket: str) -> DataFrame:
+    """Members of the buckets that are not one component by these edges; the others hold no link that joins anything else."""
+    label = connected_components(edges).select(F.col("node").alias("fp"), "component")
+    named = F.coalesce("component", "fp")
+    parted = members.join(label, "fp", "left").groupBy(*bucket).agg(F.min(named).alias("least"), F.max(named).alias("most")).filter("least < most")
+    return written(members.join(parted.select(*bucket), list(bucket), "left_semi"))
+
+
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges a < b between fingerprints that connect the same nodes as all links do. nodes: fp (distinct, written)."""
     parts = max(8, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def bucketed(rows: DataFrame, seed: int, *within: str) -> DataFrame:
-        # A bucket is known by a hash of table and masked bits: buckets that share one are compared together, no more.
-        keys = F.array(*[F.xxhash64(*within, F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(covering_masks(radius, seed=seed))])
+    def bucketed(rows: DataFrame, seed: int) -> DataFrame:
+        # A bucket is known by a hash of the one around it, table and masked bits: two that share one are compared together, no more.
+        keys = F.array(*[F.xxhash64("key", F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(covering_masks(radius, seed=seed))])
         keyed = rows.repartition(parts).select(F.explode(keys).alias("key"), "fp")
         return written(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_edges_by_bucket(radius), "a long, b long, big boolean"))
 
-    first = bucketed(nodes.select("fp"), 11)
-    found, large = first.filter("NOT big"), first.filter("big").select(F.col("a").alias("bucket"), F.col("b").alias("fp"))
-    if not large.isEmpty():
-        second = bucketed(large, 12, "bucket")
-        found, large = found.unionByName(second.filter("NOT big")), second.filter("big").select(F.col("a").alias("key"), F.col("b").alias("fp"))
-        # A bucket of several blocks is compared block by block: a member goes to every pair of blocks that holds its own.
+    def compared(blocks: DataFrame) -> DataFrame:
+        rows = blocks.select("key", "lo", "hi", "fp").repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        return rows.mapInArrow(_block_edges(radius), "a long, b long")
+
+    found, open_ = [], nodes.select(F.lit(0).cast("long").alias("key"), "fp")
+    for seed in FAMILIES:
+        split = bucketed(open_, seed)
+        found, large = [*found, split.filter("NOT big").select("a", "b")], split.filter("big").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+        if large.isEmpty():
+            break
         sizes = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-        placed = large.join(sizes, "key").select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        placed = placed.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
-        blocks = placed.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-        found = found.select("a", "b").unionByName(blocks.mapInArrow(_block_edges(radius), "a long, b long"))
-    return found.select("a", "b").distinct()
+        large = written(large.join(sizes, "key"))
+        found = [written(reduce(DataFrame.unionByName, [*found, compared(led_blocks(large, "key"))]).filter("a < b").distinct())]
+        open_ = unsettled(large, found[0], "key")
+        if open_.isEmpty():
+            break
+    else:
+        found.append(compared(all_blocks(open_, "key")))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+from statuta.llm import near_copies, simhash
+from statuta.llm.common import written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -36,3 +38,33 @@ def test_large_group_over_several_blocks_and_empty_texts(spark):
     rows = [(i, " ".join(base[: 50 + i % 7] + [f"x{i}"] + base[50 + i % 7 :]), "en", "s", 0) for i in range(1500)]
     docs = spark.createDataFrame(rows + [(5000, None, "en", "s", 0), (5001, "", "en", "s", 0), (None, "one other text", "en", "s", 0)], DOCS)
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {0, 5000, None}
+
+
+def test_leaders_and_splits_lose_no_link(spark, monkeypatch):
+    """Families of copies and chains of them in buckets of many small blocks, at each depth, against all pairs."""
+    rng, texts = random.Random(9), []
+    base = [f"b{i}" for i in range(200)]
+    for family in range(12):
+        words = list(base)
+        for at in rng.sample(range(200), 6 * (family % 3)):
+            words[at] = f"f{family}"
+        for _ in range(25):
+            texts.append(" ".join(words))
+            words[rng.randrange(200)] = f"m{len(texts)}"
+    sets, first = list(map(shingles, texts)), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and first[i] != first[j]:
+                first = [min(first[i], first[j]) if f in (first[i], first[j]) else f for f in first]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    own = docs.select("doc_id", "text", near_copies._text_key("text").alias("text_key"))
+    marked = written(own.mapInArrow(near_copies._marks, "doc_id long, fp long, text_key long, bands array<long>"))
+    key = {r.doc_id: r.fp for r in marked.collect()}
+    monkeypatch.setattr(near_copies, "BLOCK", 4)
+    monkeypatch.setattr(simhash, "LEADERS", 2)
+    for splits in (0, 1, 2):
+        monkeypatch.setattr(near_copies, "SPLITS", splits)
+        label = {r.node: r.component for r in simhash.connected_components(near_copies.links(docs, marked)).collect()}
+        found = [label.get(key[i], key[i]) for i in range(len(texts))]
+        told = {frozenset(i for i, f in enumerate(x) if f == g) for x in (found,) for g in set(x)}
+        assert told == {frozenset(i for i, f in enumerate(first) if f == g) for g in set(first)}
