@@ -9,7 +9,8 @@ of RADIUS positions cannot span the whole space, so some v is orthogonal to all
 position in which two fingerprints within the radius differ: they agree on the masked bits and meet in that table.
 
 Equal fingerprints are folded into one node first. A bucket of up to `BLOCK` fingerprints is compared in one go as it
-streams by, and only the edges of a spanning forest leave it. In a larger one every member is compared with its bucket's
+streams by, and only the edges of a spanning forest leave it. One of up to FEW times as many is compared in all pairs of
+blocks, which takes no more copies than to split it. In a larger one every member is compared with its bucket's
 leaders and with the block that it falls into, which costs a copy a member. A bucket whose members are one component then,
 as families of copies are, holds no link that would join anything else and is done. What is still open is split by the next
 family of masks, whose guarantee holds within a bucket as well: its members agree on half of the bits already, so these
@@ -42,6 +43,8 @@ BITS = 64
 BLOCK = 1024
 #: Seeds of the families of masks, in the order of their use.
 FAMILIES = (11, 12, 13)
+#: Blocks of a bucket up to which all pairs of them take no more copies of a member than a family of masks does.
+FEW = (2 << RADIUS) - 1
 #: Members of a large bucket, chosen by hash, that meet all its members.
 LEADERS = 32
 #: Places of a component's name.
@@ -216,7 +219,11 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             break
         sizes = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
         large = written(large.join(sizes, "key"))
-        found = [written(reduce(DataFrame.unionByName, [*found, compared(led_blocks(large, "key"))]).filter("a < b").distinct())]
+        few = F.col("blocks") <= FEW
+        blocks = all_blocks(large.filter(few), "key").unionByName(led_blocks(large.filter(~few), "key"))
+        found, large = [written(reduce(DataFrame.unionByName, [*found, compared(blocks)]).filter("a < b").distinct())], large.filter(~few)
+        if large.isEmpty():
+            break
         open_ = unsettled(large, found[0], "key")
         if open_.isEmpty():
             break

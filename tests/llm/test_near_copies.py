@@ -61,6 +61,7 @@ def test_leaders_and_splits_lose_no_link(spark, monkeypatch):
     marked = written(own.mapInArrow(near_copies._marks, "doc_id long, fp long, text_key long, bands array<long>"))
     key = {r.doc_id: r.fp for r in marked.collect()}
     monkeypatch.setattr(near_copies, "BLOCK", 4)
+    monkeypatch.setattr(near_copies, "FEW", 1)
     monkeypatch.setattr(simhash, "LEADERS", 2)
     for splits in (0, 1, 2):
         monkeypatch.setattr(near_copies, "SPLITS", splits)

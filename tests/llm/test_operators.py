@@ -560,6 +560,7 @@ def test_simhash_documents(spark, sf, docs, rows):
 @pytest.mark.parametrize("block", [1024, 8])
 def test_simhash_chains_and_full_buckets(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "FEW", simhash.FEW if block > 8 else 1)
     rng, marked, i = random.Random(8), [], 0
     for _ in range(25):
         f = rng.getrandbits(64)
