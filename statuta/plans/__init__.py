@@ -1,3 +1,3 @@
 """The registered queries, by area."""
 
-from . import answers, entities, lifecycle, matching, pages, passages, records, rollups, rules, serving, sourcing, stated, streams, summaries, syncs, verification  # noqa: F401
+from . import answers, entities, lifecycle, matching, origins, pages, passages, records, rollups, rules, serving, sourcing, stated, streams, summaries, syncs, verification  # noqa: F401

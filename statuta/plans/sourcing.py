@@ -1,4 +1,4 @@
-"""Seeds, lookups with fallbacks, exports, bill contexts and agents (inventory 2.1.1, 2.1.16, 2.1.21-2.1.25, 2.2.12, 2.3.3, 2.3.18, 2.5.4,
+"""Seeds, lookups with fallbacks, exports, bill contexts and agents (inventory 2.1.1, 2.1.21, 2.1.22, 2.1.24, 2.1.25, 2.2.12, 2.3.3, 2.3.18, 2.5.4,
 2.9.34, 2.9.36, 2.9.40, 2.9.49, 2.9.51, 2.15.2-2.15.4)."""
 
 from __future__ import annotations
