@@ -1,4 +1,4 @@
-"""Where laws come from and what trackers know of them (inventory 2.1.16, 2.1.23, 2.9.59, 2.9.60)."""
+"""Where laws come from and what trackers know of them (inventory 2.1.16, 2.1.23, 2.1.30, 2.9.59, 2.9.60)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import origins as O
 from ..functions.text import strip_sql
+from ..operators import labelling as L
 from ..operators.trackers import tracked, tracker_index
 from ..registry import query
 from ..sources.exports import bill_rows
@@ -60,3 +61,12 @@ def bill_export(spark, d):
     )
     named = laws(spark, d).select("law_id", "jurisdiction_id", F.concat(F.lit("law "), F.col("law_id").cast("string")).alias("law"), "title")
     return bill_rows(taken, versions(spark, d).select("version_id", "law_id"), named, jurisdictions(spark, d))
+
+
+@query(f"""WITH r AS (SELECT doc_id AS id, length(source) * 7 + doc_id // 3 % 40 AS version, doc_id % 5 AS ordinal, text FROM documents), d AS (SELECT doc_id FROM labels WHERE quality = 1),
+n AS (SELECT *, row_number() OVER (ORDER BY version NULLS FIRST, ordinal, id) - 1 AS k FROM r WHERE length({strip_sql('text')}) >= {L.LEAST} AND id NOT IN (SELECT doc_id FROM d))
+SELECT id, version, ordinal, k // {L.BATCH} + 1 AS batch, k % {L.BATCH} + 1 AS place FROM n""")
+def labelling_batches(spark, d):
+    """2.1.30: passages that nobody has labelled yet, numbered in order and dealt in batches; `labels_read` takes labels in."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr("CAST(length(source) * 7 + doc_id div 3 % 40 AS BIGINT)").alias("version"), (F.col("doc_id") % 5).alias("ordinal"), "text")
+    return L.batched(rows, table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("id")))
