@@ -51,8 +51,8 @@ def labels_read(answers: DataFrame, passages: DataFrame, kinds: DataFrame, known
     """Labels out of answers (file, text): JSON, a list of entries or an object with them under `results` or `passages`, or one entry.
     file, passage_id, agent, kind, payload, status: `label` for what is new; `repeated` for what is known (`known`: passage_id,
     kind, payload) or comes again; `abstained` for entries without labels; else what is wrong: no json, no entries, no
-    passage id, unknown passage, unknown agent. kinds: agent, kind. Payloads are compared and given with their names in
-    order. One wrong entry spoils no other."""
+    passage id (0 is none), unknown passage, unknown agent. kinds: agent, kind. Payloads are compared and given with their names in
+    order. An entry or block that is wrong is one row and spoils no other; a label that comes again is one more row."""
     read = answers.select("file", F.try_parse_json("text").alias("v"))
     get = lambda c, path, kind: F.try_variant_get(c, path, kind)
     many = "array<variant>"
@@ -66,18 +66,17 @@ def labels_read(answers: DataFrame, passages: DataFrame, kinds: DataFrame, known
     e = F.col("e")
     one = whole.select("file", F.explode("entries").alias("e")).select("file", F.nullif(get(e, "$.passage_id", "long"), F.lit(0)).alias("passage_id"), get(e, "$.extractions", many).alias("blocks"))
     there = passages.select(F.col("id").alias("passage_id"), F.lit(True).alias("_there")).distinct()
-    blocks = one.join(there, "passage_id", "left").select("*", F.explode_outer("blocks").alias("b"))
+    wrong = F.when(F.col("passage_id").isNull(), "no passage id").when(F.col("_there").isNull(), "unknown passage").when(F.coalesce(F.size("blocks") == 0, F.lit(True)), "abstained")
+    judged = one.join(there, "passage_id", "left").withColumn("status", wrong)
+    refused = judged.filter("status IS NOT NULL").select("file", "passage_id", nothing.alias("agent"), nothing.alias("kind"), nothing.alias("payload"), "status")
     b = F.col("b")
-    items = blocks.select("file", "passage_id", "_there", F.coalesce(F.size("blocks") == 0, F.lit(True)).alias("_empty"), get(b, "$.agent", "string").alias("agent"), get(b, "$.items", many).alias("items"))
-    named = items.join(kinds.select("agent", "kind"), "agent", "left")
-    wrong = F.when(F.col("passage_id").isNull(), "no passage id").when(F.col("_there").isNull(), "unknown passage").when(F.col("_empty"), "abstained").when(F.col("kind").isNull(), "unknown agent")
-    judged = named.withColumn("status", wrong)
-    # an entry that is wrong as a whole says so once, however many blocks it has
-    refused = judged.filter("status IS NOT NULL").select("file", "passage_id", F.when(F.col("status") == "unknown agent", F.col("agent")).alias("agent"), nothing.alias("kind"), nothing.alias("payload"), "status").distinct()
-    taken = judged.filter("status IS NULL").select("file", "passage_id", "agent", "kind", F.explode("items").alias("i")).select("file", "passage_id", "agent", "kind", F.to_json("i").alias("payload"))
+    blocks = judged.filter("status IS NULL").select("file", "passage_id", F.explode("blocks").alias("b")).select("file", "passage_id", get(b, "$.agent", "string").alias("agent"), get(b, "$.items", many).alias("items"))
+    named = blocks.join(kinds.select("agent", "kind"), "agent", "left")
+    foreign = named.filter("kind IS NULL").select("file", "passage_id", "agent", "kind", nothing.alias("payload"), F.lit("unknown agent").alias("status"))
+    taken = named.filter("kind IS NOT NULL").select("file", "passage_id", "agent", "kind", F.explode("items").alias("i")).select("file", "passage_id", "agent", "kind", F.to_json("i").alias("payload"))
     key = ["passage_id", "kind", "payload"]
     first = taken.groupBy(*key).agg(F.min(F.struct("file", "agent")).alias("f"), F.count(F.lit(1)).alias("n"))
     new = first.join(known.select(*key, F.lit(True).alias("_known")).distinct(), key, "left")
     counted = new.select(F.col("f.file").alias("file"), "passage_id", F.col("f.agent").alias("agent"), "kind", "payload", F.when(F.col("_known"), "repeated").otherwise("label").alias("status"))
     again = new.filter("_known IS NULL AND n > 1").select(F.col("f.file").alias("file"), "passage_id", F.col("f.agent").alias("agent"), "kind", "payload", F.lit("repeated").alias("status"))
-    return spoilt.unionByName(refused).unionByName(counted).unionByName(again)
+    return spoilt.unionByName(refused).unionByName(foreign).unionByName(counted).unionByName(again)

@@ -70,3 +70,23 @@ def labelling_batches(spark, d):
     """2.1.30: passages that nobody has labelled yet, numbered in order and dealt in batches; `labels_read` takes labels in."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr("CAST(length(source) * 7 + doc_id div 3 % 40 AS BIGINT)").alias("version"), (F.col("doc_id") % 5).alias("ordinal"), "text")
     return L.batched(rows, table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("id")))
+
+
+_ANSWER = """CASE doc_id % 6 WHEN 0 THEN '[{"passage_id": ' || doc_id || ', "extractions": [{"agent": "' || lang || '", "items": [{"n": ' || n_chars || ', "at": "' || source || '"}, {"n": ' || doc_id || '}]}]}, {"passage_id": ' || (doc_id + 1) || '}]'
+WHEN 1 THEN '{"results": [{"passage_id": ' || (doc_id - 1) || ', "extractions": [{"agent": "en", "items": [{"n": ' || (doc_id - 1) || '}]}]}, {"extractions": []}]}' WHEN 2 THEN '{"passage_id": ' || (doc_id + 1000000000) || ', "extractions": [{"agent": "en", "items": [{}]}]}' WHEN 3 THEN CAST(doc_id AS STRING) ELSE coalesce(text, '') END"""
+
+
+@query(f"""WITH v AS (SELECT 'f' || doc_id AS file, TRY_CAST({_ANSWER} AS JSON) AS j FROM documents), e AS (SELECT file, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') WHEN json_exists(j, '$.results') THEN json_extract(j, '$.results[*]') ELSE [j] END) AS e FROM v WHERE json_type(j) IN ('ARRAY', 'OBJECT')),
+p AS (SELECT file, nullif(CAST(e->>'$.passage_id' AS BIGINT), 0) AS passage_id, json_extract(e, '$.extractions[*]') AS blocks FROM e), k AS (SELECT *, CASE WHEN passage_id IS NULL THEN 'no passage id' WHEN passage_id NOT IN (SELECT doc_id FROM documents) THEN 'unknown passage' WHEN coalesce(len(blocks), 0) = 0 THEN 'abstained' END AS status FROM p),
+b AS (SELECT file, passage_id, unnest(blocks) AS b FROM k WHERE status IS NULL), i AS (SELECT file, passage_id, b->>'$.agent' AS agent, unnest(json_extract(b, '$.items[*]')) AS i FROM b), g AS (SELECT passage_id, upper(agent) AS kind, n, CASE WHEN src IS NULL THEN '{{"n":' || n || '}}' ELSE '{{"at":"' || src || '","n":' || n || '}}' END AS payload, min(file || '|' || agent) AS f, count(*) AS times
+FROM (SELECT *, i->>'$.n' AS n, i->>'$.at' AS src FROM i) WHERE agent IN ('en', 'de', 'fr') GROUP BY passage_id, agent, n, src),
+o AS (SELECT file, passage_id, NULL AS agent, status FROM k WHERE status IS NOT NULL UNION ALL SELECT file, passage_id, b->>'$.agent', 'unknown agent' FROM b WHERE b->>'$.agent' NOT IN ('en', 'de', 'fr') UNION ALL SELECT file, NULL, NULL, CASE WHEN j IS NULL THEN 'no json' ELSE 'no entries' END FROM v WHERE coalesce(json_type(j), '') NOT IN ('ARRAY', 'OBJECT'))
+SELECT status, kind, count(*) AS n, min(payload) AS payload, max(passage_id) AS passage_id, min(file) AS file FROM (SELECT file, passage_id, agent, NULL AS kind, NULL AS payload, status FROM o UNION ALL SELECT split_part(f, '|', 1), passage_id, split_part(f, '|', 2), kind, payload, 'label' FROM g UNION ALL SELECT split_part(f, '|', 1), passage_id, split_part(f, '|', 2), kind, payload, 'repeated' FROM g WHERE times > 1) GROUP BY 1, 2""")
+def labels_taken(spark, d):
+    """2.1.30: labels read out of answers on all documents, by status and kind: how many, and which come first or last."""
+    docs = table(spark, d, "documents")
+    answers = docs.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file"), F.expr(_ANSWER).alias("text"))
+    kinds = spark.createDataFrame([(c, c.upper()) for c in ("en", "de", "fr")], "agent string, kind string")
+    known = spark.createDataFrame([], "passage_id long, kind string, payload string")
+    found = L.labels_read(answers, docs.select(F.col("doc_id").alias("id")), kinds, known)
+    return found.groupBy("status", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("payload").alias("payload"), F.max("passage_id").alias("passage_id"), F.min("file").alias("file"))

@@ -29,7 +29,7 @@ def test_labels_read(spark):
     block = lambda *items, agent="scope": {"agent": agent, "items": list(items)}
     entry = lambda i, *blocks: {"passage_id": i, "extractions": list(blocks)}
     answers = [
-        ("a", json.dumps([entry(1, block({"b": 1, "a": 2}), block({"x": 1}, agent="nobody")), entry(2), entry(9, block({"a": 1})), {"extractions": [block({"a": 1})]}])),
+        ("a", json.dumps([entry(1, block({"b": 1, "a": 2}), block({"x": 1}, agent="nobody")), entry(2), entry(9, block({"a": 1})), {"extractions": [block({"a": 1})]}, {"passage_id": 0}])),
         ("b", json.dumps({"results": [entry(1, block({"a": 2, "b": 1}, {"a": 3}))]})),
         ("c", json.dumps(entry(2, block({"old": True}, {"q": "é"})))),
         ("d", "{broken"), ("e", "4"), ("f", None), ("g", "[]"), ("h", json.dumps({"passages": [{"passage_id": 2}]})),
@@ -40,6 +40,6 @@ def test_labels_read(spark):
     assert sorted(map(tuple, found.collect()), key=str) == sorted([
         ("a", 1, "scope", "SCOPE", '{"a":2,"b":1}', "label"), ("a", 1, "scope", "SCOPE", '{"a":2,"b":1}', "repeated"), ("b", 1, "scope", "SCOPE", '{"a":3}', "label"),
         ("a", 1, "nobody", None, None, "unknown agent"), ("a", 2, None, None, None, "abstained"), ("h", 2, None, None, None, "abstained"), ("a", 9, None, None, None, "unknown passage"),
-        ("a", None, None, None, None, "no passage id"), ("c", 2, "scope", "SCOPE", '{"old":true}', "repeated"), ("c", 2, "scope", "SCOPE", '{"q":"é"}', "label"),
+        ("a", None, None, None, None, "no passage id"), ("a", None, None, None, None, "no passage id"), ("c", 2, "scope", "SCOPE", '{"old":true}', "repeated"), ("c", 2, "scope", "SCOPE", '{"q":"é"}', "label"),
         ("d", None, None, None, None, "no json"), ("e", None, None, None, None, "no entries"), ("f", None, None, None, None, "no json"),
     ], key=str)
