@@ -23,6 +23,14 @@ PENALTY_VERBS = ("fine", "penalt", "sanction", "forfeit", "assess", "impose", "a
 DEADLINES = {"effective_date": "effective", "compliance_deadline": "compliance", "sunset_date": "sunset"}
 
 
+def parsed(c: Column) -> Column:
+    """A text that is one JSON value and nothing else as a variant, else null. Spark's parser takes the first value of a text and leaves
+    what follows; as the value of a list and of an object at once it has to end where the text does."""
+    as_value = lambda t, before, after: F.try_parse_json(F.concat(F.lit(before), t, F.lit(after)))
+    whole = lambda t: as_value(t, "[", "]").isNotNull() & as_value(t, '{"v":', "}").isNotNull()
+    return bound(c, lambda t: bound(F.try_parse_json(t), lambda v: F.when(v.isNotNull() & whole(t), v)))
+
+
 def _filled(*columns: Column) -> Column:
     """Whether one of them is neither null nor empty."""
     return F.coalesce(F.nullif(F.concat_ws("", *columns), F.lit("")).isNotNull(), F.lit(False))

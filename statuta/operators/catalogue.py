@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.payloads import parsed
 from .steps import Steps
 
 #: What the type names of a variant become; numbers of any size are one type.
@@ -26,7 +27,7 @@ def field_catalogue(rows: DataFrame, payload: str) -> DataFrame:
     """path, kind, n over a column of JSON texts; the whole payload has the path `$`, an item `[]`. Texts that are no JSON, and nulls,
     have no fields."""
     steps = Steps(rows.sparkSession)
-    level = rows.select(F.lit("$").alias("path"), F.try_parse_json(payload).alias("v")).filter("v IS NOT NULL")
+    level = rows.select(F.lit("$").alias("path"), parsed(F.col(payload)).alias("v")).filter("v IS NOT NULL")
     out, depth = None, 0
     while True:
         typed = level.select("path", "v", kind_of(F.col("v")).alias("kind"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.payloads import parsed
 from ..functions.text import strip
 
 #: Passages of a batch, and the least length of a passage, without white space at its ends.
@@ -53,7 +54,7 @@ def labels_read(answers: DataFrame, passages: DataFrame, kinds: DataFrame, known
     kind, payload) or comes again; `abstained` for entries without labels; else what is wrong: no json, no entries, no
     passage id (0 is none), unknown passage, unknown agent. kinds: agent, kind. Payloads are compared and given with their names in
     order. An entry or block that is wrong is one row and spoils no other; a label that comes again is one more row."""
-    read = answers.select("file", F.try_parse_json("text").alias("v"))
+    read = answers.select("file", parsed(F.col("text")).alias("v"))
     get = lambda c, path, kind: F.try_variant_get(c, path, kind)
     many = "array<variant>"
     v = F.col("v")

@@ -43,3 +43,11 @@ def test_labels_read(spark):
         ("a", None, None, None, None, "no passage id"), ("a", None, None, None, None, "no passage id"), ("c", 2, "scope", "SCOPE", '{"old":true}', "repeated"), ("c", 2, "scope", "SCOPE", '{"q":"é"}', "label"),
         ("d", None, None, None, None, "no json"), ("e", None, None, None, None, "no entries"), ("f", None, None, None, None, "no json"),
     ], key=str)
+
+
+def test_a_text_that_only_begins_as_json_is_none(spark):
+    """What stands behind a value is not dropped."""
+    texts = ['{"passage_id": 1} and more', "4763047 Of thnd", "[1] x", '"x" y', "5 6", "1, 2", "[1] , [2", '1}, {"v": 2', '1, "a": 2', '{"passage_id": 1}{}', "", " ", None, ' {"passage_id": 1}\n', "4", "[]", "null"]
+    df = spark.createDataFrame([(f"{i:02}", t) for i, t in enumerate(texts)], "file string, text string")
+    found = L.labels_read(df, spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([("scope", "SCOPE")], "agent string, kind string"), spark.createDataFrame([], "passage_id long, kind string, payload string"))
+    assert sorted((r.file, r.status) for r in found.collect()) == [(f"{i:02}", "no json") for i in range(13)] + [("13", "abstained"), ("14", "no entries"), ("16", "no entries")]
