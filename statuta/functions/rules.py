@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from .text import collapse, strip, strip_sql, WHITE, WHITE_SIGNS
+from .text import bound, collapse, strip, strip_sql, WHITE, WHITE_SIGNS
 
 # Month names, and what a date may look like.
 MONTHS = r"(?i)\b(january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec)\.?\s+"
@@ -177,20 +177,27 @@ SIGNALS = {
 LETTERS = r"[\x{C0}-\x{24F}\x{370}-\x{1FFF}]"
 
 
+#: How a passage must begin to be structure, an enacting clause or the head of definitions.
+ROUTED_HEAD = rf"(?i)^[{WHITE_SIGNS}]*(?:table|chapter|part|article|_|\.|page|be|the|this|approved|signed|effective|definitions|as)"
+
+
 def signals_in(c: Column) -> Column:
-    low = F.regexp_replace(F.lower(c), LETTERS, "x")
-    return F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(name)) for name, p in SIGNALS.items()]))
+    """Names of the signals. Only letters beyond ASCII have to be changed, so other texts are read as they are."""
+    low = F.when(c.rlike(r"[^\x00-\x7f]"), F.regexp_replace(F.lower(c), LETTERS, "x")).otherwise(F.lower(c))
+    return bound(low, lambda t: F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(name)) for name, p in SIGNALS.items()])))
 
 
 def route(c: Column) -> Column:
     """Sorted names of those who read the passage: nobody for structure, all where signals are none, or nearly all."""
-    text, everyone, found = collapse(c), F.array(*map(F.lit, SIGNALS)), signals_in(c)
-    return (
-        F.when(text.rlike(STRUCTURE) | (text.rlike(ENACTING) & (F.length(text) < ENACTING_BELOW)), F.array().cast("array<string>"))
-        .when(text.rlike(DEFINITIONS_HEAD), F.array(F.lit("definition_actor")))
-        .when((F.size(found) == 0) | (F.size(found) >= len(SIGNALS) - 1), everyone)
-        .otherwise(found)
-    )
+    everyone = F.array(*map(F.lit, SIGNALS))
+
+    def headed(text: Column) -> Column:
+        structure = text.rlike(STRUCTURE) | (text.rlike(ENACTING) & (F.length(text) < ENACTING_BELOW))
+        return F.when(structure, F.array().cast("array<string>")).when(text.rlike(DEFINITIONS_HEAD), F.array(F.lit("definition_actor")))
+
+    by_head = lambda c: F.when(c.rlike(ROUTED_HEAD), bound(collapse(c), headed))
+    by_signals = lambda c: bound(signals_in(c), lambda found: F.when((F.size(found) == 0) | (F.size(found) >= len(SIGNALS) - 1), everyone).otherwise(found))
+    return bound(c, lambda c: F.coalesce(by_head(c), by_signals(c)))
 
 
 def sampled(id_col: Column, rate: float) -> Column:
@@ -206,25 +213,37 @@ JUNK_COST, SPARSE_COST, WORDS_LEAST, NON_ASCII_MOST = 0.2, 0.3, 0.4, 0.1
 
 def text_damage(c: Column) -> Column:
     """struct(score, flags): 1 for clean text, less for each sign of bad recognition or encoding, 0 for an empty one."""
-    n = F.nullif(F.length(c), F.lit(0)).cast("double")
-    count = lambda p: F.regexp_count(c, F.lit(p))
-    cost = lambda name, k: F.least(k / n * DAMAGE[name][0], F.lit(DAMAGE[name][1]))
-    broken, garbled, control = count("�"), count(f"[{GARBLED}]"), count(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
-    odd = count(r"[^\x00-\x7f\p{L}]")
-    letters = F.length(F.regexp_replace(F.regexp_replace(c, r"(?<![a-zA-Z])[a-zA-Z](?![a-zA-Z])", ""), "[^a-zA-Z]", ""))
-    signs = {
-        "encoding_errors": (broken > 0, cost("encoding_errors", broken)),
-        "garbled_chars": (garbled > 2, cost("garbled_chars", garbled)),
-        "control_chars": (control > 0, cost("control_chars", control)),
-        "repeated_junk": (count(r"(.)\1{5,}") > 2, F.lit(JUNK_COST)),
-        "low_word_density": (letters / n < WORDS_LEAST, F.lit(SPARSE_COST)),
-        "high_non_ascii": (odd / n > NON_ASCII_MOST, cost("high_non_ascii", odd)),
-    }
-    lost = reduce(lambda a, s: a + F.when(s[0], s[1]).otherwise(0.0), signs.values(), F.lit(0.0))
-    flags = F.array_compact(F.array(*[F.when(hit, F.lit(k)) for k, (hit, _) in signs.items()]))
-    empty = F.coalesce(collapse(c), F.lit("")) == ""
-    score = F.floor(F.greatest(F.lit(0.0), 1 - lost) * 1000 + 0.5) / 1000
-    return F.struct(F.when(empty, 0.0).otherwise(score).alias("score"), F.when(empty, F.array(F.lit("empty_passage"))).otherwise(flags).alias("flags"))
+    # four of the signs are none of the printed ASCII characters: they are counted in what is left without these
+    counted = F.struct(
+        F.nullif(F.length(c), F.lit(0)).cast("double").alias("n"),
+        F.regexp_replace(c, r"[\x20-\x7e\t\n\r]+", "").alias("rest"),
+        (F.regexp_count(c, F.lit(r"(.)\1{5,}")) > 2).alias("junk"),
+        F.length(F.regexp_replace(c, r"(?<![a-zA-Z])[a-zA-Z](?![a-zA-Z])|[^a-zA-Z]+", "")).alias("letters"),
+        (~F.coalesce(c.rlike(f"[^{WHITE_SIGNS}]"), F.lit(False))).alias("empty"),
+    )
+
+    def rest_counted(x: Column) -> Column:
+        count = lambda p: F.regexp_count(x["rest"], F.lit(p))
+        own = [count("�").alias("broken"), count(f"[{GARBLED}]").alias("garbled"), count(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]").alias("control"), count(r"[^\x00-\x7f\p{L}]").alias("odd")]
+        return F.struct(*own, *[x[k].alias(k) for k in ("n", "junk", "letters", "empty")])
+
+    def judged(x: Column) -> Column:
+        n = x["n"]
+        cost = lambda name, k: F.least(k / n * DAMAGE[name][0], F.lit(DAMAGE[name][1]))
+        signs = {
+            "encoding_errors": (x["broken"] > 0, cost("encoding_errors", x["broken"])),
+            "garbled_chars": (x["garbled"] > 2, cost("garbled_chars", x["garbled"])),
+            "control_chars": (x["control"] > 0, cost("control_chars", x["control"])),
+            "repeated_junk": (x["junk"], F.lit(JUNK_COST)),
+            "low_word_density": (x["letters"] / n < WORDS_LEAST, F.lit(SPARSE_COST)),
+            "high_non_ascii": (x["odd"] / n > NON_ASCII_MOST, cost("high_non_ascii", x["odd"])),
+        }
+        lost = reduce(lambda a, s: a + F.when(s[0], s[1]).otherwise(0.0), signs.values(), F.lit(0.0))
+        flags = F.array_compact(F.array(*[F.when(hit, F.lit(k)) for k, (hit, _) in signs.items()]))
+        score = F.floor(F.greatest(F.lit(0.0), 1 - lost) * 1000 + 0.5) / 1000
+        return F.struct(F.when(x["empty"], 0.0).otherwise(score).alias("score"), F.when(x["empty"], F.array(F.lit("empty_passage"))).otherwise(flags).alias("flags"))
+
+    return bound(bound(counted, rest_counted), judged)
 
 
 # Long forms of bill numbers, the first that fits; words of a summary with their category, in order of precedence.

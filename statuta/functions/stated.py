@@ -101,18 +101,20 @@ def _days(low: Column, *patterns: str) -> Column:
 
 def enforcement_facts(c: Column) -> Column:
     """struct of what a note says about enforcement; `covered`: enough for no model to be asked."""
-    low = F.lower(F.coalesce(c, F.lit("")))
 
-    def facts(low: Column) -> Column:
+    def facts(x: Column) -> Column:
+        low = x["low"]
         zipped = F.arrays_zip(F.regexp_extract_all(low, F.lit(MONEY), F.lit(1)).alias("n"), F.regexp_extract_all(low, F.lit(MONEY), F.lit(2)).alias("u"))
-        most = F.array_max(F.transform(zipped, lambda x: F.floor(_number(x["n"]) * _scale(x["u"])))).cast("long")
-        body, private = _shown(low, BODIES), _shown(low, PRIVATE_RIGHT)
-        return F.struct(
-            most.alias("max_penalty"), _shown(low, PENALTY_PER).alias("penalty_per"), _days(low, *CURE).alias("cure_days"), body.alias("body"), private.alias("private_right"), _shown(low, CRIMINAL_PENALTY).alias("criminal"),
-            (most.isNotNull() | body.isNotNull() | private.isNotNull()).alias("covered"),
-        )
+        most = F.when(F.contains(low, F.lit("$")), F.array_max(F.transform(zipped, lambda x: F.floor(_number(x["n"]) * _scale(x["u"])))).cast("long"))
+        said = (most.alias("max_penalty"), _shown(low, PENALTY_PER).alias("penalty_per"), _days(low, *CURE).alias("cure_days"), _shown(low, BODIES).alias("body"), _shown(low, PRIVATE_RIGHT).alias("private_right"), _shown(low, CRIMINAL_PENALTY).alias("criminal"))
+        return F.struct(*said, F.when(x["said"] != "", F.substring(x["said"], 1, EXCERPT)).alias("excerpt"))
+
+    def judged(f: Column) -> Column:
+        covered = f["max_penalty"].isNotNull() | f["body"].isNotNull() | f["private_right"].isNotNull()
+        return F.struct(*[f[k].alias(k) for k in ("max_penalty", "penalty_per", "cure_days", "body", "private_right", "criminal")], covered.alias("covered"), f["excerpt"].alias("excerpt"))
 
-    return bound(low, facts).withField("excerpt", F.when(c != "", F.substring(c, 1, EXCERPT)))
+    # each fact is looked for once, whatever reads it
+    return bound(bound(F.struct(F.lower(F.coalesce(c, F.lit(""))).alias("low"), c.alias("said")), facts), judged)
 
 
 def applicability_facts(c: Column) -> Column:
@@ -136,11 +138,14 @@ def timeline_facts(requirements: Column, enforcement: Column) -> Column:
     """struct of a law's dates and periods, from two notes read as one."""
 
     def facts(low: Column) -> Column:
-        day = lambda p: normal_date(F.nullif(F.regexp_extract(low, p, 1), F.lit("")))
+        day = lambda p: bound(F.nullif(F.regexp_extract(low, p, 1), F.lit("")), normal_date)
         effective = F.when(low.rlike(UPON_ENACTMENT), "upon_enactment").otherwise(day(EFFECTIVE))
-        return F.struct(effective.alias("effective"), day(ENFORCED_FROM).alias("enforced_from"), _days(low, RESPONSE_DAYS).alias("response_days"), _days(low, *CURE).alias("cure_days"), F.when(low.rlike(YEARLY), 12).alias("assessment_months"), effective.isNotNull().alias("covered"))
+        return F.struct(effective.alias("effective"), day(ENFORCED_FROM).alias("enforced_from"), _days(low, RESPONSE_DAYS).alias("response_days"), _days(low, *CURE).alias("cure_days"), F.when(low.rlike(YEARLY), 12).alias("assessment_months"))
+
+    def judged(f: Column) -> Column:
+        return F.struct(*[f[k].alias(k) for k in ("effective", "enforced_from", "response_days", "cure_days", "assessment_months")], f["effective"].isNotNull().alias("covered"))
 
-    return bound(F.lower(F.concat_ws(" ", F.coalesce(requirements, F.lit("")), F.coalesce(enforcement, F.lit("")))), facts)
+    return bound(bound(F.lower(F.concat_ws(" ", F.coalesce(requirements, F.lit("")), F.coalesce(enforcement, F.lit("")))), facts), judged)
 
 
 def trigger_value(c: Column) -> Column:

@@ -73,8 +73,8 @@ def routing(spark, d):
     """2.9.21, 2.9.25, 2.9.26: who reads a passage, by its signals, and the fixed twentieth of passages that all of them read."""
     each = table(spark, d, "documents").select("doc_id", "text", F.explode(F.array(F.lit("whole"), F.lit("led"))).alias("kind"))
     rows = each.select("doc_id", "kind", F.coalesce(F.expr(_HEAD), F.lit("")).alias("body"))
-    readers = R.route(F.col("body"))
-    return rows.select("doc_id", "kind", F.array_join(readers, ",").alias("routed"), ((F.size(readers) > 0) & R.sampled(F.col("doc_id"), RECALL_RATE)).alias("bypassed"))
+    routed = rows.select("doc_id", "kind", R.route(F.col("body")).alias("readers"))
+    return routed.select("doc_id", "kind", F.array_join("readers", ",").alias("routed"), ((F.size("readers") > 0) & R.sampled(F.col("doc_id"), RECALL_RATE)).alias("bypassed"))
 
 
 @query()

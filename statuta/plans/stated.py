@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stated as S
 from ..registry import query
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 
 _NOTE = """CASE p_partkey % 8 WHEN 0 THEN 'The Attorney General may seek $' || p_size || ',000 per violation; a 60-day cure applies. No private right of action.'
 WHEN 1 THEN 'Fines up to $' || p_size || ' million per day and $500; Class A felony' WHEN 2 THEN 'FTC rules, cure period of ' || p_size || ' days, private right of action' WHEN 3 THEN ''
@@ -24,7 +24,7 @@ f AS (SELECT p_partkey, {_amounts('low')} AS max_penalty, {S.shown_sql('low', S.
 SELECT *, max_penalty IS NOT NULL OR body IS NOT NULL OR private_right IS NOT NULL AS covered FROM f""")
 def enforcement_facts(spark, d):
     """2.11.14, 2.11.17: penalty, period, cure, enforcer and rights that a note states, and whether that suffices."""
-    rows = table(spark, d, "part").select("p_partkey", F.expr(_NOTE).alias("note"))
+    rows = dealt(table(spark, d, "part")).select("p_partkey", F.expr(_NOTE).alias("note"))
     return rows.select("p_partkey", S.enforcement_facts(F.col("note")).alias("f")).select("p_partkey", "f.*")
 
 
@@ -41,7 +41,7 @@ f AS (SELECT p_partkey, {S.all_shown_sql('low', S.ENTITIES)} AS kinds, {S.all_sh
 SELECT *, kinds <> '' OR employees IS NOT NULL OR revenue IS NOT NULL OR consumers IS NOT NULL AS covered FROM f""")
 def applicability_facts(spark, d):
     """2.11.15, 2.11.17: kinds and sectors covered, the least thresholds, and whether that suffices."""
-    rows = table(spark, d, "part").select("p_partkey", S.applicability_facts(F.expr(_NEEDS)).alias("f")).select("p_partkey", "f.*")
+    rows = dealt(table(spark, d, "part")).select("p_partkey", S.applicability_facts(F.expr(_NEEDS)).alias("f")).select("p_partkey", "f.*")
     return rows.withColumn("kinds", F.array_join("kinds", ",")).withColumn("sectors", F.array_join("sectors", ","))
 
 
@@ -54,7 +54,7 @@ _BOTH = f"lower({_DATES} || ' ' || {_NOTE})"
 {S.days_sql('low', S.RESPONSE_DAYS)} AS response_days, {S.days_sql('low', *S.CURE)} AS cure_days, CASE WHEN regexp_matches(low, '{S.YEARLY}') THEN 12 END AS assessment_months FROM l) SELECT *, effective IS NOT NULL AS covered FROM f""")
 def timeline_facts(spark, d):
     """2.11.16, 2.11.17: effective and enforcement dates, periods to respond and to cure, from two notes."""
-    rows = table(spark, d, "part").select("p_partkey", S.timeline_facts(F.expr(_DATES), F.expr(_NOTE)).alias("f"))
+    rows = dealt(table(spark, d, "part")).select("p_partkey", S.timeline_facts(F.expr(_DATES), F.expr(_NOTE)).alias("f"))
     return rows.select("p_partkey", "f.*")
 
 
@@ -76,6 +76,6 @@ FROM v WHERE amount IS NOT NULL OR coalesce(trim(value), '') <> '' OR flops IS N
 def triggers(spark, d):
     """2.11.11, 2.11.12: thresholds as type, operator and number; what states nothing gives no trigger."""
     columns = [F.expr(e).alias(n) for n, e in (("kind", _KIND), ("unit", _UNIT), ("condition", _WHEN), ("value", _VALUE), ("flops", _FLOPS), ("sectors", _SECTOR))]
-    rows = table(spark, d, "part").select("p_partkey", *columns)
+    rows = dealt(table(spark, d, "part")).select("p_partkey", *columns)
     found = rows.select("p_partkey", S.trigger(*map(F.col, ("kind", "unit", "condition", "value", "flops", "sectors"))).alias("t"))
     return found.filter("t IS NOT NULL").select("p_partkey", "t.*")

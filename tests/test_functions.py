@@ -119,3 +119,12 @@ def test_penalty_severity(spark, note, band):
 )
 def test_span_tier(spark, passage, span, tier):
     assert one(spark, T.span_tier(F.lit(passage), F.lit(span)))[0] == tier
+
+
+def test_patterns_are_asked_once(spark, sf):
+    """What several columns read is worked out once for a row."""
+    from statuta.plans import rules as plans
+    from statuta.plans import stated
+
+    for q, pattern in ((plans.text_damage, "[^a-zA-Z]"), (plans.routing, "attorney general"), (stated.enforcement_facts, "superintendent")):
+        assert q(spark, sf)._jdf.queryExecution().optimizedPlan().toString().count(pattern) == 1

@@ -134,3 +134,11 @@ def test_keyed_sinks(spark, tmp_path):
     assert list(sent) == ["parents", "children"] and len(sent["parents"]) == 3 and sum(r["count"] for r in sent["parents"]) == 1200
     parents, children = sinks.merged(rows((1, "a"), (2, "b")), spark.createDataFrame([(7, 2), (8, 1)], "child long, id long"), spark.createDataFrame([(2, 1)], "old long, new long"), "id")
     assert as_set(parents) == {(1, "a")} and as_set(children) == {(7, 1), (8, 1)}
+
+
+def test_notes_of_one_file_are_read_by_all_cores(spark, sf):
+    """A file of a few MB is one task; its rows are dealt before they are read for what they state."""
+    from statuta.plans import stated as plans
+
+    for q in (plans.enforcement_facts, plans.applicability_facts, plans.timeline_facts, plans.triggers):
+        assert q(spark, sf).rdd.getNumPartitions() > 1
