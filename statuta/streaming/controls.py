@@ -72,12 +72,17 @@ class Controlled(StatefulProcessor):
         self.status = handle.getValueState("status", "status string, since long")
         self.held = handle.getListState("held", "item long, at long")
         self.waiting = handle.getListState("waiting", "at long, kind string, item long")
+        self.next = handle.getValueState("next", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = [(int(a), str(k), int(i)) for b in rows for a, k, i in zip(b["at"], b["kind"], b["item"])]
         self.waiting.appendList(new)
-        for at in {tick(a) for a, _, _ in new}:
-            self.handle.registerTimer(at)
+        # one timer for all that waits: it does whatever is due, and sets the next one
+        first = min((tick(a) for a, _, _ in new), default=None)
+        known = self.next.get()[0] if self.next.exists() else None
+        if first is not None and (known is None or first < known):
+            self.handle.registerTimer(first)
+            self.next.update((first,))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -93,6 +98,12 @@ class Controlled(StatefulProcessor):
             job.until(job.since + self.limit)
         rest = [r for r in every if tick(r[0]) > now]
         self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            first = min(tick(r[0]) for r in rest)
+            self.handle.registerTimer(first)
+            self.next.update((first,))
+        else:
+            self.next.clear()
         self.held.put(job.held) if job.held else self.held.clear()
         self.status.update((job.status, job.since))
         if job.status == "paused":

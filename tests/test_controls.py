@@ -74,3 +74,17 @@ def test_query_is_the_table_s_loop(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").withColumn("at", F.unix_millis(F.col("ts").cast("timestamp"))).collect()
     rows = [(r.user_id % 100, r.at, kind(r), r.event_id) for r in events]
     assert got and got == loop(rows, C.LIMIT, max(r[1] for r in rows) - 86_400_000)
+
+
+def test_one_timer_for_all_that_waits():
+    """A timer for each tick would read a job's whole state as often as there are ticks."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    value = lambda: SimpleNamespace(exists=lambda: False, update=lambda v: None, clear=lambda: None)
+    timers, own = [], C.Controlled()
+    own.init(SimpleNamespace(getValueState=lambda *a: value(), getListState=lambda *a: SimpleNamespace(appendList=lambda rows: None), registerTimer=timers.append))
+    batch = pd.DataFrame({"at": [n * C.TICK for n in range(1, 500)], "kind": "work", "item": range(1, 500)})
+    list(own.handleInputRows((1,), iter([batch]), None))
+    assert timers == [C.TICK]
