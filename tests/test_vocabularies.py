@@ -134,3 +134,21 @@ def test_preambles_and_copies(spark):
     rows = [("l", 1, "loiter", body), ("l", 2, "Loiter", "As used in this subdivision, “loiter” means " + body + "."), ("l", 3, "loiter", "to be anywhere at night"), ("m", 4, "loiter", body), ("l", 5, "linger", body)]
     rows += [("l", 10 + k, "loiter", body.upper()) for k in range(200)] + [("l", 300, "loiter", body[:60])]
     assert told(spark, rows) == {1: None, 2: 1, 3: None, 4: None, 5: None, 300: 1} | {10 + k: 1 for k in range(200)}
+
+
+def test_prose_of_one_language_is_seldom_compared(monkeypatch):
+    """Texts of the same characters, in other words, are told apart before the matcher is asked."""
+    import random
+
+    from statuta.operators import definitions as D
+
+    rng, calls = random.Random(5), []
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    ratio = D.SequenceMatcher.ratio
+    monkeypatch.setattr(D.SequenceMatcher, "ratio", lambda self: calls.append(1) or ratio(self))
+    stayed = D.Stayed()
+    for n in range(60):
+        text = " ".join(rng.choice(words) for _ in range(70))[:400]
+        assert stayed.alike(text) is None
+        stayed.add(n, text)
+    assert len(calls) < 60 and stayed.alike(stayed.texts[7][:200]) == 7
