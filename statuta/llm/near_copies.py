@@ -1,8 +1,10 @@
 """Near-dedup by exact Jaccard similarity of word shingles: links are pairs at SIMILARITY or above.
 
-Candidates come from MinHash: BANDS keys, each over ROWS minima, so that a pair at Jaccard j shares a key with probability
-1 - (1 - j**ROWS)**BANDS, which is 0.9998 at 0.8 and more above. A SimHash radius for 0.8 (about 15 of 64 bits) would
-take 2**16 covering masks. Every candidate is verified on the whole shingle sets.
+The first candidates come from SimHash, as in op9: a set's fingerprint has the bits that over half of its hashes have, covering masks
+find every pair of fingerprints within the radius, and each component of those links is a bucket. Its radius holds few of the pairs at 0.8: they
+differ in about 10 of 64 bits, for which covering masks would number over 2**16. What it leaves open gets more candidates from MinHash: BANDS keys, each over ROWS minima, so that a pair at
+Jaccard j shares a key with probability 1 - (1 - j**ROWS)**BANDS, which is 0.9998 at 0.8 and more above; buckets that SimHash has
+made one component already are left out. Every candidate of both is verified on the whole shingle sets.
 
 Equal sets are folded into one node first; buckets with the same members are compared once, in blocks of bounded size,
 and only the edges of a spanning forest leave a block. A bucket of up to FEW blocks is compared in all pairs of them, which
@@ -25,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
+from . import simhash
 from .common import packed, written
 from .simhash import all_blocks, connected_components, led_blocks, unsettled
 
@@ -72,14 +75,25 @@ def band_keys(found: np.ndarray, seed: int = SEED) -> np.ndarray:
     return np.array([xxh64_intdigest(band.tobytes(), SEED) for band in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64)
 
 
-def _lists(keys: list[np.ndarray]) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(keys or [np.zeros(0, np.int64)])))
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash fingerprint of a set as a signed long; that of the empty set is zero."""
+    chunks = (found[at : at + simhash.CHUNK] for at in range(0, len(found), simhash.CHUNK))
+    return int(np.uint64(simhash.majority(chunks, len(found))).astype(np.int64))
+
+
+def marks(found: np.ndarray) -> np.ndarray:
+    """The fingerprint and, behind it, the MinHash keys."""
+    return np.concatenate((np.array([fingerprint(found)], np.int64), band_keys(found)))
+
+
+def _lists(keys: list[np.ndarray], n: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * n, pa.int32()), pa.array(np.concatenate(keys or [np.zeros(0, np.int64)])))
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [shingle_set(t.as_py()) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(s) for s in sets], pa.int64()), b.column(2), _lists([band_keys(s) for s in sets])], names=["doc_id", "fp", "text_key", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(s) for s in sets], pa.int64()), b.column(2), _lists([marks(s) for s in sets], 1 + BANDS)], names=["doc_id", "fp", "text_key", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +105,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _finer(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists([band_keys(np.frombuffer(s.as_py(), np.uint64), seed) for s in b.column(1)])], names=["fp", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([band_keys(np.frombuffer(s.as_py(), np.uint64), seed) for s in b.column(1)], BANDS)], names=["fp", "bands"])
 
     return run
 
@@ -148,10 +162,20 @@ def _buckets(keyed: DataFrame) -> DataFrame:
     return written(keyed.join(large, ["t", "key"]))
 
 
+def _simhash_classes(nodes: DataFrame) -> DataFrame:
+    """t, key, fp: the component of each set's fingerprint by op9's links, of nodes fp and bands."""
+    prints = nodes.select("fp", F.col("bands")[0].alias("print"))
+    found = connected_components(simhash.links(written(prints.select(F.col("print").alias("fp")).distinct())))
+    return prints.join(found, F.col("print") == F.col("node"), "left").select(F.lit(-1).alias("t"), F.coalesce("component", "print").alias("key"), "fp")
+
+
 def links(docs: DataFrame, marked: DataFrame, text_col: str = "text") -> DataFrame:
-    """Edges a < b between set keys that connect the same nodes as all verified candidates do."""
-    members = _buckets(marked.dropDuplicates(["fp"]).select("fp", F.posexplode("bands").alias("t", "key")))
-    wanted = written(marked.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("text_key").alias("text_key")).select("text_key").distinct())
+    """Edges a < b between set keys that connect the same nodes as all verified candidates do. marked: see `_marks`."""
+    nodes = written(marked.dropDuplicates(["fp"]).select("fp", "bands"))
+    near = _buckets(_simhash_classes(nodes))
+    wider = _buckets(nodes.select(F.posexplode(F.slice("bands", 2, BANDS)).alias("t", "key"), "fp"))
+    asked = near.select("fp").union(wider.select("fp")).distinct()
+    wanted = written(marked.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("text_key").alias("text_key")).select("text_key").distinct())
     texts = docs.select(F.col(text_col).alias("text"), _text_key(text_col).alias("text_key")).join(wanted, "text_key", "left_semi").select("text")
     sets = written(texts.mapInArrow(_sets, "fp long, shingles binary").dropDuplicates(["fp"]))
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -164,7 +188,9 @@ def links(docs: DataFrame, marked: DataFrame, text_col: str = "text") -> DataFra
         few = F.col("blocks") <= FEW
         return compared(all_blocks(members.filter(few), "t", "key").unionByName(led_blocks(members.filter(~few), "t", "key")))
 
-    found = written(met(members).distinct())
+    found = written(met(near).distinct())
+    members = unsettled(wider, found, "t", "key")
+    found = written(found.unionByName(met(members)).distinct())
     for depth in range(SPLITS + 1):
         large = members.filter(F.col("blocks") > FEW)
         if large.isEmpty():

@@ -25,7 +25,7 @@ ignored by `near_components` and carried along by `drop_near_copies`.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -62,9 +62,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
+    return majority((np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])), np.uint64) for at in range(0, n, CHUNK)), n)
+
+
+def majority(chunks: Iterable[np.ndarray], n: int) -> int:
+    """The bits that over half of n hashes have, which come in chunks."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, CHUNK):
-        h = np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])), np.uint64)
+    for h in chunks:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 

@@ -69,3 +69,20 @@ def test_leaders_and_splits_lose_no_link(spark, monkeypatch):
         found = [label.get(key[i], key[i]) for i in range(len(texts))]
         told = {frozenset(i for i, f in enumerate(x) if f == g) for x in (found,) for g in set(x)}
         assert told == {frozenset(i for i, f in enumerate(first) if f == g) for g in set(first)}
+
+
+def test_simhash_links_what_shares_no_minima(spark):
+    """Pairs within op9's radius are found by the covering masks alone, and a pair of one fingerprint but other words is not linked."""
+    base = [f"b{i}" for i in range(600)]
+    texts = [" ".join(base), " ".join([*base[:200], "x", *base[201:]]), " ".join(f"o{i}" for i in range(300))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    sets = [near_copies.shingle_set(t) for t in texts]
+    prints = [near_copies.fingerprint(s) for s in sets]
+    assert 0 < (prints[0] ^ prints[1]).bit_count() <= simhash.RADIUS
+    prints[2] = prints[0]
+    text_keys = [r.k for r in docs.orderBy("doc_id").select(near_copies._text_key("text").alias("k")).collect()]
+    alone = [[p, *range(100 * i, 100 * i + near_copies.BANDS)] for i, p in enumerate(prints)]
+    rows = [(i, near_copies.set_key(s), text_keys[i], alone[i]) for i, s in enumerate(sets)]
+    marked = written(spark.createDataFrame(rows, "doc_id long, fp long, text_key long, bands array<long>"))
+    a, b = sorted(r[1] for r in rows[:2])
+    assert [tuple(r) for r in near_copies.links(docs, marked).collect()] == [(a, b)]
