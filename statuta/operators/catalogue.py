@@ -9,34 +9,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.payloads import parsed
+from ..sources.tables import dealt
 from .steps import Steps
 
-#: What the type names of a variant become; numbers of any size are one type.
-KINDS = (("OBJECT", "object"), ("ARRAY", "array"), ("STRING", "string"), ("BOOLEAN", "boolean"), ("VOID", "null"))
+#: Kinds by the first character of a value's JSON; all others are numbers, of any size one type.
+KINDS = {"{": "object", "[": "array", '"': "string", "t": "boolean", "f": "boolean", "n": "null"}
 
 
 def kind_of(value: Column) -> Column:
-    """object, array, string, number, boolean or null."""
-    name, found = F.schema_of_variant(value), F.lit("number")
-    for start, kind in KINDS:
-        found = F.when(F.startswith(name, F.lit(start)), kind).otherwise(found)
-    return found
+    """object, array, string, number, boolean or null; of no value, none."""
+    first = F.substring(F.to_json(value), 1, 1)
+    kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
+    return F.when(value.isNotNull(), F.coalesce(F.element_at(kinds, first), F.lit("number")))
 
 
 def field_catalogue(rows: DataFrame, payload: str) -> DataFrame:
     """path, kind, n over a column of JSON texts; the whole payload has the path `$`, an item `[]`. Texts that are no JSON, and nulls,
     have no fields."""
-    steps = Steps(rows.sparkSession)
-    level = rows.select(F.lit("$").alias("path"), parsed(F.col(payload)).alias("v")).filter("v IS NOT NULL")
+    steps, inner = Steps(rows.sparkSession), F.col("kind").isin("object", "array")
+    # payloads of one small file would be one task, here and in every round
+    found = dealt(rows.select(payload)).select(F.lit("$").alias("path"), parsed(F.col(payload)).alias("v"))
     out, depth = None, 0
     while True:
-        typed = level.select("path", "v", kind_of(F.col("v")).alias("kind"))
-        counts = steps.written(f"counts{depth}", typed.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n")))
+        # each value is parsed and told its kind once; only objects and lists are kept for the next round, and counts read none
+        typed = found.select("path", "v", kind_of(F.col("v")).alias("kind")).select("path", "kind", F.when(inner, F.col("v")).alias("v"))
+        level = steps.written(f"level{depth % 2}", typed).filter("kind IS NOT NULL")
+        counts = steps.written(f"counts{depth}", level.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n")))
         out = counts if out is None else out.unionByName(counts)
-        if counts.filter("kind IN ('object', 'array')").isEmpty():
+        if counts.filter(inner).isEmpty():
             return out.groupBy("path", "kind").agg(F.sum("n").alias("n"))
-        # the inner values are written, so that no level is worked out twice
-        name = f"level{depth % 2}"
-        typed.filter("kind IN ('object', 'array')").createOrReplaceTempView("_payload_level")
-        inner = rows.sparkSession.sql("SELECT CASE WHEN key IS NULL THEN concat(path, '[]') ELSE concat(path, '.', key) END AS path, value AS v FROM _payload_level, LATERAL variant_explode(v)")
-        level, depth = steps.written(name, inner), depth + 1
+        level.filter(inner).createOrReplaceTempView("_payload_level")
+        found = rows.sparkSession.sql("SELECT CASE WHEN key IS NULL THEN concat(path, '[]') ELSE concat(path, '.', key) END AS path, value AS v FROM _payload_level, LATERAL variant_explode(v)")
+        depth += 1

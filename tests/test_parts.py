@@ -3,6 +3,7 @@
 import pyarrow as pa
 
 from statuta.operators import steps
+from statuta.operators.catalogue import field_catalogue
 
 
 def test_batches_are_cut_into_parts_and_lose_no_row():
@@ -10,3 +11,24 @@ def test_batches_are_cut_into_parts_and_lose_no_row():
     parts = list(steps.in_parts(iter(batches)))
     assert [n for b in parts for n in b.column(0).to_pylist()] == list(range(1129))
     assert all(0 < b.num_rows <= steps.PART for b in parts)
+
+
+def test_payloads_of_one_partition_are_dealt_and_kept_only_where_they_hold_more(spark, monkeypatch):
+    payloads = ['{"a": [1, 2.5, null, "x"], "b": {"c": true, "d": false}}', '[]', 'no', None, '"t"', '{"a": {}} x', '-7e3'] * 30
+    wide, stored, written = [], [], steps.Steps.written
+
+    def spied(self, name, df):
+        found = written(self, name, df)
+        if name.startswith("level"):
+            wide.append(df.rdd.getNumPartitions())
+            stored.append(found.filter("kind NOT IN ('object', 'array') AND v IS NOT NULL").count())
+        return found
+
+    monkeypatch.setattr(steps.Steps, "written", spied)
+    rows = spark.createDataFrame([(p,) for p in payloads], "p string").coalesce(1)
+    told = {(r.path, r.kind): r.n for r in field_catalogue(rows, "p").collect()}
+    assert told == {
+        ("$", "object"): 30, ("$", "array"): 30, ("$", "string"): 30, ("$", "number"): 30, ("$.a", "array"): 30, ("$.b", "object"): 30,
+        ("$.a[]", "number"): 60, ("$.a[]", "null"): 30, ("$.a[]", "string"): 30, ("$.b.c", "boolean"): 30, ("$.b.d", "boolean"): 30,
+    }
+    assert wide[0] > 1 and stored == [0] * len(stored) and len(stored) == 3
