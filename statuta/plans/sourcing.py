@@ -9,6 +9,7 @@ from ..functions import bills as B
 from ..operators.agents import Agents
 from ..functions.text import strip_sql
 from ..operators.places import neighbours
+from ..operators.steps import Steps
 from ..registry import query
 from ..sources.tables import facts, jurisdictions, laws, table, versions, with_domain
 
@@ -52,10 +53,14 @@ def attempt_details(spark, d):
 SELECT CASE WHEN agent_id > 90 THEN '_unattributed' ELSE CAST(agent_id AS VARCHAR) END AS producer, tier IN ('C', 'D') AS low_confidence, count(*) AS n, min(title || '/' || jurisdiction || '/v' || version_id) AS provenance FROM facts JOIN o USING (version_id) GROUP BY 1, 2"""))
 def export_groups(spark, d):
     """2.1.21, 2.1.22, 2.1.24: what the exports hold: facts with law, jurisdiction and version, by producer, and the weak ones apart."""
+    # Spark sorts all rows to find the least of texts by group. Instead versions are sorted once by what is said of them, and each gets a number in that
+    # order, which facts are grouped by in a few numbers' room.
     origin = versions(spark, d).join(laws(spark, d), "law_id").join(jurisdictions(spark, d), "jurisdiction_id").select("version_id", F.concat_ws("/", "title", "jurisdiction", F.concat(F.lit("v"), F.col("version_id").cast("string"))).alias("provenance"))
-    producer = F.coalesce(F.when(F.col("agent_id") <= 90, F.col("agent_id").cast("string")), F.lit("_unattributed"))
-    rows = facts(spark, d).join(origin, "version_id").select(producer.alias("producer"), F.col("tier").isin("C", "D").alias("low_confidence"), "provenance")
-    return rows.groupBy("producer", "low_confidence").agg(F.count(F.lit(1)).alias("n"), F.min("provenance").alias("provenance"))
+    ranked = Steps(spark).written("origin", origin.orderBy("provenance").withColumn("rank", F.monotonically_increasing_id()))
+    producer = F.when(F.col("agent_id") <= 90, F.col("agent_id"))
+    rows = facts(spark, d).select("version_id", producer.alias("producer"), F.col("tier").isin("C", "D").alias("low_confidence")).join(ranked.select("version_id", "rank"), "version_id")
+    groups = rows.groupBy("producer", "low_confidence").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank"))
+    return groups.join(ranked.select("rank", "provenance"), "rank").select(F.coalesce(F.col("producer").cast("string"), F.lit("_unattributed")).alias("producer"), "low_confidence", "n", "provenance")
 
 
 @query("""SELECT conv_id, turn, concat_ws(' | ', lag(text) OVER w, text, lead(text) OVER w) AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, text NULLS FIRST)""")

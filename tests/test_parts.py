@@ -4,6 +4,7 @@ import pyarrow as pa
 
 from statuta.operators import steps
 from statuta.operators.catalogue import field_catalogue
+from statuta.registry import queries
 
 
 def test_batches_are_cut_into_parts_and_lose_no_row():
@@ -32,3 +33,8 @@ def test_payloads_of_one_partition_are_dealt_and_kept_only_where_they_hold_more(
         ("$.a[]", "number"): 60, ("$.a[]", "null"): 30, ("$.a[]", "string"): 30, ("$.b.c", "boolean"): 30, ("$.b.d", "boolean"): 30,
     }
     assert wide[0] > 1 and stored == [0] * len(stored) and len(stored) == 3
+
+
+def test_exports_are_grouped_without_sorting_their_facts(spark, sf):
+    plan = queries()["export_groups"](spark, sf)._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
