@@ -73,8 +73,14 @@ def tracker_likeness(texts: Column, requirements: Column, enforcement: Column) -
 
 
 def quoted_in(passage: Column, quote: Column) -> Column:
-    """Whether a passage holds a quote, whatever case and signs; an empty quote is in none."""
-    return (F.coalesce(loose(quote), F.lit("")) != "") & F.coalesce(F.contains(loose(passage), loose(quote)), F.lit(False))
+    """Whether a passage holds a quote, whatever case and signs; an empty quote is in none. Only a passage that has all words of its quote
+    somewhere is taken apart."""
+
+    def held(asked: Column) -> Column:
+        words = bound(F.lower(passage), lambda low: F.forall(F.split(asked, " "), lambda w: F.contains(low, w)))
+        return (F.coalesce(asked, F.lit("")) != "") & F.coalesce(words & F.contains(loose(passage), asked), F.lit(False))
+
+    return bound(loose(quote), held)
 
 
 def guarded_clause(passage: Column, clause: Column) -> Column:

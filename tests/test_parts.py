@@ -1,7 +1,12 @@
-"""Texts of large batches pass through Python a few at a time."""
+"""Work that grew faster than its input: batches, payloads, groups, quotes."""
+
+import random
+import re
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from statuta.functions.checks import quoted_in
 from statuta.operators import steps
 from statuta.operators.catalogue import field_catalogue
 from statuta.registry import queries
@@ -38,3 +43,12 @@ def test_payloads_of_one_partition_are_dealt_and_kept_only_where_they_hold_more(
 def test_exports_are_grouped_without_sorting_their_facts(spark, sf):
     plan = queries()["export_groups"](spark, sf)._jdf.queryExecution().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_quotes_are_found_as_a_loop_finds_them_and_words_are_asked_first(spark):
+    rng, signs = random.Random(3), ["A", "b", "é", "9", " ", "  ", ".", ";\n"]
+    pairs = [("".join(rng.choices(signs, k=12)), "".join(rng.choices(signs, k=rng.randrange(4)))) for _ in range(400)] + [(None, "a"), ("a", None), ("", "")]
+    plain = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
+    rows = spark.createDataFrame([(i, p, q) for i, (p, q) in enumerate(pairs)], "i int, p string, q string").select("i", quoted_in(F.col("p"), F.col("q")).alias("found"))
+    assert {r.i: r.found for r in rows.collect()} == {i: plain(q) != "" and plain(q) in plain(p) for i, (p, q) in enumerate(pairs)}
+    assert "forall" in rows._jdf.queryExecution().toString()
