@@ -2,6 +2,7 @@
 
 import random
 import re
+import tempfile
 from difflib import SequenceMatcher
 
 import pytest
@@ -152,3 +153,55 @@ def test_prose_of_one_language_is_seldom_compared(monkeypatch):
         assert stayed.alike(text) is None
         stayed.add(n, text)
     assert len(calls) < 60 and stayed.alike(stayed.texts[7][:200]) == 7
+
+
+def test_whole_texts_are_compared(spark, sf):
+    """Two texts that differ only after their first 400 characters are two definitions, unless nine tenths are the same."""
+    from statuta.plans.records import definitions_once
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    said = [(r.source, r.doc_id, r.lang, (f'As used in this section, "{r.lang}" means ' if r.doc_id % 3 == 0 else "") + r.text) for r in docs.values()]
+    got = {r.doc_id: r.duplicate_of for r in definitions_once(spark, sf).collect()}
+    assert got == loop_definitions(said) and any(got.values())
+    head, rng = "the same beginning of both texts " * 15, random.Random(1)
+    tail = lambda: "".join(rng.choice("abcdefgh ") for _ in range(500))
+    folder = tempfile.mkdtemp(prefix="texts-", dir="/tmp")
+    spark.createDataFrame([("s", 1, "en", head + tail()), ("s", 2, "en", head + tail())], "source string, doc_id long, lang string, text string").write.parquet(f"{folder}/documents.parquet")
+    assert {r.doc_id: r.duplicate_of for r in definitions_once(spark, folder).collect()} == {1: None, 2: None}
+
+
+def test_long_near_copies_are_those_of_a_loop(spark):
+    """Texts of 30 to 2,500 characters with rare anchors, many anchors and none, edited in up to a fifth of their words."""
+    rng, rows = random.Random(8), []
+    for kind in ("etaoinshrdlu", "etaoinshrdluqxzjkvw0123456789", "".join(map(chr, range(0x4E00, 0x4F00)))):
+        word = lambda: "".join(rng.choice(kind) for _ in range(rng.randrange(1, 9)))  # noqa: E731, B023
+        for size in (6, 30, 90, 400):
+            for _ in range(4):
+                base = [word() for _ in range(size)]
+                for share in (0, 0.01, 0.03, 0.05, 0.1, 0.2):
+                    rows.append([w if rng.random() >= share else rng.choice(["", word(), w + " " + w]) for w in base[: rng.choice([None, None, None, size * 2 // 3])]])
+    rng.shuffle(rows)
+    rows = [(rng.choice("lm"), n, "ai", " ".join(r)) for n, r in enumerate(rows)]
+    want = loop_definitions(rows)
+    assert told(spark, rows) == want and sum(v is not None for v in want.values()) > 60
+
+
+def test_blocks_are_those_of_the_library():
+    from statuta.operators.definitions import Anchors, blocks_enough
+
+    rng, alike = random.Random(2), 0
+    for _ in range(300):
+        signs = rng.choice(["etaoinshrdlu   qxz", "".join(map(chr, range(97, 123))) + "0123456789   "])
+        b = "".join(rng.choice(signs) * rng.choice([1, 1, 2]) for _ in range(rng.choice([80, 150, 300, 700])))
+        a = list(b)
+        for _ in range(rng.choice([0, 1, 2, len(a) // 40, len(a) // 15])):
+            at = rng.randrange(len(a))
+            a[at : at + rng.choice([0, 1, 5])] = rng.sample(signs, rng.choice([0, 1, 4]))
+        a, matcher = "".join(a), SequenceMatcher(None, "", b)
+        want = SequenceMatcher(None, a, b).ratio() >= 0.9
+        assert blocks_enough(matcher, a) == want
+        alike += want
+        if len(b) >= 200:
+            (alo, ahi), (blo, bhi) = (sorted(rng.sample(range(len(x) + 1), 2)) for x in (a, b))
+            assert Anchors(matcher, a).longest(alo, ahi, blo, bhi) == tuple(matcher.find_longest_match(alo, ahi, blo, bhi))
+    assert 60 < alike < 280
